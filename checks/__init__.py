@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("spatial",)
+AREAS = ("spatial", "catalogue", "scaling")
 
 
 def load_all():
