@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("spatial", "catalogue", "scaling")
+AREAS = ("spatial", "catalogue", "scaling", "geometry")
 
 
 def load_all():

@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, cut_lineage
+from tessella.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, cut_lineage, materialised
 
 FAN = 4
 Finish = Callable[[DataFrame], DataFrame]
@@ -193,6 +193,7 @@ def nearest_distance(
 ) -> DataFrame:
     """Distance from each row to the nearest source row (of the same ``by`` group); NULL if none."""
     q = [*by, "qx", "qy"]
+    cells, sources = materialised(cells), materialised(sources)
     found = neighbours(
         _query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), by, 1, None,
         lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias(out), F.count(F.lit(1)).alias("have")),
@@ -215,6 +216,7 @@ def radius_density(
 ) -> DataFrame:
     """Share of the ``k = min(limit, number of sources)`` nearest sources that lie within ``radius``."""
     q = [*by, "qx", "qy"]
+    cells, sources = materialised(cells), materialised(sources)
     totals = sources.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
     found = neighbours(
         _query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), by, limit, radius,
@@ -240,6 +242,7 @@ def knn_local_mean(
 ) -> DataFrame:
     """Mean of ``values`` over the k nearest rows (itself included) within ``radius``; ties by id."""
     q = [*by, "qx", "qy"]
+    cells = materialised(cells)
     at_point = Window.partitionBy(*by, "sx", "sy").orderBy("sid")
     # Rows beyond the k lowest ids of one coordinate can never be among the k nearest of any point.
     sources = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import clip
 from tessella.operators.order import summarise
-from tessella.session import attach
+from tessella.session import attach, materialised
 
 
 def robust_scale(df: DataFrame, values: Mapping[str, str], by: Sequence[str] = (), lower: float = 0.05, upper: float = 0.99) -> DataFrame:
@@ -89,6 +89,7 @@ def group_score(df: DataFrame, groups: Mapping[str, Sequence[str]], by: Sequence
 
 def with_threshold(df: DataFrame, value: str, low: float, high: float, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Add the Otsu threshold of ``value``, clipped to [low, high], as a column."""
+    df = materialised(df)
     found = otsu_threshold(df, value, by, out="__t")
     return attach(df, found.select(*by, clip(F.col("__t"), low, high).alias(out)), by)
 
@@ -100,7 +101,7 @@ def vessel_call(
 
     Adds ``vessel_raw``, ``vessel_threshold``, ``vessel_signal`` and ``vessel_positive``.
     """
-    raw = df.withColumn("vessel_raw", F.greatest(F.col(endothelial), F.lit(0.5) * F.col(pericyte)))
+    raw = materialised(df).withColumn("vessel_raw", F.greatest(F.col(endothelial), F.lit(0.5) * F.col(pericyte)))
     called = with_threshold(raw, "vessel_raw", 0.25, 0.85, "__otsu", by)
     share = summarise(
         called, by,
@@ -166,9 +167,12 @@ def definition_rows(df: DataFrame, definitions: Mapping[str, Column]) -> DataFra
 
 def definition_masks(df: DataFrame, cd31: str, endothelial: str, inclusive: str, rna: Sequence[str]) -> DataFrame:
     """Six source definitions from a protein scale, a score and RNA marker counts."""
-    data = robust_scale(df, {cd31: "__cd31"})
-    data = with_threshold(data, "__cd31", 0.10, 0.90, "__t_cd31")
-    data = with_threshold(data, endothelial, 0.10, 0.90, "__t_endo")
+    data = materialised(robust_scale(materialised(df), {cd31: "__cd31"}))
+    limits = [
+        otsu_threshold(data, "__cd31", out="__t").select(clip(F.col("__t"), 0.10, 0.90).alias("__t_cd31")),
+        otsu_threshold(data, endothelial, out="__t").select(clip(F.col("__t"), 0.10, 0.90).alias("__t_endo")),
+    ]
+    data = attach(attach(data, limits[0]), limits[1])
     count = F.lit(0)
     for marker in rna:
         count = count + (F.col(marker) > 0).cast("int")
@@ -186,7 +190,7 @@ def definition_masks(df: DataFrame, cd31: str, endothelial: str, inclusive: str,
 
 def reference_positive(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "reference_positive") -> DataFrame:
     """Robust scale, unclipped Otsu, positive at or above it."""
-    scaled = robust_scale(df, {value: "__scaled"}, by)
+    scaled = materialised(robust_scale(df, {value: "__scaled"}, by))
     found = otsu_threshold(scaled, "__scaled", by, out="reference_threshold")
     called = attach(scaled, found, by)
     return called.withColumn(out, F.col("__scaled") >= F.col("reference_threshold")).drop("__scaled")

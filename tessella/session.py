@@ -44,13 +44,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    size = input_bytes(df)
+    saved = df.checkpoint(eager=True)
+    leaves = saved._jdf.queryExecution().optimizedPlan().collectLeaves()
+    _SAVED_BYTES[(context.applicationId, leaves.apply(0).rdd().id())] = size
+    return saved
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that is about to be read several times, unless it is a plain scan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    costly = any(node in plan for node in ("Join", "Aggregate", "Window", "Generate"))
+    return cut_lineage(df) if costly else df
+
+
+# Input size of checkpointed tables; their own statistics multiply the sizes of joined inputs.
+_SAVED_BYTES: dict[tuple[str, int], int] = {}
 
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the relations a plan reads, taken from the optimiser's statistics (no job)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        saved = None
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            saved = _SAVED_BYTES.get((df.sparkSession.sparkContext.applicationId, leaf.rdd().id()))
+        total += int(leaf.stats().sizeInBytes()) if saved is None else saved
+    return total
 
 
 def is_bounded(df: DataFrame) -> bool:

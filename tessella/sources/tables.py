@@ -182,8 +182,8 @@ def geojson_features(documents: DataFrame, text: str = "value", fallback: str =
         "struct<features:array<struct<id:string,geometry:" + GEOMETRY_SCHEMA
         + ",properties:struct<name:string,classification:struct<name:string>>>>>"
     )
-    features = documents.select(*keys, F.from_json(text, schema).alias("doc")).select(
-        *keys, F.posexplode("doc.features").alias("feature_ix", "feature")
+    features = documents.select(*keys, F.from_json(text, schema).alias("__doc")).select(
+        *keys, F.posexplode("__doc.features").alias("feature_ix", "feature")
     )
     name = F.coalesce(F.col("feature.properties.name"), F.col("feature.properties.classification.name"), F.lit(fallback))
     kind, body = F.col("feature.geometry.type"), F.col("feature.geometry.coordinates")
