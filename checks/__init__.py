@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("spatial", "catalogue", "scaling", "geometry")
+AREAS = ("spatial", "catalogue", "scaling", "geometry", "pixels")
 
 
 def load_all():
