@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("spatial", "catalogue", "scaling", "geometry", "pixels")
+AREAS = ("spatial", "catalogue", "scaling", "geometry", "pixels", "summaries")
 
 
 def load_all():

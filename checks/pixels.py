@@ -134,11 +134,7 @@ ALPHAS = (0.0, 0.1, 0.3)
 def perfusion(spark, folder):
     p = rgb(spark, folder)
     measured = px.mask_distance(p, p.where("g > 190"), 6.0, ["image"], "d")
-    out = None
-    for alpha in ALPHAS:
-        one = px.perfusion_signal(measured, alpha, ["image"]).withColumn("alpha", F.lit(alpha))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return px.perfusion_signal(measured, ALPHAS, ["image"])
 
 
 @register("perfusion_profile", f"""WITH {PERF}, f AS (SELECT image, {BAND} AS band, count(*) AS pixels, avg(perfusion) AS a, quantile_cont(perfusion, 0.5) AS m, quantile_cont(perfusion, 0.9) AS q FROM pf WHERE alpha = 0.1 AND greatest(r, g, b) > 0 GROUP BY ALL)
@@ -222,7 +218,8 @@ def background(spark, folder):
 
 @register("tissue_mask_colour")
 def tissue_mask(spark, folder):
-    return px.tissue_mask_colour(rgb(spark, folder).drop("image"))
+    framed = rgb(spark, folder).drop("image").withColumns({n: F.expr(f"CASE WHEN col BETWEEN 5 AND 15 THEN {n} ELSE 235 + (row + col) % 8 END") for n in "rgb"})
+    return px.tissue_mask_colour(framed)
 
 
 @register("intensity_features", f"""WITH {PIX}, q AS (SELECT label, quantile_cont(v, 0.99) AS q FROM pix GROUP BY 1), s AS (SELECT label, least(greatest(v / greatest(q, 1), 0), 1) AS s FROM pix JOIN q USING (label)), {otsu('o', 's', 's', 'label')}

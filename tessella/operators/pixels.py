@@ -229,17 +229,23 @@ def segment_bright(pixels: DataFrame, value: str, by: Sequence[str] = (), quanti
     return mask, attach(level, scale, by)
 
 
-def perfusion_signal(pixels: DataFrame, alpha: float, by: Sequence[str] = ()) -> DataFrame:
-    """Corrected blue over tissue, scaled by its 99th percentile; adds ``tissue`` and ``perfusion``."""
-    corrected = F.greatest(F.col("b") - F.lit(float(alpha)) * F.col("r"), F.lit(0.0))
-    marked = pixels.withColumn("tissue", F.greatest("r", "g", "b") > 0).withColumn("__c", corrected)
-    scale = summarise(marked.where("tissue"), by, [], {"perfusion_scale": (F.col("__c"), 0.99)})
-    return attach(marked, scale, by).withColumn("perfusion", clip(F.col("__c") / F.col("perfusion_scale"), 0.0, 1.0)).drop("__c")
+def perfusion_signal(pixels: DataFrame, alphas: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Blue minus alpha times red over tissue, scaled by its 99th percentile, for every alpha.
+
+    Adds ``alpha``, ``tissue``, ``perfusion_scale`` and ``perfusion``; all settings share one pass.
+    """
+    every = F.explode(F.array(*[F.lit(float(a)) for a in alphas]))
+    marked = materialised(pixels).withColumn("tissue", F.greatest("r", "g", "b") > 0).withColumn("alpha", every)
+    marked = marked.withColumn("__c", F.greatest(F.col("b") - F.col("alpha") * F.col("r"), F.lit(0.0)))
+    keys = [*by, "alpha"]
+    scale = summarise(marked.where("tissue"), keys, [], {"perfusion_scale": (F.col("__c"), 0.99)})
+    return attach(marked, scale, keys).withColumn("perfusion", clip(F.col("__c") / F.col("perfusion_scale"), 0.0, 1.0)).drop("__c")
 
 
 def near_far_ratio(pixels: DataFrame, distance: str, signal: str, width: int, by: Sequence[str] = (), stride: int = 1) -> DataFrame:
     """Mean below 10 over mean in [50, 100), and Spearman of distance and signal on every stride-th pixel."""
     by = list(by)
+    pixels = materialised(pixels)
     d = F.col(distance)
     means = pixels.groupBy(*by).agg(
         F.avg(F.when(d < 10, F.col(signal))).alias("near_mean"), F.avg(F.when((d >= 50) & (d < 100), F.col(signal))).alias("far_mean")
