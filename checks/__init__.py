@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("spatial", "catalogue", "scaling", "geometry", "pixels", "summaries", "statistics", "ledger")
+AREAS = ("spatial", "catalogue", "scaling", "geometry", "pixels", "summaries", "statistics", "ledger", "sources")
 
 
 def load_all():

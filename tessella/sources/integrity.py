@@ -15,8 +15,9 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def content_kind(content: Column) -> Column:
     """Kind of a file from its first bytes; JSON must parse as a whole."""
     head = F.hex(F.substring(content, 1, 8))
-    text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "UTF-8"), F.lit(" \t\r\n\f\x0b")))
-    whole = F.decode(content, "UTF-8")
+    # A cast never fails on bytes that are not text, unlike decoding them.
+    text = F.lower(F.ltrim(F.substring(content, 1, 512).cast("string"), F.lit(" \t\r\n\f\x0b")))
+    whole = content.cast("string")
     # Leading bytes of the file kinds.
     return (
         F.when(head.startswith("255044462D"), "pdf")

@@ -153,11 +153,19 @@ def read_sample_triplets(spark: SparkSession, folder: str, wanted: Sequence[str]
     return joined
 
 
-def read_cell_groups(spark: SparkSession, folder: str, ending: str = "_cell_groups") -> DataFrame:
-    """(sample, cell_id, group) from one CSV per sample; a cell may occur once per sample."""
-    raw = spark.read.option("header", True).csv(f"{folder}/*{ending}.csv*")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    groups = raw.select(F.regexp_replace(name, ending + r"\.csv(\.gz)?$", "").alias("sample"), "cell_id", "group")
+def read_cell_groups(
+    spark: SparkSession, pattern: str, ending: str = r"_cell_groups\.csv(\.gz)?$", names: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """(sample, cell_id, group) from one file per sample; a cell may occur once per sample.
+
+    The sample is the file name without ``ending``.
+    """
+    raw = spark.read.option("header", True).csv(pattern) if ".csv" in pattern else spark.read.parquet(pattern)
+    file_name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    columns = names or {"cell_id": F.col("cell_id"), "group": F.col("group")}
+    groups = raw.select(
+        F.regexp_replace(file_name, ending, "").alias("sample"), columns["cell_id"].cast("string").alias("cell_id"), columns["group"].alias("group")
+    )
     assert_unique(groups, ["sample", "cell_id"], "cell groups")
     return groups
 
@@ -206,6 +214,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Outcome table with its required columns; the gap is a number."""
     table = spark.read.option("header", True).csv(path)
     require_columns(table, OUTCOME_COLUMNS, "outcome table")
     return table.withColumn("expression_reach_gap", F.col("expression_reach_gap").cast("double"))
