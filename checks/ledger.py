@@ -47,6 +47,12 @@ def violations(spark, folder):
     return found.groupBy("dataset_id", "kind", "rule").agg(F.count("*").alias("violations"), F.min("item").alias("first_item"))
 
 
+@register("evidence_tables", f"""WITH {NODES} SELECT dataset_id, evidence_class, count(*) AS nodes FROM nodes WHERE evidence_class <> 'HEARSAY' AND status <> '' GROUP BY ALL""")
+def evidence_tables(spark, folder):
+    clean = ev.evidence_tables(nodes(spark, folder), edges(spark, folder), requirements(spark, folder))["nodes"]
+    return clean.groupBy("dataset_id", "evidence_class").agg(F.count("*").alias("nodes"))
+
+
 @register("artefact_status", "SELECT event_id, upper(event_type) || '_COMPUTED' AS status, event_type = 'error' AS status_ok, CAST(CAST(props::JSON->>'k' AS BIGINT) AS VARCHAR) AS k FROM events")
 def artefacts(spark, folder):
     docs = table(spark, folder, "events").selectExpr("event_id", "concat('{\"status\":\"', upper(event_type), '_COMPUTED\",\"results\":', props, '}') AS text", "'ERROR_COMP' AS expected")

@@ -221,3 +221,42 @@ def score(spark, folder):
     return rounded(found, "vessel_signal", "distance_to_vessel_um", "local_vessel_density", "local_caf_score", "local_ecm_score").select(
         "cell_id", "vessel_signal", "vessel_positive", "distance_to_vessel_um", "local_vessel_density", "local_caf_score", "local_ecm_score", "cell_is_malignant_proxy", "in_molecular_tumour_neighbourhood"
     )
+
+
+@register("read_sample_triplets", "SELECT c_mktsegment AS sample, count(*) AS cells, round(sum(c_acctbal), 2) AS signal, CAST(sum(c_nationkey) AS BIGINT) AS fov_sum FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
+def sample_triplets(spark, folder):
+    """Writes three CSV tables per segment (one segment without polygons) and reads them back."""
+    target = st.scratch_folder(spark)
+    source = table(spark, folder, "customer")
+    for segment in sorted(r[0] for r in source.select("c_mktsegment").distinct().collect()):
+        one = source.where(F.col("c_mktsegment") == segment)
+        key = [F.col("c_nationkey").alias("fov"), F.col("c_custkey").alias("cell_ID")]
+        parts = {"_metadata_file": [*key, F.lit(1).alias("Unnamed: 0")], "_exprMat_file": [*key, F.col("c_acctbal").alias("ERBB2"), F.lit(0).alias("ACTB")], "_polygons": key}
+        for ending, columns in parts.items():
+            if not (segment == "BUILDING" and ending == "_polygons"):
+                one.select(*columns).write.option("header", True).csv(f"{target}/{segment}_run{ending}.csv")
+    read = st.read_sample_triplets(spark, target, ["ERBB2"])
+    return read.groupBy("sample").agg(F.count("*").alias("cells"), F.round(F.sum("ERBB2"), 2).alias("signal"), F.sum(F.col("fov").cast("long")).alias("fov_sum"))
+
+
+@register("read_parts", "SELECT o_orderstatus, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def read_parts(spark, folder):
+    target = st.scratch_folder(spark) + "/parts"
+    st.write_parts(table(spark, folder, "orders").select("o_orderstatus", "o_totalprice"), target)
+    return st.read_parts(spark, target).groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register("require_columns", "SELECT event_id, user_id, value FROM events")
+def require_columns(spark, folder):
+    return sq.require_columns(table(spark, folder, "events"), ["event_id", "user_id", "value"]).select("event_id", "user_id", "value")
+
+
+@register("assert_unique", "SELECT event_type, count(*) AS rows FROM events GROUP BY 1")
+def assert_unique(spark, folder):
+    return sq.assert_unique(table(spark, folder, "events"), ["event_id"]).groupBy("event_type").agg(F.count("*").alias("rows"))
+
+
+@register("assert_finite", "SELECT l_returnflag, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+def assert_finite(spark, folder):
+    rows = sq.assert_finite(table(spark, folder, "lineitem"), ["l_quantity", "l_tax"])
+    return rows.groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))

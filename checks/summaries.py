@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.geometry import POLY, metrics
-from checks.pixels import WIN, cells as pixel_cells, pixels
+from checks.pixels import PIX, PTS, WIN, cells as pixel_cells, pixels
 from checks.registry import r6, register, rounded, table
 from checks.spatial import P, points, sources
 from checks.sqlkit import avg_rank, logq, otsu, scale
@@ -247,14 +247,35 @@ def agreement(spark, folder):
     return rounded(found, *[c for c in found.columns if c not in ("target", "subset", "cells")])
 
 
-@register("image_definition_sensitivity")
+STEPS = "(VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS s(dr, dc)"
+CROSS = "(VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS s(dr, dc)"
+IDS = f"""{PIX}, {PTS}, smp AS (SELECT pts.*, pix.v FROM pts JOIN pix USING ("row", col)), lv AS (SELECT quantile_cont(v, 0.99) FILTER (WHERE event_type <> 'error') AS a, quantile_cont(v, 0.995) FILTER (WHERE event_type <> 'error') AS b, quantile_cont(v, 0.999) FILTER (WHERE event_type <> 'error') AS c FROM smp),
+defs AS (SELECT 'inclusive_1pct' AS definition, a AS threshold FROM lv UNION ALL SELECT 'balanced_0_5pct', b FROM lv UNION ALL SELECT 'strict_0_1pct', c FROM lv), dim AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w, count(*) AS n FROM pix),
+msk AS (SELECT definition, "row", col FROM pix, defs WHERE v > threshold),
+reach(definition, r1, c1, r2, c2) AS (SELECT definition, "row", col, "row", col FROM msk UNION SELECT m.definition, reach.r1, reach.c1, m."row", m.col FROM reach, {STEPS} JOIN msk m ON true WHERE m.definition = reach.definition AND m."row" = reach.r2 + s.dr AND m.col = reach.c2 + s.dc),
+cmp AS (SELECT definition, r1 AS "row", c1 AS col, min(CAST(r2 AS BIGINT) * 64 + c2) AS id, count(*) AS n FROM reach GROUP BY ALL), kp AS (SELECT definition, "row", col FROM cmp WHERE n >= 3),
+dil AS (SELECT DISTINCT definition, "row" + dr AS "row", col + dc AS col FROM kp, {CROSS}, dim WHERE "row" + dr BETWEEN 0 AND h - 1 AND col + dc BETWEEN 0 AND w - 1),
+clo AS (SELECT d.definition, d."row" - dr AS "row", d.col - dc AS col FROM dil d, {CROSS}, dim WHERE d."row" - dr BETWEEN 0 AND h - 1 AND d.col - dc BETWEEN 0 AND w - 1 GROUP BY ALL HAVING count(*) = 5),
+reach2(definition, r1, c1, r2, c2) AS (SELECT definition, "row", col, "row", col FROM clo UNION SELECT m.definition, reach2.r1, reach2.c1, m."row", m.col FROM reach2, {STEPS} JOIN clo m ON true WHERE m.definition = reach2.definition AND m."row" = reach2.r2 + s.dr AND m.col = reach2.c2 + s.dc),
+cmp2 AS (SELECT definition, id, count(*) AS n FROM (SELECT definition, r1, c1, min(CAST(r2 AS BIGINT) * 64 + c2) AS id FROM reach2 GROUP BY ALL) GROUP BY ALL), k2 AS (SELECT definition, count(*) AS k, sum(n) AS px, quantile_cont(n, 0.5) AS md FROM cmp2 GROUP BY 1), k1 AS (SELECT definition, count(DISTINCT id) AS k FROM cmp GROUP BY 1),
+di AS (SELECT defs.definition, defs.threshold, smp.*  FROM smp, defs),
+dp AS (SELECT p.definition, p."row", p.col, 3.4 * sqrt(min((CAST(p."row" AS DOUBLE) - c."row") * (p."row" - c."row") + (CAST(p.col AS DOUBLE) - c.col) * (p.col - c.col))) AS d FROM (SELECT DISTINCT definition, "row", col FROM di) p LEFT JOIN clo c ON c.definition = p.definition GROUP BY ALL),
+ms AS (SELECT di.definition, threshold, event_type, value, d FROM di JOIN dp USING (definition, "row", col)),
+bs AS (SELECT definition, any_value(threshold) AS threshold, avg(CAST(d <= 3.4 AS INT)) FILTER (WHERE event_type = 'error') AS pn, avg(CAST(d <= 3.4 AS INT)) FILTER (WHERE event_type <> 'error') AS nn, quantile_cont(d, 0.5) AS am, quantile_cont(d, 0.5) FILTER (WHERE value > 20) AS tm FROM ms GROUP BY 1),
+tg AS (SELECT definition, 'PD-L1' AS target, d, value > 40 AND value > 20 AS hit FROM ms UNION ALL SELECT definition, 'LAG-3', d, event_type = 'view' AND value > 20 FROM ms),
+pt AS (SELECT definition, target, count(*) FILTER (WHERE hit) AS target_positive_tumour_cells, avg(CAST(d <= 25 AS INT)) FILTER (WHERE hit AND d IS NOT NULL) AS a, avg(CAST(d <= 50 AS INT)) FILTER (WHERE hit AND d IS NOT NULL) AS b, avg(CAST(d <= 100 AS INT)) FILTER (WHERE hit AND d IS NOT NULL) AS c, quantile_cont(d, 0.5) FILTER (WHERE hit) AS m, quantile_cont(d, 0.9) FILTER (WHERE hit) AS q FROM tg GROUP BY ALL)"""
+
+
+@register("image_definition_sensitivity", f"""WITH RECURSIVE {IDS} SELECT definition, target, target_positive_tumour_cells, round(pt.a, 6) AS target_within_25, round(pt.b, 6) AS target_within_50, round(pt.c, 6) AS target_within_100, round(m, 6) AS target_median, round(q, 6) AS target_q90, round(pn, 6) AS positive_within_near, round(nn, 6) AS negative_within_near, round(am, 6) AS all_cell_median, round(tm, 6) AS tumour_cell_median,
+3 AS minimum_component_pixels, k1.k AS raw_components, coalesce(k2.k, 0) AS retained_components, round(coalesce(px, 0) / CAST(dim.n AS DOUBLE), 6) AS pixel_fraction, round(coalesce(md, 0) * 3.4 * 3.4, 6) AS median_component_area_um2, threshold FROM pt JOIN bs USING (definition) LEFT JOIN k1 USING (definition) LEFT JOIN k2 USING (definition), dim""")
 def image_sensitivity(spark, folder):
     cells = px.pixel_at_points(pixel_cells(spark, folder), pixels(spark, folder), ["v"]).withColumn("sampled", F.col("v").cast("double"))
     found, _ = su.image_definition_sensitivity(
         cells, pixels(spark, folder), "v", "sampled", F.col("event_type") != "error", {"inclusive_1pct": 0.99, "balanced_0_5pct": 0.995, "strict_0_1pct": 0.999},
         {"PD-L1": F.col("value") > 40, "LAG-3": F.col("event_type") == "view"}, F.col("value") > 20, 3.4, 25.0,
     )
-    return found
+    keep = ("definition", "target", "target_positive_tumour_cells", "minimum_component_pixels", "raw_components", "retained_components", "threshold")
+    return rounded(found, *[c for c in found.columns if c not in keep])
 
 
 CHN = f"""{WIN}, cc AS (SELECT event_type AS channel, value AS ref, local_mean AS smp FROM pts JOIN win USING (cell_id)), ck AS (SELECT channel, {logq('ref', 0.05)} AS lo, {logq('ref', 0.99)} AS hi FROM cc GROUP BY 1),

@@ -55,6 +55,20 @@ def ledger_violations(nodes: DataFrame, edges: DataFrame, requirements: DataFram
     return bad_nodes.unionByName(bad_edges).unionByName(orphans).unionByName(bad_requirements)
 
 
+def evidence_tables(nodes: DataFrame, edges: DataFrame, requirements: DataFrame) -> dict[str, DataFrame]:
+    """Typed ledger tables holding only rows without violations, and the violations themselves."""
+    broken = ledger_violations(nodes, edges, requirements)
+
+    def clean(df: DataFrame, kind: str, item: Column) -> DataFrame:
+        bad = broken.where(F.col("kind") == kind).select(KEY, F.col("item").alias("__item")).distinct()
+        return df.withColumn("__item", item.cast("string")).join(bad, [KEY, "__item"], "left_anti").drop("__item")
+
+    return {
+        "nodes": clean(nodes, "node", F.col("node_id")), "edges": clean(edges, "edge", F.concat_ws(">", "source", "target")),
+        "requirements": clean(requirements, "requirement", F.col("requirement")), "violations": broken,
+    }
+
+
 def artefact_status(documents: DataFrame, text: str, values: Mapping[str, str]) -> DataFrame:
     """Result documents must carry the expected status fragment; values are lifted by JSON path."""
     status = F.get_json_object(text, "$.status")

@@ -125,16 +125,23 @@ TRIPLET_ENDINGS = {"metadata": "_metadata_file", "expression": "_exprMat_file",
 
 
 def triplet_inventory(paths: DataFrame) -> DataFrame:
-    """Sample and table kind of each path; only samples that have all three tables are kept."""
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    """Sample and table kind of each path; only samples that have all three tables are kept.
+
+    A table may be one CSV file or a folder of part files with such a name.
+    """
     kind = F.lit(None).cast("string")
     for label, ending in TRIPLET_ENDINGS.items():
-        kind = F.when(name.rlike(ending + r"\.csv(\.gz)?$"), F.lit(label)).otherwise(kind)
-    known = paths.select("path", F.split_part(name, F.lit("_"), F.lit(1)).alias("sample"), kind.alias("kind")).where("kind IS NOT NULL")
+        kind = F.when(F.col("path").rlike(ending + r"\.csv(\.gz)?(/[^/]*)?$"), F.lit(label)).otherwise(kind)
+    known = paths.select("path", _sample_of(F.col("path")).alias("sample"), kind.alias("kind")).where("kind IS NOT NULL")
     complete = known.groupBy("sample").agg(F.count_distinct("kind").alias("kinds")).where("kinds = 3").select("sample")
     return known.join(complete, "sample", "left_semi")
 
 
+def _sample_of(path: Column) -> Column:
+    endings = "|".join(TRIPLET_ENDINGS.values())
+    return F.split_part(F.regexp_extract(path, rf"([^/]+)({endings})\.csv", 1), F.lit("_"), F.lit(1))
+
+
 def read_sample_triplets(spark: SparkSession, folder: str, wanted: Sequence[str], keys: Sequence[str] = ("fov", "cell_ID")) -> DataFrame:
     """One row per (sample, fov, cell) with metadata and the wanted expression columns."""
 
@@ -142,7 +149,7 @@ def read_sample_triplets(spark: SparkSession, folder: str, wanted: Sequence[str]
         raw = spark.read.option("header", True).csv(f"{folder}/*{TRIPLET_ENDINGS[kind]}.csv*")
         raw = raw.withColumn("path", F.col("_metadata.file_path"))
         raw = raw.drop(*[c for c in raw.columns if c.startswith("Unnamed:") or c == "_c0"])
-        return raw.withColumn("sample", F.split_part(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("_"), F.lit(1)))
+        return raw.withColumn("sample", _sample_of(F.col("path")))
 
     metadata, expression, polygons = part("metadata"), part("expression"), part("polygons")
     present = [f.select("path").distinct() for f in (metadata, expression, polygons)]
