@@ -1,8 +1,9 @@
 """Nearest, k-nearest and within-radius joins as grid equi-joins.
 
 1. Coordinates are reduced to distinct points, so a coordinate shared by very many rows is one point.
-2. A first grid join, with a cell size chosen from counted bin occupancies, settles every query
-   whose neighbours lie within one cell.
+2. Counts on a coarse grid give every area its own cell size; a single equi-join on (cell size, cell)
+   then settles every query whose neighbours lie within one cell.  Cells that still hold too many
+   sources are left out of this join.
 3. What is left descends a pyramid of counted bounding boxes.  A box is dropped only when it
    cannot hold one of the k nearest, so the answer stays exact in dense and in empty areas.
 """
@@ -12,127 +13,151 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, cut_lineage, materialised
+from tessella.session import broadcast_if, cut_lineage, materialised
 
 FAN = 4
+LEAF = 16
+COARSE_LEVEL = 6
+HOT_FACTOR = 64
+DEEPEST = 40
 Finish = Callable[[DataFrame], DataFrame]
+DISTANCE = "sqrt((qx - sx) * (qx - sx) + (qy - sy) * (qy - sy)) AS d"
 
 
-def _cell(column: str, origin: float, size: float) -> Column:
-    return F.floor((F.col(column) - F.lit(origin)) / F.lit(size)).cast("long")
+class _Extent:
+    """Origin and span of the sources; cell sizes are span / 2^level."""
 
+    def __init__(self, sources: DataFrame, by: list[str]) -> None:
+        groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+        row = sources.agg(
+            F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"),
+            F.count(F.lit(1)).alias("n"), groups.alias("groups"),
+        ).first()
+        self.n = row["n"]
+        self.per_group = self.n / max(row["groups"] or 1, 1)
+        if self.n:
+            self.x0, self.y0 = row["x0"], row["y0"]
+            self.span = max(row["x1"] - row["x0"], row["y1"] - row["y0"]) or 1.0
 
-def _choose_size(
-    queries: DataFrame, sources: DataFrame, by: list[str], origin: tuple[float, float], span: float, n: int, k: int
-) -> float:
-    """Coarsest of several cell sizes whose expected number of compared pairs is affordable."""
-    wanted = 2.0 + k / 2
-    base = max(0, math.floor(math.log2(math.sqrt(max(n / wanted, 1.0)))))
-    levels = [base + step for step in (0, 1, 2, 4, 6, 9, 13, 18)]
-    tagged = queries.selectExpr(*by, "qx AS x", "qy AS y", "1L AS nq", "0L AS ns").unionByName(
-        sources.selectExpr(*by, "sx AS x", "sy AS y", "0L AS nq", "1L AS ns")
-    )
-    bins = (
-        tagged.withColumn("level", F.explode(F.array(*[F.lit(level) for level in levels])))
-        .groupBy(
-            *by, "level",
-            F.expr(f"floor((x - {origin[0]!r}D) * pow(2D, level) / {span!r}D)").alias("bx"),
-            F.expr(f"floor((y - {origin[1]!r}D) * pow(2D, level) / {span!r}D)").alias("by_"),
-        )
-        .agg(F.sum("nq").alias("nq"), F.sum("ns").alias("ns"))
-    )
-    cost = bins.groupBy("level").agg(F.expr("sum(CAST(nq AS DOUBLE) * ns)").alias("pairs"), F.sum("nq").alias("queries"))
-    for row in sorted(cost.collect(), key=lambda r: r["level"]):
-        if row["pairs"] <= 1.5 * wanted * max(row["queries"], 1):
-            return span / 2.0 ** row["level"]
-    return span / 2.0 ** levels[-1]
+    def cell(self, column: str, axis: str, level: str) -> str:
+        """Cell index of a coordinate at a level given as an SQL expression."""
+        start = self.x0 if axis == "x" else self.y0
+        return f"CAST(floor(({column} - {start!r}D) * pow(2D, {level}) / {self.span!r}D) AS BIGINT)"
 
 
-DISTANCE = "sqrt((qx - sx) * (qx - sx) + (qy - sy) * (qy - sy)) AS d"
-
-
-def _grid_pairs(
-    queries: DataFrame, sources: DataFrame, by: list[str], origin: tuple[float, float], size: float, reach: float
-) -> DataFrame:
-    def cell(column: str, start: float) -> str:
-        return f"CAST(floor(({column} - {start!r}D) / {size!r}D) AS BIGINT)"
+def _level_map(sources: DataFrame, by: list[str], extent: _Extent, coarse: int, k: int, lowest: int) -> DataFrame:
+    """Level per coarse cell so that a 3 x 3 block of cells holds a few times k sources.
 
+    The occupancy is the one a source sees (sum of n squared over n), so a dense spot inside a
+    coarse cell makes its cells small.
+    """
+    wanted = 3.0 * k + 9.0
+    fine = coarse + 2 + max(0, math.floor(math.log2(math.sqrt(max(extent.per_group / 4**coarse / 32, 1.0)))))
+    bins = sources.groupBy(
+        *by, F.expr(extent.cell("sx", "x", str(fine))).alias("fx"), F.expr(extent.cell("sy", "y", str(fine))).alias("fy")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    ratio = 2 ** (fine - coarse)
+    cells = bins.groupBy(*by, F.expr(f"fx div {ratio}").alias("gx"), F.expr(f"fy div {ratio}").alias("gy")).agg(
+        F.expr(f"greatest(sum(n * (n - 1)) / sum(n), sum(n) / {float(ratio * ratio)}D)").alias("seen")
+    )
+    level = f"CAST(greatest({max(coarse, lowest)}, least({DEEPEST}, {fine} + rint(log(4D, 9D * seen / {wanted}D)))) AS INT)"
+    return cells.selectExpr(*by, "gx", "gy", f"{level} AS level")
+
+
+def _grid_pairs(queries: DataFrame, sources: DataFrame, by: list[str], extent: _Extent, k: int, radius: float | None) -> DataFrame:
+    """Pairs closer than one cell of the query's own cell size (and ``radius``)."""
+    coarse = max(0, min(COARSE_LEVEL, math.floor(math.log2(math.sqrt(max(extent.per_group / 32, 1.0))))))
+    lowest = 0 if radius is None else max(0, min(DEEPEST, math.floor(math.log2(extent.span / radius)) if radius < extent.span else 0))
+    start = max(coarse, lowest)
+    levels = cut_lineage(_level_map(sources, by, extent, coarse, k, lowest))
+    rows = levels.count()
+    at = [f"{extent.cell('qx', 'x', str(coarse))} AS gx", f"{extent.cell('qy', 'y', str(coarse))} AS gy"]
     shifts = "explode(array(-1L, 0L, 1L))"
-    spread = (
-        sources.selectExpr("*", f"{shifts} AS i")
-        .selectExpr("*", f"{shifts} AS j")
-        .selectExpr(*sources.columns, f"{cell('sx', origin[0])} + i AS bx", f"{cell('sy', origin[1])} + j AS by_")
+    placed = queries.selectExpr("*", *at).join(broadcast_if(levels, rows), [*by, "gx", "gy"], "left").selectExpr(
+        *queries.columns, f"coalesce(level, {start}) AS level"
+    )
+    around = placed.selectExpr("*", f"{shifts} AS i").selectExpr("*", f"{shifts} AS j").selectExpr(
+        *queries.columns, "level", f"{extent.cell('qx', 'x', 'level')} + i AS bx", f"{extent.cell('qy', 'y', 'level')} + j AS by_"
     )
-    placed = queries.selectExpr("*", f"{cell('qx', origin[0])} AS bx", f"{cell('qy', origin[1])} AS by_")
-    pairs = placed.join(spread, [*by, "bx", "by_"]).selectExpr("*", DISTANCE)
-    return pairs.where(f"d <= {reach!r}D").drop("bx", "by_")
+    # A source takes part in every cell size used in its own or a neighbouring coarse cell.
+    nearby = levels.selectExpr("*", f"{shifts} AS i").selectExpr("*", f"{shifts} AS j").selectExpr(*by, "gx + i AS gx", "gy + j AS gy", "level")
+    nearby = nearby.groupBy(*by, "gx", "gy").agg(F.collect_set("level").alias("levels"))
+    at = [f"{extent.cell('sx', 'x', str(coarse))} AS gx", f"{extent.cell('sy', 'y', str(coarse))} AS gy"]
+    spread = sources.selectExpr("*", *at).join(broadcast_if(nearby, 9 * rows), [*by, "gx", "gy"]).selectExpr(
+        *sources.columns, f"explode(array_union(levels, array({start}))) AS level"
+    )
+    spread = spread.selectExpr("*", f"{extent.cell('sx', 'x', 'level')} AS bx", f"{extent.cell('sy', 'y', 'level')} AS by_")
+    keys = [*by, "level", "bx", "by_"]
+    crowded = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_FACTOR * (k + 3)).drop("__n")
+    crowded = cut_lineage(crowded)
+    if not crowded.isEmpty():
+        blocked = around.join(crowded, keys, "left_semi").select(*queries.columns).distinct()
+        around = around.join(blocked, queries.columns, "left_anti")
+        spread = spread.join(crowded, keys, "left_anti")
+    reach = f"{extent.span!r}D / pow(2D, level)"
+    limit = reach if radius is None else f"least({reach}, {radius!r}D)"
+    complete = "false" if radius is None else f"{reach} >= {radius!r}D"
+    pairs = around.join(spread, keys).selectExpr("*", DISTANCE, f"{complete} AS complete")
+    return pairs.where(f"d <= {limit}").drop("level", "bx", "by_")
 
 
 def _pyramid_pairs(
-    queries: DataFrame, sources: DataFrame, by: list[str], origin: tuple[float, float],
-    span: float, size: float, k: int, radius: float | None,
+    queries: DataFrame, sources: DataFrame, by: list[str], extent: _Extent, k: int, radius: float | None
 ) -> DataFrame:
     """Candidate pairs that include every source among the k nearest (and within ``radius``)."""
-    depth = max(1, math.ceil(math.log(max(span / size, 1.0)) / math.log(FAN)))
-    finest = span / FAN**depth
-    points = sources.withColumn("bx", _cell("sx", origin[0], finest)).withColumn("by_", _cell("sy", origin[1], finest))
-    leaf = points.groupBy(*by, "bx", "by_").agg(
-        F.sum("w").alias("n"),
-        F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"),
-    )
-    scale = F.lit(FAN).cast("double")
-    pyramid = cut_lineage(
-        leaf.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-        .groupBy(
-            *by, "level",
-            F.floor(F.col("bx") / F.pow(scale, depth - F.col("level"))).alias("bx"),
-            F.floor(F.col("by_") / F.pow(scale, depth - F.col("level"))).alias("by_"),
+    depth = max(1, math.ceil(math.log(math.sqrt(max(extent.per_group / LEAF, 1.0)), FAN)))
+
+    def leaves(depth: int) -> tuple[DataFrame, DataFrame]:
+        level = str(depth * int(math.log2(FAN)))
+        points = sources.selectExpr("*", f"{extent.cell('sx', 'x', level)} AS px", f"{extent.cell('sy', 'y', level)} AS py")
+        boxes = points.groupBy(*by, "px", "py").agg(
+            F.sum("w").alias("n"), F.count(F.lit(1)).alias("points"),
+            F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"),
         )
-        .agg(
-            F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-            F.min("y0").alias("y0"), F.max("y1").alias("y1"),
-        )
-    )
-    all_boxes = pyramid.count()
-    limit = int(queries.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))
-    top = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
-    candidates = queries.withColumn("o", F.explode(top)).select(
-        *by, "qx", "qy", F.col("o.i").cast("long").alias("px"), F.col("o.j").cast("long").alias("py"),
+        return points, cut_lineage(boxes)
+
+    points, leaf = leaves(depth)
+    # Dense spots ask for a deeper pyramid; distinct coordinates make this end.
+    while 2 * depth < DEEPEST:
+        seen = leaf.agg(F.expr("sum(CAST(points AS DOUBLE) * points) / sum(points)").alias("s")).first()["s"]
+        if seen <= 8 * (LEAF + k):
+            break
+        depth += max(1, math.ceil(math.log(math.sqrt(seen / (LEAF + k)), FAN)))
+        points, leaf = leaves(depth)
+    pyramid = leaf.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(depth)))).groupBy(
+        *by, "level", F.expr(f"CAST(floor(px / pow({FAN}D, {depth} - level)) AS BIGINT)").alias("bx"),
+        F.expr(f"CAST(floor(py / pow({FAN}D, {depth} - level)) AS BIGINT)").alias("by_"),
+    ).agg(
+        F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")
     )
+    pyramid = cut_lineage(pyramid.withColumns({
+        "px": F.when(F.col("level") > 1, F.expr(f"bx div {FAN}")).otherwise(F.lit(0)).cast("long"),
+        "py": F.when(F.col("level") > 1, F.expr(f"by_ div {FAN}")).otherwise(F.lit(0)).cast("long"),
+    }))
+    boxes = pyramid.count()
     q = [*by, "qx", "qy"]
-    for level in range(depth + 1):
-        table = pyramid.where(F.col("level") == level)
-        if level:
-            table = table.withColumn("px", F.floor(F.col("bx") / FAN)).withColumn("py", F.floor(F.col("by_") / FAN))
-        else:
-            table = table.withColumn("px", F.col("bx")).withColumn("py", F.col("by_"))
-        if all_boxes <= limit:
-            table = F.broadcast(table)
-        found = candidates.join(table, [*by, "px", "py"])
-        found = found.selectExpr(
-            *q, "CAST(bx AS BIGINT) AS bx", "CAST(by_ AS BIGINT) AS by_", "n",
+    over = "PARTITION BY " + ", ".join(q)
+    cap = "" if radius is None else f" AND lo <= {radius * (1 + 1e-9)!r}D"
+    candidates = queries.selectExpr(*q, "0L AS px", "0L AS py")
+    for level in range(1, depth + 1):
+        table = broadcast_if(pyramid.where(F.col("level") == level).drop("level"), boxes)
+        found = candidates.join(table, [*by, "px", "py"]).selectExpr(
+            *q, "bx", "by_", "n",
             "sqrt(pow(greatest(x0 - qx, 0D, qx - x1), 2) + pow(greatest(y0 - qy, 0D, qy - y1), 2)) AS lo",
             "sqrt(pow(greatest(abs(qx - x0), abs(qx - x1)), 2) + pow(greatest(abs(qy - y0), abs(qy - y1)), 2)) AS hi",
         )
-        every = Window.partitionBy(*q)
         if k > 1:
-            ordered = every.orderBy("hi", "bx", "by_").rowsBetween(Window.unboundedPreceding, 0)
-            found = found.withColumn("have", F.sum("n").over(ordered))
-            bound = F.min(F.when(F.col("have") >= k, F.col("hi"))).over(every)
+            found = found.selectExpr("*", f"sum(n) OVER ({over} ORDER BY hi, bx, by_ ROWS UNBOUNDED PRECEDING) AS have")
+            bound = f"min(IF(have >= {k}, hi, NULL)) OVER ({over})"
         else:
-            bound = F.min("hi").over(every)
-        slack = 1.0 + 1e-9
-        found = found.withColumn("bound", bound)
-        keep = F.col("bound").isNull() | (F.col("lo") <= F.col("bound") * slack)
-        if radius is not None:
-            keep = keep & (F.col("lo") <= F.lit(radius * slack))
-        candidates = found.where(keep).select(*q, F.col("bx").alias("px"), F.col("by_").alias("py"))
-    leaves = points.withColumnRenamed("bx", "px").withColumnRenamed("by_", "py")
-    pairs = candidates.join(leaves, [*by, "px", "py"]).selectExpr("*", DISTANCE).drop("px", "py")
-    return pairs if radius is None else pairs.where(F.col("d") <= F.lit(radius))
+            bound = f"min(hi) OVER ({over})"
+        found = found.selectExpr("*", f"{bound} AS bound").where(f"(bound IS NULL OR lo <= bound * (1D + 1e-9D)){cap}")
+        candidates = found.selectExpr(*q, "bx AS px", "by_ AS py")
+    pairs = candidates.join(points, [*by, "px", "py"]).selectExpr("*", DISTANCE, "true AS complete").drop("px", "py")
+    return pairs if radius is None else pairs.where(f"d <= {radius!r}D")
 
 
 def neighbours(
@@ -142,30 +167,20 @@ def neighbours(
 
     ``queries`` has columns by + (qx, qy), distinct; ``sources`` has by + (sx, sy, w, ...), where
     ``w`` counts the rows a source point stands for.  ``finish`` groups pairs by query and must
-    return ``have``, the summed weight.  Queries without any source in reach are absent.
+    return ``have``, the summed weight, and ``complete``.  Queries without any source in reach are
+    absent.
     """
     by = list(by)
-    extent = sources.agg(
-        F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if extent["n"] == 0:
-        return finish(queries.join(sources.limit(0), by or None, "inner").withColumn("d", F.lit(0.0)) if by
-                      else queries.crossJoin(sources.limit(0)).withColumn("d", F.lit(0.0)))
-    origin = (extent["x0"], extent["y0"])
-    span = max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"]) or 1.0
-    size = _choose_size(queries, sources, by, origin, span, extent["n"], k)
-    complete = radius is not None and size >= radius
-    reach = radius if complete else size
-    first = finish(_grid_pairs(queries, sources, by, origin, size, reach))
-    if complete:
-        return first
-    first = cut_lineage(first.where(F.col("have") >= k))
-    rest = queries.join(first, [*by, "qx", "qy"], "left_anti")
-    rest = cut_lineage(rest)
+    extent = _Extent(sources, by)
+    if extent.n == 0:
+        none = queries.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in sources.dtypes if c not in by})
+        return finish(none.withColumns({"d": F.lit(0.0), "complete": F.lit(True)}))
+    first = finish(_grid_pairs(queries, sources, by, extent, k, radius))
+    first = cut_lineage(first.where(F.col("complete") | (F.col("have") >= k)))
+    rest = cut_lineage(queries.join(first, [*by, "qx", "qy"], "left_anti"))
     if rest.isEmpty():
         return first
-    return first.unionByName(finish(_pyramid_pairs(rest, sources, by, origin, span, size, k, radius)))
+    return first.unionByName(finish(_pyramid_pairs(rest, sources, by, extent, k, radius)))
 
 
 def _query_points(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -196,7 +211,7 @@ def nearest_distance(
     cells, sources = materialised(cells), materialised(sources)
     found = neighbours(
         _query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), by, 1, None,
-        lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias(out), F.count(F.lit(1)).alias("have")),
+        lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias(out), F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete")),
     )
     return _join_back(cells, found, by, x, y, [out])
 
@@ -220,7 +235,7 @@ def radius_density(
     totals = sources.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
     found = neighbours(
         _query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), by, limit, radius,
-        lambda pairs: pairs.groupBy(*q).agg(F.sum("w").alias("have")),
+        lambda pairs: pairs.groupBy(*q).agg(F.sum("w").alias("have"), F.bool_or("complete").alias("complete")),
     ).withColumnRenamed("have", "__have")
     joined = _join_back(cells, found, by, x, y, ["__have"])
     if by:
@@ -261,7 +276,7 @@ def knn_local_mean(
         best = pairs.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= k)
         return best.groupBy(*q).agg(
             *[F.avg(f"__v{i}").alias(v + suffix) for i, v in enumerate(values)],
-            F.count(F.lit(1)).alias("have"),
+            F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete"),
         )
 
     found = neighbours(_query_points(cells, by, x, y), sources, by, k, radius, finish)

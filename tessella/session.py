@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,45 +35,39 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """New folder for intermediate files: shared on a cluster, local only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint in the folder the cluster names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    size = input_bytes(df)
-    saved = df.checkpoint(eager=True)
-    leaves = saved._jdf.queryExecution().optimizedPlan().collectLeaves()
-    _SAVED_BYTES[(context.applicationId, leaves.apply(0).rdd().id())] = size
-    return saved
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Unlike a checkpoint this computes the last stage once, keeps column pruning and gives the
+    optimiser true sizes; a lost executor only costs re-reading files.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark) + "/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Checkpoint a table that is about to be read several times, unless it is a plain scan."""
+    """Write out a table that is about to be read several times, unless it is a plain scan."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     costly = any(node in plan for node in ("Join", "Aggregate", "Window", "Generate"))
     return cut_lineage(df) if costly else df
 
 
-# Input size of checkpointed tables; their own statistics multiply the sizes of joined inputs.
-_SAVED_BYTES: dict[tuple[str, int], int] = {}
-
-
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the relations a plan reads, taken from the optimiser's statistics (no job)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        saved = None
-        if leaf.getClass().getSimpleName() == "LogicalRDD":
-            saved = _SAVED_BYTES.get((df.sparkSession.sparkContext.applicationId, leaf.rdd().id()))
-        total += int(leaf.stats().sizeInBytes()) if saved is None else saved
-    return total
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_bounded(df: DataFrame) -> bool:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import scratch_folder  # noqa: F401  (part of this module's interface)
 from tessella.sources.quality import DataQualityError, assert_finite, assert_unique, require_columns
 
 CELL_COLUMNS = ("cell_id", "x_centroid", "y_centroid", "cell_area", "nucleus_area")
@@ -21,16 +20,6 @@ OUTCOME_COLUMNS = (
 )
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """New folder for intermediate files: shared on a cluster, local only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tessella-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def _load(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     lowered = path.lower()
     if lowered.endswith((".csv", ".csv.gz")) or "*.csv" in lowered:
