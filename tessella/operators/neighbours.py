@@ -49,12 +49,12 @@ class _Extent:
 
 
 def _level_map(sources: DataFrame, by: list[str], extent: _Extent, coarse: int, k: int, lowest: int) -> DataFrame:
-    """Level per coarse cell so that a 3 x 3 block of cells holds a few times k sources.
+    """Level per coarse cell so that a 3 x 3 block of cells holds several times k sources.
 
     The occupancy is the one a source sees (sum of n squared over n), so a dense spot inside a
     coarse cell makes its cells small.
     """
-    wanted = 3.0 * k + 9.0
+    wanted = 5.0 * k + 10.0
     fine = coarse + 2 + max(0, math.floor(math.log2(math.sqrt(max(extent.per_group / 4**coarse / 32, 1.0)))))
     bins = sources.groupBy(
         *by, F.expr(extent.cell("sx", "x", str(fine))).alias("fx"), F.expr(extent.cell("sy", "y", str(fine))).alias("fy")
@@ -171,6 +171,8 @@ def neighbours(
     absent.
     """
     by = list(by)
+    # Distinct points are read by several stages, so they are de-duplicated once.
+    queries, sources = cut_lineage(queries), cut_lineage(sources)
     extent = _Extent(sources, by)
     if extent.n == 0:
         none = queries.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in sources.dtypes if c not in by})
