@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import broadcast_if, cut_lineage, materialised
+from tessella.session import attach, broadcast_if, cut_lineage, materialised
 
 FAN = 4
 LEAF = 16
@@ -48,13 +48,17 @@ class _Extent:
         return f"CAST(floor(({column} - {start!r}D) * pow(2D, {level}) / {self.span!r}D) AS BIGINT)"
 
 
+def _wanted(k: int) -> float:
+    """Sources a 3 x 3 block of cells should hold so that one cell's reach finds k of them."""
+    return 5.0 * k + 10.0
+
+
 def _level_map(sources: DataFrame, by: list[str], extent: _Extent, coarse: int, k: int, lowest: int) -> DataFrame:
-    """Level per coarse cell so that a 3 x 3 block of cells holds several times k sources.
+    """Level of every coarse cell whose own sources ask for cells no larger than itself.
 
     The occupancy is the one a source sees (sum of n squared over n), so a dense spot inside a
     coarse cell makes its cells small.
     """
-    wanted = 5.0 * k + 10.0
     fine = coarse + 2 + max(0, math.floor(math.log2(math.sqrt(max(extent.per_group / 4**coarse / 32, 1.0)))))
     bins = sources.groupBy(
         *by, F.expr(extent.cell("sx", "x", str(fine))).alias("fx"), F.expr(extent.cell("sy", "y", str(fine))).alias("fy")
@@ -63,22 +67,28 @@ def _level_map(sources: DataFrame, by: list[str], extent: _Extent, coarse: int,
     cells = bins.groupBy(*by, F.expr(f"fx div {ratio}").alias("gx"), F.expr(f"fy div {ratio}").alias("gy")).agg(
         F.expr(f"greatest(sum(n * (n - 1)) / sum(n), sum(n) / {float(ratio * ratio)}D)").alias("seen")
     )
-    level = f"CAST(greatest({max(coarse, lowest)}, least({DEEPEST}, {fine} + rint(log(4D, 9D * seen / {wanted}D)))) AS INT)"
-    return cells.selectExpr(*by, "gx", "gy", f"{level} AS level")
+    level = f"CAST(least({DEEPEST}, {fine} + rint(log(4D, 9D * seen / {_wanted(k)}D))) AS INT)"
+    own = cells.selectExpr(*by, "gx", "gy", f"{level} AS level").where(F.col("level") >= coarse)
+    return own.withColumn("level", F.greatest("level", F.lit(lowest)))
 
 
-def _grid_pairs(queries: DataFrame, sources: DataFrame, by: list[str], extent: _Extent, k: int, radius: float | None) -> DataFrame:
+def _grid_pairs(
+    queries: DataFrame, sources: DataFrame, groups: DataFrame, by: list[str], extent: _Extent, k: int, radius: float | None
+) -> DataFrame:
     """Pairs closer than one cell of the query's own cell size (and ``radius``)."""
     coarse = max(0, min(COARSE_LEVEL, math.floor(math.log2(math.sqrt(max(extent.per_group / 32, 1.0))))))
-    lowest = 0 if radius is None else max(0, min(DEEPEST, math.floor(math.log2(extent.span / radius)) if radius < extent.span else 0))
-    start = max(coarse, lowest)
+    lowest = -1 if radius is None else max(-1, min(DEEPEST, math.floor(math.log2(extent.span / radius))))
     levels = cut_lineage(_level_map(sources, by, extent, coarse, k, lowest))
     rows = levels.count()
+    # Areas with few sources share one level per group, down to a cell that holds the whole extent.
+    start = f"CAST(greatest({lowest}, least({coarse}, floor(log(4D, 9D * n / {_wanted(k)}D)))) AS INT) AS start"
+    starts = groups.selectExpr(*by, start)
+    if by:
+        starts = broadcast_if(starts, groups.count())
     at = [f"{extent.cell('qx', 'x', str(coarse))} AS gx", f"{extent.cell('qy', 'y', str(coarse))} AS gy"]
     shifts = "explode(array(-1L, 0L, 1L))"
-    placed = queries.selectExpr("*", *at).join(broadcast_if(levels, rows), [*by, "gx", "gy"], "left").selectExpr(
-        *queries.columns, f"coalesce(level, {start}) AS level"
-    )
+    placed = queries.selectExpr("*", *at).join(broadcast_if(levels, rows), [*by, "gx", "gy"], "left")
+    placed = (placed.join(starts, by) if by else attach(placed, starts)).selectExpr(*queries.columns, "coalesce(level, start) AS level")
     around = placed.selectExpr("*", f"{shifts} AS i").selectExpr("*", f"{shifts} AS j").selectExpr(
         *queries.columns, "level", f"{extent.cell('qx', 'x', 'level')} + i AS bx", f"{extent.cell('qy', 'y', 'level')} + j AS by_"
     )
@@ -86,8 +96,9 @@ def _grid_pairs(queries: DataFrame, sources: DataFrame, by: list[str], extent: _
     nearby = levels.selectExpr("*", f"{shifts} AS i").selectExpr("*", f"{shifts} AS j").selectExpr(*by, "gx + i AS gx", "gy + j AS gy", "level")
     nearby = nearby.groupBy(*by, "gx", "gy").agg(F.collect_set("level").alias("levels"))
     at = [f"{extent.cell('sx', 'x', str(coarse))} AS gx", f"{extent.cell('sy', 'y', str(coarse))} AS gy"]
-    spread = sources.selectExpr("*", *at).join(broadcast_if(nearby, 9 * rows), [*by, "gx", "gy"]).selectExpr(
-        *sources.columns, f"explode(array_union(levels, array({start}))) AS level"
+    spread = sources.selectExpr("*", *at).join(broadcast_if(nearby, 9 * rows), [*by, "gx", "gy"], "left")
+    spread = (spread.join(starts, by) if by else attach(spread, starts)).selectExpr(
+        *sources.columns, "explode(IF(levels IS NULL, array(start), array_union(levels, array(start)))) AS level"
     )
     spread = spread.selectExpr("*", f"{extent.cell('sx', 'x', 'level')} AS bx", f"{extent.cell('sy', 'y', 'level')} AS by_")
     keys = [*by, "level", "bx", "by_"]
@@ -177,7 +188,10 @@ def neighbours(
     if extent.n == 0:
         none = queries.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in sources.dtypes if c not in by})
         return finish(none.withColumns({"d": F.lit(0.0), "complete": F.lit(True)}))
-    first = finish(_grid_pairs(queries, sources, by, extent, k, radius))
+    groups = cut_lineage(sources.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    if by:
+        queries = queries.join(broadcast_if(groups.select(*by), groups.count()), by, "left_semi")
+    first = finish(_grid_pairs(queries, sources, groups, by, extent, k, radius))
     first = cut_lineage(first.where(F.col("complete") | (F.col("have") >= k)))
     rest = cut_lineage(queries.join(first, [*by, "qx", "qy"], "left_anti"))
     if rest.isEmpty():
