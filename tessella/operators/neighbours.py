@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import attach, broadcast_if, cut_lineage, materialised
@@ -199,37 +199,46 @@ def neighbours(
     return first.unionByName(finish(_pyramid_pairs(rest, sources, by, extent, k, radius)))
 
 
+def _keys(by: Sequence[str]) -> list[str]:
+    """Internal names of the group columns, so that callers may use any column names."""
+    return [f"__b{i}" for i in range(len(by))]
+
+
+def _renamed(by: Sequence[str]) -> list[Column]:
+    return [F.col(name).alias(key) for name, key in zip(by, _keys(by))]
+
+
 def _query_points(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return df.select(
-        *by, F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")
+        *_renamed(by), F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")
     ).distinct()
 
 
 def _source_points(df: DataFrame, by: Sequence[str], x: str, y: str, k: int) -> DataFrame:
     return df.groupBy(
-        *by, F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy")
+        *_renamed(by), F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy")
     ).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("w"))
 
 
 def _join_back(df: DataFrame, found: DataFrame, by: Sequence[str], x: str, y: str, columns: Sequence[str]) -> DataFrame:
-    right = found.select(*[F.col(b).alias("__" + b) for b in by], "qx", "qy", *columns)
-    condition = (df[x].cast("double") == right["qx"]) & (df[y].cast("double") == right["qy"])
-    for b in by:
-        condition = condition & (df[b] == right["__" + b])
-    return df.join(right, condition, "left").drop("qx", "qy", *["__" + b for b in by])
+    right = found.select(*_keys(by), F.col("qx").alias("__qx"), F.col("qy").alias("__qy"), *columns)
+    condition = (df[x].cast("double") == right["__qx"]) & (df[y].cast("double") == right["__qy"])
+    for name, key in zip(by, _keys(by)):
+        condition = condition & (df[name] == right[key])
+    return df.join(right, condition, "left").drop("__qx", "__qy", *_keys(by))
 
 
 def nearest_distance(
     cells: DataFrame, sources: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y", out: str = "distance"
 ) -> DataFrame:
     """Distance from each row to the nearest source row (of the same ``by`` group); NULL if none."""
-    q = [*by, "qx", "qy"]
+    q = [*_keys(by), "qx", "qy"]
     cells, sources = materialised(cells), materialised(sources)
     found = neighbours(
-        _query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), by, 1, None,
-        lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias(out), F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete")),
+        _query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), _keys(by), 1, None,
+        lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias("__d"), F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete")),
     )
-    return _join_back(cells, found, by, x, y, [out])
+    return _join_back(cells, found.withColumnRenamed("__d", out), by, x, y, [out])
 
 
 def within_distance(
@@ -246,11 +255,11 @@ def radius_density(
     x: str = "x", y: str = "y", out: str = "density",
 ) -> DataFrame:
     """Share of the ``k = min(limit, number of sources)`` nearest sources that lie within ``radius``."""
-    q = [*by, "qx", "qy"]
+    q = [*_keys(by), "qx", "qy"]
     cells, sources = materialised(cells), materialised(sources)
     totals = sources.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
     found = neighbours(
-        _query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), by, limit, radius,
+        _query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), _keys(by), limit, radius,
         lambda pairs: pairs.groupBy(*q).agg(F.sum("w").alias("have"), F.bool_or("complete").alias("complete")),
     ).withColumnRenamed("have", "__have")
     joined = _join_back(cells, found, by, x, y, ["__have"])
@@ -272,13 +281,13 @@ def knn_local_mean(
     cell_id: str = "cell_id", x: str = "x", y: str = "y", suffix: str = "_local",
 ) -> DataFrame:
     """Mean of ``values`` over the k nearest rows (itself included) within ``radius``; ties by id."""
-    q = [*by, "qx", "qy"]
+    q = [*_keys(by), "qx", "qy"]
     cells = materialised(cells)
-    at_point = Window.partitionBy(*by, "sx", "sy").orderBy("sid")
+    at_point = Window.partitionBy(*_keys(by), "sx", "sy").orderBy("sid")
     # Rows beyond the k lowest ids of one coordinate can never be among the k nearest of any point.
     sources = (
         cells.select(
-            *by, F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy"),
+            *_renamed(by), F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy"),
             F.col(cell_id).alias("sid"), *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)],
         )
         .withColumn("__rn", F.row_number().over(at_point))
@@ -295,5 +304,5 @@ def knn_local_mean(
             F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete"),
         )
 
-    found = neighbours(_query_points(cells, by, x, y), sources, by, k, radius, finish)
+    found = neighbours(_query_points(cells, by, x, y), sources, _keys(by), k, radius, finish)
     return _join_back(cells, found, by, x, y, [v + suffix for v in values])

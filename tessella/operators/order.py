@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import attach, is_bounded, null_safe
+from tessella.session import attach, cut_lineage, is_bounded, null_safe
 
 BUCKETS = 1024
 SPLIT_ABOVE = 100_000
@@ -97,7 +97,8 @@ def _distributed_quantiles(
 
         low, high = F.floor(position), F.ceil(position)
         part = F.max(F.when(here, position - F.floor(position)))
-        results.append((at(low) * (F.lit(1.0) - part) + at(high) * part).alias(name))
+        # This form returns equal neighbours unchanged, without a rounding step between them.
+        results.append((at(low) + (at(high) - at(low)) * part).alias(name))
     return placed.groupBy(*keys).agg(*results)
 
 
@@ -140,6 +141,24 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     )
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Zero-based position of every row within its group.
+
+    Large inputs are range-partitioned by group and order, so a group that holds a large share of
+    all rows is numbered piecewise and shifted by the sizes of the earlier pieces.
+    """
+    keys, order = list(keys), list(order)
+    if is_bounded(df):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    pieces = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("__piece", F.spark_partition_id()))
+    sizes = pieces.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "__piece", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(*order)) - 1
+    numbered = attach(pieces.withColumn("__at", within), offsets, [*keys, "__piece"])
+    return numbered.withColumn(out, (F.col("__off") + F.col("__at")).cast("int")).drop("__piece", "__at", "__off")
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Spearman correlation per group (Pearson of average ranks); NULL if undefined.
 

@@ -40,31 +40,35 @@ def otsu_threshold(df: DataFrame, value: str, by: Sequence[str] = (), bins: int
     result always has one row, ``empty`` when there is no finite value.
     """
     by = list(by)
-    finite = df.select(*by, F.col(value).cast("double").alias("v")).where(
-        "v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')"
+    finite = df.select(*by, F.col(value).cast("double").alias("__v")).where(
+        "__v IS NOT NULL AND NOT isnan(__v) AND abs(__v) < double('Infinity')"
     )
-    limits = finite.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = attach(finite, limits, by).where("hi > lo")
-    step = "((hi - lo) / {n}D)".format(n=bins)
-    guess = f"least(CAST(floor((v - lo) / (hi - lo) * {bins}D) AS INT), {bins - 1})"
-    placed = placed.selectExpr(*by, "v", "lo", "hi", f"{guess} AS g")
-    exact = f"CASE WHEN v < lo + g * {step} THEN g - 1 WHEN g < {bins - 1} AND v >= lo + (g + 1) * {step} THEN g + 1 ELSE g END"
-    counts = placed.groupBy(*by, "lo", "hi", F.expr(exact).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    centre = f"((lo + bin * {step}) + (CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * {step} END)) / 2D"
-    counts = counts.withColumn("centre", F.expr(centre))
-    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    limits = finite.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    placed = attach(finite, limits, by).where("__hi > __lo")
+    step = f"((__hi - __lo) / {bins}D)"
+    guess = f"least(CAST(floor((__v - __lo) / (__hi - __lo) * {bins}D) AS INT), {bins - 1})"
+    placed = placed.selectExpr(*by, "__v", "__lo", "__hi", f"{guess} AS __g")
+    exact = (
+        f"CASE WHEN __v < __lo + __g * {step} THEN __g - 1"
+        f" WHEN __g < {bins - 1} AND __v >= __lo + (__g + 1) * {step} THEN __g + 1 ELSE __g END"
+    )
+    counts = placed.groupBy(*by, "__lo", "__hi", F.expr(exact).alias("__bin")).agg(F.count(F.lit(1)).alias("__n"))
+    upper = f"(CASE WHEN __bin = {bins - 1} THEN __hi ELSE __lo + (__bin + 1) * {step} END)"
+    counts = counts.withColumn("__c", F.expr(f"((__lo + __bin * {step}) + {upper}) / 2D"))
+    upto = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
+    weighted = F.col("__n") * F.col("__c")
     cumulative = counts.select(
-        *by, "bin", "centre", "lo", "hi", F.sum("n").over(upto).alias("cn"), F.sum("n").over(whole).alias("tn"),
-        F.sum(F.col("n") * F.col("centre")).over(upto).alias("cm"), F.sum(F.col("n") * F.col("centre")).over(whole).alias("tm"),
+        *by, "__bin", "__c", F.sum("__n").over(upto).alias("__cn"), F.sum("__n").over(whole).alias("__tn"),
+        F.sum(weighted).over(upto).alias("__cm"), F.sum(weighted).over(whole).alias("__tm"),
     )
-    w = F.col("cn") / F.col("tn")
-    between = F.pow(F.col("tm") / F.col("tn") * w - F.col("cm") / F.col("tn"), 2) / (w * (1 - w))
-    # Rounding makes equal scores of empty neighbouring bins compare equal, so the first one wins.
-    score = F.when(F.col("cn") < F.col("tn"), between).otherwise(F.lit(0.0))
-    best = cumulative.groupBy(*by).agg(F.max_by("centre", F.struct(score, -F.col("bin"))).alias("best"))
+    w = F.col("__cn") / F.col("__tn")
+    between = F.pow(F.col("__tm") / F.col("__tn") * w - F.col("__cm") / F.col("__tn"), 2) / (w * (1 - w))
+    # Only the last bin reaches the full count; it separates nothing and must not win.
+    score = F.when(F.col("__cn") < F.col("__tn"), between).otherwise(F.lit(0.0))
+    best = cumulative.groupBy(*by).agg(F.max_by("__c", F.struct(score, -F.col("__bin"))).alias("__best"))
     found = attach(limits, best, by) if by else limits.join(best, F.lit(True), "left")
-    value_expr = F.when(F.col("lo").isNull(), F.lit(empty)).when(F.col("hi") <= F.col("lo"), F.col("hi")).otherwise(F.col("best"))
+    value_expr = F.when(F.col("__lo").isNull(), F.lit(empty)).when(F.col("__hi") <= F.col("__lo"), F.col("__hi")).otherwise(F.col("__best"))
     return found.select(*by, value_expr.alias(out))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.order import row_numbers
 from tessella.session import scratch_folder  # noqa: F401  (part of this module's interface)
 from tessella.sources.quality import DataQualityError, assert_finite, assert_unique, require_columns
 
@@ -102,8 +103,7 @@ def coo_to_csr(coo: DataFrame, majors: DataFrame) -> tuple[DataFrame, DataFrame]
         .withColumn("stop", F.col("base") + F.sum("n").over(inside))
         .select("major", (F.col("stop") - F.col("n")).alias("start"), "stop")
     )
-    spot = Window.partitionBy("major").orderBy("minor", "value")
-    entries = coo.withColumn("at", F.row_number().over(spot) - 1).join(pointers, "major").select(
+    entries = row_numbers(coo, ["major"], ["minor", "value"], "at").join(pointers, "major").select(
         (F.col("start") + F.col("at")).alias("position"), "minor", "value"
     )
     return pointers, entries
@@ -168,9 +168,9 @@ def read_cell_groups(
 
 def boundaries(rows: DataFrame, cell: str, x: str, y: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Boundary vertices with an explicit order: keys, cell_id, vertex_ix, vertex_x, vertex_y."""
-    spot = Window.partitionBy(*keys, cell).orderBy(*order)
-    return rows.select(
-        *keys, F.col(cell).alias("cell_id"), (F.row_number().over(spot) - 1).alias("vertex_ix"),
+    slim = rows.select(*dict.fromkeys([*keys, cell, x, y, *order]))
+    return row_numbers(slim, [*keys, cell], order, "vertex_ix").select(
+        *keys, F.col(cell).alias("cell_id"), "vertex_ix",
         F.col(x).cast("double").alias("vertex_x"), F.col(y).cast("double").alias("vertex_y"),
     )
 

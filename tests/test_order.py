@@ -61,3 +61,11 @@ def test_average_rank_and_spearman_equal_pandas(spark, path, split_above, monkey
 def test_constant_side_gives_null(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert order.spearman(rows, [], "x", "y").first()["rho"] is None
+
+
+def test_row_numbers_do_not_depend_on_the_path(spark, path):
+    frame = sample(500).assign(i=range(500))
+    rows = spark.createDataFrame(frame).repartition(9)
+    got = order.row_numbers(rows, ["g"], ["x", "i"], "at").toPandas().sort_values("i").reset_index(drop=True)
+    want = frame.sort_values(["x", "i"]).groupby("g").cumcount().sort_index()
+    assert (got["at"].values == want.values).all()

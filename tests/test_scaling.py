@@ -39,7 +39,7 @@ def test_minmax_and_flat_range(spark):
 
 
 def test_calibration_literal(spark):
-    rows = spark.createDataFrame(list(zip([0, 0.1, 0.2, 1, 1.2, 2.0], [False] * 3 + [True] * 3)), "s double, p boolean")
+    rows = spark.createDataFrame(list(zip([0.0, 0.1, 0.2, 1.0, 1.2, 2.0], [False] * 3 + [True] * 3)), "s double, p boolean")
     got = sc.calibrate_threshold(rows, "s", "p", 0.9).first()
     assert 0.1 < got["image_threshold"] <= 0.2 and got["true_positive_rate"] == 1.0 and got["false_positive_rate"] <= 1 / 3 + 1e-12
     one_class = sc.calibrate_threshold(rows.where("p"), "s", "p", 0.9).first()
