@@ -65,10 +65,8 @@ def item_windows(items: DataFrame, words: int, item_col: str, text_col: str) ->
     return rows.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def decontaminate(
-    docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """One row for each document: id, ``n_words``, ``n_hit``, ``items`` (sorted strings), ``contaminated``."""
+def _judged(docs: DataFrame, items: DataFrame, words: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """One row for each document: nul, id, tag, ``n_words``, ``n_hit``, ``items``, ``contaminated``."""
     windows = step(item_windows(items, words, item_col, item_text).withColumn("size", F.least(F.col("len"), F.lit(SHINGLE))))
     parts = windows.select("window", "size", F.inline(_shingles("window", F.col("size"))))
     tokens = step(parts.select("size", "s").distinct())
@@ -87,9 +85,9 @@ def decontaminate(
     found = step(found.groupBy("nul", "id", "tag").agg(F.collect_set("hit").alias("hits")))
 
     joined = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(found, ["nul", "id", "tag"], "left")
-    joined = joined.select("nul", "id", words_of("text").alias("words"), "hits")
+    joined = joined.select("nul", "id", "tag", words_of("text").alias("words"), "hits")
     exact = F.filter("hits", lambda h: F.slice("words", h["start"] + 1, h["len"]) == h["window"])
-    checked = joined.select("nul", "id", F.size("words").cast("long").alias("n_words"), F.sort_array(F.transform(exact, lambda h: F.struct(
+    checked = joined.select("nul", "id", "tag", F.size("words").cast("long").alias("n_words"), F.sort_array(F.transform(exact, lambda h: F.struct(
         h["start"].alias("start"), h["len"].alias("len"), h["items"].alias("items")))).alias("hits"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -101,7 +99,23 @@ def decontaminate(
     )
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     out = checked.select(
-        F.when(~F.col("nul"), F.col("id")).alias(id_col), "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(named, F.array().cast("array<string>")).alias("items"),
+        "nul", "id", "tag", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(named, F.array().cast("array<string>")).alias("items")
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words")))
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """One row for each document: id, ``n_words``, ``n_hit``, ``items`` (sorted strings), ``contaminated``."""
+    found = _judged(docs, items, words, id_col, text_col, item_col, item_text)
+    return found.select(F.when(~F.col("nul"), F.col("id")).alias(id_col), "n_words", "n_hit", "items", "contaminated")
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, all columns as they were."""
+    bad = step(_judged(docs, items, words, id_col, text_col, item_col, item_text).where("contaminated").select("nul", "id", "tag").distinct())
+    packed = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(bad, ["nul", "id", "tag"], "left_anti")
+    return packed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

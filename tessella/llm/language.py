@@ -19,6 +19,7 @@ learn from all is ``und``; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,9 @@ from tessella.llm.common import held_out, short_batches, table
 SAMPLE_DOCS = 300
 SLICE = 400
 BLOCK = 2048
-LEVEL = 3
+#: Matches of four bytes count: syllables tell languages apart, not long repeats.
+LEVEL, SHORTEST_MATCH = 6, 4
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Least advantage over the second language, as a share of its bytes, for a text to be accepted.
 MARGIN = 0.002
 UNKNOWN = "und"
@@ -47,14 +50,20 @@ class Languages:
     texts: tuple[bytes, ...]
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
+        settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=SHORTEST_MATCH, write_content_size=0)
         out = []
         for text in self.texts:
             content = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+            content.precompute_compress(compression_params=settings)
+            out.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=content))
         return out
 
 
+def letters(text: str) -> bytes:
+    """What is compared: letters in lower case, everything between them as one space."""
+    return NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Dictionaries from a bounded sample of the rows that may be learned from."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -69,17 +78,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         part = rows.where((F.col("lang") == name) & (F.pmod("h", F.lit(slots)) == 0)).orderBy("h").limit(SAMPLE_DOCS)
         part = part.select("lang", "h", F.substring("text", F.pmod(F.xxhash64("h"), spare).cast("int") + 1, F.lit(SLICE)).alias("text"))
         sample = part if sample is None else sample.unionByName(part)
-    texts: dict[str, list[tuple[int, str]]] = {name: [] for name in names}
+    texts: dict[str, list[tuple[int, bytes]]] = {name: [] for name in names}
     for r in sample.collect() if sample is not None else []:
-        texts[r["lang"]].append((r["h"], r["text"].lower()))
-    return Languages(tuple(names), tuple("\n".join(t for _, t in sorted(texts[name])).encode() for name in names))
+        texts[r["lang"]].append((r["h"], letters(r["text"])))
+    return Languages(tuple(names), tuple(b" ".join(t for _, t in sorted(texts[name])) for name in names))
 
 
 def judge(text: str | None, languages: Languages, compressors: list[zstandard.ZstdCompressor]) -> tuple[str, float, bool]:
     """Language, score and acceptance of one text."""
     if not text or not languages.names or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, False
-    data = text.lower().encode("utf-8", "replace")
+    data = letters(text)
     blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
     sizes = [sum(len(tool.compress(block)) for block in blocks) for tool in compressors]
     best = min(range(len(sizes)), key=lambda k: (sizes[k], k))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, language, lines, packing, quality, simhash, substring, token_files
+from tessella.llm import decontaminate, language, lines, packing, pivots, pseudonyms, quality, simhash, substring, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,25 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     return language.identify(docs, language.learn(docs))
+
+
+#: Key of the registered query; a user brings a secret one.
+PSEUDONYM_KEY = "tessella"
+
+
+@_register("op7_pii_pseudonyms")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_read(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
+@_register("op10_embedding_near_dedup", r"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(_read(spark, folder, "embeddings"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import short_batches, step, table, text_of
+from tessella.llm.common import crc_of, short_batches, step, table, text_of
 from tessella.operators.components import connected_components
 
 SHINGLE = 3
@@ -33,7 +33,7 @@ SEED = 42
 SEGMENTS = 16
 ONES = 0x1111111111111111
 BLOCK = 50_000
-PRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -59,8 +59,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text, shingle) for text in batch.column(1).to_pylist()]
-            yield table({"id": batch.column(0), "fp": np.array(values, np.uint64).view(np.int64)}, PRINTS)
+            values = [fingerprint(text, shingle) for text in batch.column(2).to_pylist()]
+            yield table({"id": batch.column(0), "crc": batch.column(1), "fp": np.array(values, np.uint64).view(np.int64)}, PRINTS)
     return run
 
 
@@ -92,11 +92,11 @@ def link_prints(prints: DataFrame) -> DataFrame:
     return stars.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, ``fingerprint`` (long), ``component_id`` (smallest linked id)."""
+def _components(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """One row for each document: id, crc (of the text), fp, component_id."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    prints = step(rows.mapInArrow(_prints(shingle), "id long, fp long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
+    prints = step(rows.mapInArrow(_prints(shingle), "id long, crc long, fp long"))
     distinct = step(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("low")))
     links = step(link_prints(distinct))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -106,14 +106,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     linked = linked.join(least, "component").select("fp", "component_id")
     classes = step(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     out = prints.join(classes, "fp", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    return out.select("id", "crc", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, ``fingerprint`` (long), ``component_id`` (smallest linked id)."""
+    found = _components(docs, shingle, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each component, once, and rows without an id."""
-    found = near_duplicates(docs, SHINGLE, id_col, text_col)
-    first = step(found.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__kept")).distinct())
-    stay = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col).cast("long") == F.col("__kept")).drop("__kept").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` for each component: the smallest id (then smallest crc32 of the text).
+
+    Rows without an id stay.
+    """
+    found = _components(docs, SHINGLE, id_col, text_col)
+    first = step(found.where("id = component_id").groupBy("id").agg(F.min("crc").alias("crc")))
+    named = docs.where(F.col(id_col).isNotNull())
+    stay = named.join(first, (named[id_col].cast("long") == first["id"]) & (F.crc32(F.coalesce(named[text_col].cast("string"), F.lit("")).cast("binary")) == first["crc"]), "left_semi")
+    return stay.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
