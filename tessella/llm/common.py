@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,10 +23,20 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def step(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder, let finished shuffles go, and go on from the table."""
+def step(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write a step to the shared folder and go on from the table.
+
+    Tables of earlier steps that nothing reads any more (``done``) are deleted, and shuffle files of
+    finished jobs are let go, so the disk holds the current step and not the whole job.
+    """
     written = cut_lineage(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    context = df.sparkSession.sparkContext
+    for table in done:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
     return written
 
 

@@ -8,8 +8,9 @@ FM-index over its distinct pieces and streams the same pieces through it: backwa
 the suffix range of each window, i.e. whether its matching statistic reaches the threshold, and the
 smallest document of that range.
 
-Keys that very many pieces share are dealt one window at a time by the hash of the whole window,
-so no shard grows with one frequent pair. Identical pieces are merged before they are dealt.
+Identical pieces are merged before they are dealt. If very many different pieces share a key, its
+pieces are cut into windows, which are merged and dealt by the hash of the whole window, so no shard
+grows with one frequent pair.
 
 Defined cases: a null text has no words; a null id is never smaller than another and its rows are
 left as they are; rows with the same id never count against each other; shorter documents than one
@@ -33,7 +34,7 @@ from tessella.llm.fm_index import FMIndex
 WORDS = 13
 #: Words of fewer bytes than this are avoided as keys.
 SHORT = 6
-#: Pieces of one key above which its windows are dealt one by one. Only balances the shards.
+#: Different pieces of one key above which its windows are dealt one by one. Only balances the shards.
 HOT_PIECES = 1000
 #: Pieces of one shard.
 SHARD_PIECES = 50_000
@@ -85,6 +86,7 @@ def key_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 RUNS = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("key", pa.int64())])
 PIECES = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("route", pa.int64()), ("piece", pa.binary())])
+CUT = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("piece", pa.binary())])
 FOUND = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])
 KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
@@ -111,34 +113,35 @@ def _emit_runs(window: int) -> Callable:
 def _emit_pieces(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, crcs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            offsets, marks = lists(batch.column(3))
+            offsets, found = lists(batch.column(3))
             rows: dict[str, list] = {name: [] for name in PIECES.names}
+            sizes = []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = text.split()
                 keys = window_keys(words, window)
                 begin, length = key_runs(keys)
-                size = dict(zip(begin.tolist(), length.tolist(), strict=True))
-                for mark in marks[offsets[k] : offsets[k + 1]].tolist():
-                    start, hot = mark >> 1, mark & 1
-                    if hot:
-                        starts = list(range(start, start + size[start]))
-                        texts = [b" ".join(words[s : s + window]) for s in starts]
-                        routes = [xxhash.xxh64_intdigest(t) for t in texts]
-                        routes = np.array(routes, np.uint64).view(np.int64).tolist()
-                    else:
-                        starts, texts = [start], [b" ".join(words[start : start + size[start] + window - 1])]
-                        routes = [int(keys[start : start + 1].view(np.int64)[0])]
-                    rows["id"] += [ids[k]] * len(starts)
-                    rows["crc"] += [crcs[k]] * len(starts)
-                    rows["start"] += starts
-                    rows["route"] += routes
-                    rows["piece"] += texts
-                if len(rows["id"]) > 20_000:
-                    yield table(rows, PIECES)
-                    rows = {name: [] for name in PIECES.names}
-            if rows["id"]:
-                yield table(rows, PIECES)
+                starts = np.unique(found[offsets[k] : offsets[k + 1]])
+                ends = starts + length[np.searchsorted(begin, starts)] + window - 1
+                sizes.append(len(starts))
+                rows["start"] += starts.tolist()
+                rows["route"] += keys[starts].view(np.int64).tolist()
+                rows["piece"] += [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            rows["id"], rows["crc"] = np.repeat(np.asarray(batch.column(0)), sizes), np.repeat(np.asarray(batch.column(1)), sizes)
+            yield table(rows, PIECES)
+    return run
+
+
+def _emit_windows(window: int) -> Callable:
+    """Windows of pieces: the piece's name, place in it, first document and the window as a piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [piece.split(b" ") for piece in batch.column(2).to_pylist()]
+            sizes = [len(words) - window + 1 for words in split]
+            repeated = {name: np.repeat(np.asarray(batch.column(k)), sizes) for k, name in ((0, "p"), (1, "q"), (3, "first"))}
+            yield table(repeated | {
+                "at": [at for n in sizes for at in range(n)],
+                "piece": [b" ".join(words[at : at + window]) for words, n in zip(split, sizes, strict=True) for at in range(n)],
+            }, CUT)
     return run
 
 
@@ -225,18 +228,28 @@ def repeated_spans(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     short_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
     runs = step(rows.mapInArrow(_emit_runs(window), "id long, crc long, start int, key long"))
-    shared = runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = step(shared.where("low < high").select("key", (F.col("n") > HOT_PIECES).alias("hot")))
-    hits = runs.join(shared, "key").select("id", "crc", (F.col("start").cast("long") * 2 + F.col("hot").cast("long")).alias("mark"))
-    hits = hits.groupBy("id", "crc").agg(F.collect_list("mark").alias("marks"))
-    pieces = rows.join(hits, ["id", "crc"]).select("id", "crc", "text", "marks")
-    pieces = step(pieces.mapInArrow(_emit_pieces(window), "id long, crc long, start int, route long, piece binary"))
-    named = pieces.select("id", "crc", "start", "route", "piece", F.xxhash64("piece").alias("p"), F.xxhash64(F.lit(1), "piece").alias("q"))
+    shared = step(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
+    hits = runs.join(shared, "key", "left_semi").groupBy("id", "crc").agg(F.collect_list("start").alias("starts"))
+    hits = step(hits, runs, shared)
+    pieces = rows.join(hits, ["id", "crc"]).select("id", "crc", "text", "starts")
+    pieces = step(pieces.mapInArrow(_emit_pieces(window), "id long, crc long, start int, route long, piece binary"), hits)
+    name = [F.xxhash64("piece").alias("p"), F.xxhash64(F.lit(1), "piece").alias("q")]
+    named = pieces.select("id", "crc", "start", "route", "piece", *name)
     distinct = step(named.groupBy("route", "p", "q", "piece").agg(F.min("id").alias("first")))
+
+    hot = distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("route")
+    hot = step(hot)
+    cut = distinct.join(hot, "route", "left_semi").select("p", "q", "piece", "first")
+    cut = step(cut.mapInArrow(_emit_windows(window), "p long, q long, at int, first long, piece binary"))
+    windows = cut.groupBy("piece").agg(F.min("first").alias("first")).select(*name, "piece", "first")
+    dealt = distinct.join(hot, "route", "left_anti").select("p", "q", "piece", "first", "route")
+    dealt = dealt.unionByName(windows.withColumn("route", F.col("p")))
     shards = tasks_for(docs, distinct.count(), SHARD_PIECES)
-    found = step(
-        distinct.repartition(shards, "route").select("p", "q", "piece", "first").mapInArrow(_search(window), "p long, q long, at int, n int, first long")
-    )
+    found = dealt.repartition(shards, "route").select("p", "q", "piece", "first")
+    found = step(found.mapInArrow(_search(window), "p long, q long, at int, n int, first long"), distinct, hot)
+    back = cut.select(F.col("p").alias("in_p"), F.col("q").alias("in_q"), F.col("at").alias("in_at"), *name)
+    back = back.join(found.select("p", "q", "n", "first"), ["p", "q"]).select(F.col("in_p").alias("p"), F.col("in_q").alias("q"), F.col("in_at").alias("at"), "n", "first")
+    found = found.unionByName(back)
     spans = named.select("id", "crc", "start", "p", "q").join(found, ["p", "q"]).where("first < id")
     start = F.col("start") + F.col("at")
     return spans.select("id", "crc", start.alias("start"), (start + F.col("n") - 1 + window).alias("end"))
