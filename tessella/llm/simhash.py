@@ -1,6 +1,6 @@
 """SimHash near-dedup over segment popcounts.
 
-A 64-bit fingerprint is mapped to the bit counts of its 16 segments of four bits. One differing bit
+A 64-bit fingerprint is mapped to the bit counts of its 32 segments of two bits. One differing bit
 moves one count by one, so the Manhattan distance of two count vectors is never above the number of
 differing bits. The range join under that bound runs on a grid: each distinct fingerprint is entered
 in the cell of its own vector and in all cells one step away, so two vectors at distance two or less
@@ -30,8 +30,8 @@ from tessella.operators.components import connected_components
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 16
-ONES = 0x1111111111111111
+SEGMENTS = 32
+FIELDS = 0x5555555555555555
 BLOCK = 50_000
 PRINTS = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("fp", pa.int64())])
 
@@ -65,29 +65,33 @@ def _prints(shingle: int):
 
 
 def segment_counts(fp: Column) -> Column:
-    """Bit counts of the 16 segments, one in each four bits of a long."""
-    total = fp.bitwiseAND(F.lit(ONES))
-    for k in (1, 2, 3):
-        total = total + F.shiftrightunsigned(fp, k).bitwiseAND(F.lit(ONES))
-    return total
+    """Bit counts (0, 1, 2) of the 32 segments, one in each two bits of a long."""
+    next_bit = F.shiftrightunsigned(fp, 1)
+    one = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(FIELDS))
+    two = fp.bitwiseAND(next_bit).bitwiseAND(F.lit(FIELDS))
+    return F.shiftleft(two, 1).bitwiseOR(one)
 
 
 def grid_cells(vector: Column) -> Column:
     """The cell of a count vector and the cells at Manhattan distance one."""
     cells = [vector]
     for k in range(SEGMENTS):
-        count = F.shiftrightunsigned(vector, 4 * k).bitwiseAND(F.lit(7))
-        cells.append(F.when(count < 4, vector + (1 << 4 * k)))
-        cells.append(F.when(count > 0, vector - (1 << 4 * k)))
+        count = F.shiftrightunsigned(vector, 2 * k).bitwiseAND(F.lit(3))
+        cells.append(F.when(count < 2, vector.bitwiseXOR(F.lit(_signed(1 << 2 * k)))))  # 0 to 1, 1 to 0
+        cells.append(F.when(count > 0, vector.bitwiseXOR(F.lit(_signed(3 << 2 * k)))))  # 1 to 2, 2 to 1
     return F.array_compact(F.array(*cells))
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def link_prints(prints: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) that connect fingerprints ``fp`` (distinct) at two or fewer differing bits."""
     placed = prints.select("fp", segment_counts(F.col("fp")).alias("v")).select("fp", F.explode(grid_cells(F.col("v"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
     near = step(placed.join(step(shared), "cell", "left_semi").select("fp").distinct())
-    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
+    around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     stars = near.select("fp", F.explode(around).alias("middle")).groupBy("middle").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
     return stars.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
 

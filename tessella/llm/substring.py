@@ -8,7 +8,7 @@ FM-index over its distinct pieces and streams the same pieces through it: backwa
 the suffix range of each window, i.e. whether its matching statistic reaches the threshold, and the
 smallest document of that range.
 
-Identical pieces are merged before they are dealt. If very many different pieces share a key, its
+Exact copies of a whole document are covered by its first copy, which alone is sent on. Identical pieces are merged before they are dealt. If very many different pieces share a key, its
 pieces are cut into windows, which are merged and dealt by the hash of the whole window, so no shard
 grows with one frequent pair.
 
@@ -32,12 +32,15 @@ from tessella.llm.common import crc_of, lists, short_batches, step, table, tasks
 from tessella.llm.fm_index import FMIndex
 
 WORDS = 13
-#: Words of fewer bytes than this are avoided as keys.
+#: Words of a key: few enough to hold over many windows, enough to be rare. At most three.
+GRAM = 2
+#: Words of fewer bytes than this are avoided in keys.
 SHORT = 6
 #: Different pieces of one key above which its windows are dealt one by one. Only balances the shards.
 HOT_PIECES = 1000
 #: Pieces of one shard.
 SHARD_PIECES = 50_000
+WHOLE = (1 << 31) - 1
 #: Distinct words whose hashes one worker keeps.
 CACHE_WORDS = 300_000
 LOW62 = np.uint64((1 << 62) - 1)
@@ -63,17 +66,20 @@ def window_keys(words: list[bytes], window: int) -> np.ndarray:
     if len(words) < window:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    if window == 1:
-        return h
-    pairs = h[:-1] * MIX_A + h[1:] * MIX_B
-    pairs ^= pairs >> np.uint64(29)
-    pairs = (pairs * MIX_A & LOW62) | ((h[:-1] >> np.uint64(63)) + (h[1:] >> np.uint64(63)) << np.uint64(62))
-    width, done = window - 1, 1
+    grams = min(GRAM, window)
+    short = h >> np.uint64(63)
+    keys, demoted = h[: len(h) - grams + 1] * MIX_A, short[: len(h) - grams + 1].copy()
+    for k in range(1, grams):
+        keys = (keys ^ keys >> np.uint64(29)) * MIX_B + h[k : len(h) - grams + 1 + k]
+        demoted += short[k : len(h) - grams + 1 + k]
+    keys ^= keys >> np.uint64(29)
+    keys = (keys * MIX_A & LOW62) | (demoted << np.uint64(62))
+    width, done = window - grams + 1, 1
     while done < width:
         more = min(done, width - done)
-        pairs = np.minimum(pairs[:-more], pairs[more:])
+        keys = np.minimum(keys[:-more], keys[more:])
         done += more
-    return pairs
+    return keys
 
 
 def key_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,44 +204,55 @@ def _search(window: int) -> Callable:
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, spans = lists(batch.column(2))
-        n_words, removed, kept = [], [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            words = text.split()
-            span = spans[offsets[k] : offsets[k + 1]]
-            n_words.append(len(words))
-            if len(span):
-                depth = np.zeros(len(words) + 1, np.int64)
-                np.add.at(depth, span >> 32, 1)
-                np.add.at(depth, span & 0xFFFFFFFF, -1)
-                keep = np.cumsum(depth[:-1]) == 0
-                removed.append(len(words) - int(keep.sum()))
-                words = compress(words, keep)
-            else:
-                removed.append(0)
-            kept.append(b" ".join(words))
-        yield table({"id": batch.column(0), "n_words": n_words, "n_removed": removed, "kept": kept}, KEPT)
+def _remove(window: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, spans = lists(batch.column(2))
+            n_words, removed, kept = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                words = text.split()
+                span = spans[offsets[k] : offsets[k + 1]]
+                n_words.append(len(words))
+                if len(span) and len(words) >= window:
+                    depth = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(depth, span >> 32, 1)
+                    np.add.at(depth, np.minimum(span & WHOLE, len(words)), -1)
+                    keep = np.cumsum(depth[:-1]) == 0
+                    removed.append(len(words) - int(keep.sum()))
+                    words = compress(words, keep)
+                else:
+                    removed.append(0)
+                kept.append(b" ".join(words))
+            yield table({"id": batch.column(0), "n_words": n_words, "n_removed": removed, "kept": kept}, KEPT)
+    return run
+
+
+def _later_copies(rows: DataFrame) -> DataFrame:
+    """id, crc of documents whose whole text is also that of a smaller id."""
+    names = step(rows.select("id", "crc", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
+    first = step(names.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a", "b", "low"))
+    return step(names.join(first, ["a", "b"]).where("id > low").select("id", "crc"), first)
 
 
 def repeated_spans(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word spans that also occur in a document with a smaller id: id, crc, ``start``, ``end`` (exclusive).
 
-    ``crc`` is the crc32 of the text; spans may overlap.
+    ``crc`` is the crc32 of the text; spans may overlap. A copy of a whole document has the span
+    (0, ``WHOLE``), to be cut to the document; it counts only if the document has a window at all.
     """
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
+    copies = _later_copies(rows)
     runs = step(rows.mapInArrow(_emit_runs(window), "id long, crc long, start int, key long"))
     shared = step(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
     hits = runs.join(shared, "key", "left_semi").groupBy("id", "crc").agg(F.collect_list("start").alias("starts"))
-    hits = step(hits, runs, shared)
+    hits = step(hits.join(copies, ["id", "crc"], "left_anti"), runs, shared)
     pieces = rows.join(hits, ["id", "crc"]).select("id", "crc", "text", "starts")
     pieces = step(pieces.mapInArrow(_emit_pieces(window), "id long, crc long, start int, route long, piece binary"), hits)
     name = [F.xxhash64("piece").alias("p"), F.xxhash64(F.lit(1), "piece").alias("q")]
-    named = pieces.select("id", "crc", "start", "route", "piece", *name)
-    distinct = step(named.groupBy("route", "p", "q", "piece").agg(F.min("id").alias("first")))
+    distinct = pieces.groupBy("piece").agg(F.min("id").alias("first"), F.min("route").alias("route"))
+    distinct = step(distinct.select("route", *name, "piece", "first"))
 
     hot = distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("route")
     hot = step(hot)
@@ -250,9 +267,10 @@ def repeated_spans(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     back = cut.select(F.col("p").alias("in_p"), F.col("q").alias("in_q"), F.col("at").alias("in_at"), *name)
     back = back.join(found.select("p", "q", "n", "first"), ["p", "q"]).select(F.col("in_p").alias("p"), F.col("in_q").alias("q"), F.col("in_at").alias("at"), "n", "first")
     found = found.unionByName(back)
-    spans = named.select("id", "crc", "start", "p", "q").join(found, ["p", "q"]).where("first < id")
+    spans = pieces.select("id", "crc", "start", *name).join(found, ["p", "q"]).where("first < id")
     start = F.col("start") + F.col("at")
-    return spans.select("id", "crc", start.alias("start"), (start + F.col("n") - 1 + window).alias("end"))
+    spans = spans.select("id", "crc", start.alias("start"), (start + F.col("n") - 1 + window).alias("end"))
+    return spans.unionByName(copies.select("id", "crc", F.lit(0).alias("start"), F.lit(WHOLE).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,5 +283,5 @@ def remove_repeats(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     by_doc = step(spans.select("id", "crc", packed).groupBy("id", "crc").agg(F.collect_set("span").alias("spans")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
     merged = rows.join(by_doc, ["id", "crc"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
-    kept = merged.mapInArrow(_remove, "id long, n_words long, n_removed long, kept binary")
+    kept = merged.mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept binary")
     return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
