@@ -252,17 +252,17 @@ def repeated_spans(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     pieces = step(pieces.mapInArrow(_emit_pieces(window), "id long, crc long, start int, route long, piece binary"), hits)
     name = [F.xxhash64("piece").alias("p"), F.xxhash64(F.lit(1), "piece").alias("q")]
     distinct = pieces.groupBy("piece").agg(F.min("id").alias("first"), F.min("route").alias("route"))
-    distinct = step(distinct.select("route", *name, "piece", "first"))
+    distinct = step(distinct.select("route", "piece", "first"))
 
     hot = distinct.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PIECES).select("route")
     hot = step(hot)
-    cut = distinct.join(hot, "route", "left_semi").select("p", "q", "piece", "first")
+    cut = distinct.join(hot, "route", "left_semi").select(*name, "piece", "first")
     cut = step(cut.mapInArrow(_emit_windows(window), "p long, q long, at int, first long, piece binary"))
-    windows = cut.groupBy("piece").agg(F.min("first").alias("first")).select(*name, "piece", "first")
-    dealt = distinct.join(hot, "route", "left_anti").select("p", "q", "piece", "first", "route")
-    dealt = dealt.unionByName(windows.withColumn("route", F.col("p")))
+    windows = cut.groupBy("piece").agg(F.min("first").alias("first"))
+    dealt = distinct.join(hot, "route", "left_anti").select("route", "piece", "first")
+    dealt = dealt.unionByName(windows.select(F.xxhash64("piece").alias("route"), "piece", "first"))
     shards = tasks_for(docs, distinct.count(), SHARD_PIECES)
-    found = dealt.repartition(shards, "route").select("p", "q", "piece", "first")
+    found = dealt.repartition(shards, "route").select(*name, "piece", "first")
     found = step(found.mapInArrow(_search(window), "p long, q long, at int, n int, first long"), distinct, hot)
     back = cut.select(F.col("p").alias("in_p"), F.col("q").alias("in_q"), F.col("at").alias("in_at"), *name)
     back = back.join(found.select("p", "q", "n", "first"), ["p", "q"]).select(F.col("in_p").alias("p"), F.col("in_q").alias("q"), F.col("in_at").alias("at"), "n", "first")
