@@ -29,6 +29,8 @@ SHINGLE = 4
 #: Part of a document's words that must be hit: one in so many.
 HIT_SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A word before lower-casing, for counts.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -84,10 +86,13 @@ def _judged(docs: DataFrame, items: DataFrame, words: int, id_col: str, text_col
     found = found.select("nul", "id", "tag", F.struct(start.alias("start"), "len", "window", "items").alias("hit"))
     found = step(found.groupBy("nul", "id", "tag").agg(F.collect_set("hit").alias("hits")))
 
-    joined = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(found, ["nul", "id", "tag"], "left")
-    joined = joined.select("nul", "id", "tag", words_of("text").alias("words"), "hits")
+    joined = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(found.hint("merge"), ["nul", "id", "tag"], "left")
+    joined = joined.select(
+        "nul", "id", "tag", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"),
+        F.when(F.col("hits").isNotNull(), words_of("text")).alias("words"), "hits",
+    )
     exact = F.filter("hits", lambda h: F.slice("words", h["start"] + 1, h["len"]) == h["window"])
-    checked = joined.select("nul", "id", "tag", F.size("words").cast("long").alias("n_words"), F.sort_array(F.transform(exact, lambda h: F.struct(
+    checked = joined.select("nul", "id", "tag", "n_words", F.sort_array(F.transform(exact, lambda h: F.struct(
         h["start"].alias("start"), h["len"].alias("len"), h["items"].alias("items")))).alias("hits"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -117,5 +122,5 @@ def clean(
 ) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns as they were."""
     bad = step(_judged(docs, items, words, id_col, text_col, item_col, item_text).where("contaminated").select("nul", "id", "tag").distinct())
-    packed = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(bad, ["nul", "id", "tag"], "left_anti")
+    packed = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(bad.hint("merge"), ["nul", "id", "tag"], "left_anti")
     return packed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

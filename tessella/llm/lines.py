@@ -87,7 +87,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "
     short_batches(docs.sparkSession)
     later = repeated_lines(docs, window, id_col, text_col)
     rows = docs.select(*_key(id_col, text_col), text_of(text_col).alias("text"))
-    merged = rows.join(later, ["nul", "id", "tag"], "left").select(
+    merged = rows.join(later.hint("merge"), ["nul", "id", "tag"], "left").select(
         F.when(~F.col("nul"), F.col("id")).alias("id"), "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")
     )
     kept = merged.mapInArrow(_remove(window), "id long, n_lines long, n_removed long, kept binary")
@@ -103,7 +103,7 @@ def without_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str =
     def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
         return pd.Series([text if at is None else kept_lines(text.encode(), np.asarray(at), window)[0].decode() for text, at in zip(texts, starts, strict=True)], dtype=object)
 
-    rows = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(later, ["nul", "id", "tag"], "left")
+    rows = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(later.hint("merge"), ["nul", "id", "tag"], "left")
     text = F.col("row").getField(text_col).cast("string")
     new = F.when(F.col("starts").isNull(), text).otherwise(cut(F.when(F.col("starts").isNotNull(), text), F.col("starts")))
     return rows.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

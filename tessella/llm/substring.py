@@ -282,6 +282,6 @@ def remove_repeats(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     packed = (F.col("start").cast("long") * (1 << 32) + F.col("end")).alias("span")
     by_doc = step(spans.select("id", "crc", packed).groupBy("id", "crc").agg(F.collect_set("span").alias("spans")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
-    merged = rows.join(by_doc, ["id", "crc"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
+    merged = rows.join(by_doc.hint("merge"), ["id", "crc"], "left").select("id", "text", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"))
     kept = merged.mapInArrow(_remove(window), "id long, n_words long, n_removed long, kept binary")
     return kept.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
