@@ -74,8 +74,8 @@ def priority(spark, folder):
     return rounded(ev.measurement_priority(requirements(spark, folder)), "uncertainty_share")
 
 
-@register("blocked_outputs", f"""WITH {NODES}, {EDGES}, n AS (SELECT DISTINCT e.dataset_id, e.target, e.source FROM edges e JOIN nodes m ON m.dataset_id = e.dataset_id AND m.node_id = e.source WHERE relation = 'REQUIRED_FOR' AND evidence_class = 'MISSING_REQUIREMENT'),
-r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, target ORDER BY source) AS rn FROM n) SELECT dataset_id, target AS output, count(*) AS missing_nodes, string_agg(source, '|' ORDER BY source) FILTER (WHERE rn <= 10) AS first_missing, 'NOT_COMPUTED' AS status FROM r GROUP BY ALL""")
+@register("blocked_outputs", f"""WITH {NODES}, {EDGES}, n AS (SELECT DISTINCT e.dataset_id, e.target, e.source FROM edges e JOIN nodes m ON m.dataset_id = e.dataset_id AND m.node_id = e.source WHERE relation = 'REQUIRED_FOR' AND evidence_class = 'MISSING_REQUIREMENT')
+SELECT dataset_id, target AS output, count(*) OVER (PARTITION BY dataset_id, target) AS missing_nodes, source AS missing_node, 'NOT_COMPUTED' AS status FROM n""")
 def blocked(spark, folder):
     return ev.blocked_outputs(nodes(spark, folder), edges(spark, folder))
 

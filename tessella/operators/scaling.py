@@ -215,9 +215,11 @@ def calibrate_threshold(df: DataFrame, sample: str, positive: str, quantile: flo
         F.avg("__hit").alias("image_positive_fraction"),
         F.avg(F.when(~F.col(positive), F.col("__hit"))).alias("false_positive_rate"),
         F.avg(F.when(F.col(positive), F.col("__hit"))).alias("true_positive_rate"),
+        F.count_if(F.col(positive)).alias("__positives"), F.count_if(~F.col(positive)).alias("__negatives"),
     )
-    both = F.col("reference_positive_fraction").between(1e-300, 1 - 1e-16)
-    return rates.withColumn("status", F.when(both, "COMPUTED").otherwise("NOT_COMPUTED"))
+    both = (F.col("__positives") > 0) & (F.col("__negatives") > 0)
+    numbers = [c for c in rates.columns if c not in (*by, "__positives", "__negatives")]
+    return rates.select(*by, *[F.when(both, F.col(c)).alias(c) for c in numbers], F.when(both, "COMPUTED").otherwise("NOT_COMPUTED").alias("status"))
 
 
 def minmax_scale(df: DataFrame, value: str, out: str, by: Sequence[str] = (), higher_is_better: bool = True) -> DataFrame:

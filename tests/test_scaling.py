@@ -43,7 +43,9 @@ def test_calibration_literal(spark):
     got = sc.calibrate_threshold(rows, "s", "p", 0.9).first()
     assert 0.1 < got["image_threshold"] <= 0.2 and got["true_positive_rate"] == 1.0 and got["false_positive_rate"] <= 1 / 3 + 1e-12
     one_class = sc.calibrate_threshold(rows.where("p"), "s", "p", 0.9).first()
-    assert one_class["status"] == "NOT_COMPUTED"
+    assert one_class["status"] == "NOT_COMPUTED" and one_class["image_threshold"] is None
+    without = sc.calibrate_threshold(rows.where("NOT p"), "s", "p", 0.9).first()
+    assert without["status"] == "NOT_COMPUTED" and without["image_threshold"] is None and without["false_positive_rate"] is None
     with pytest.raises(ValueError):
         sc.calibrate_threshold(rows, "s", "p", 0.4)
 

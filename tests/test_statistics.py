@@ -126,8 +126,15 @@ STATES = {
 }
 
 
+# Weights of the published requirements.
+WEIGHTS = {
+    "tissue_geometry": 0.08, "structural_vasculature": 0.08, "spatial_target_localisation": 0.12, "functional_perfusion": 0.18,
+    "surface_antigen_calibration": 0.18, "matrix_transport": 0.14, "administered_antibody_field": 0.15, "same_tissue_pharmacological_endpoint": 0.07,
+}
+
+
 def requirements(spark):
-    rows = [("rcc", r, w, STATES[r], None if STATES[r] == "SATISFIED" else f"measure {r}") for r, w in ev.REQUIREMENT_WEIGHTS.items()]
+    rows = [("rcc", r, w, STATES[r], None if STATES[r] == "SATISFIED" else f"measure {r}") for r, w in WEIGHTS.items()]
     return spark.createDataFrame(rows, "dataset_id string, requirement string, weight double, evidence_state string, next_measurement string")
 
 
@@ -151,6 +158,10 @@ def test_ledger_and_claims(spark):
     assert ev.evidence_tables(nodes, edges, need)["nodes"].count() == 1
     row = ev.blocked_outputs(nodes, edges).first()
     assert (row["output"], row["missing_nodes"], row["status"]) == ("gap", 1, "NOT_COMPUTED")
+    many = [(f"m{k}", "gap") for k in range(15)]
+    missing = spark.createDataFrame([("d", n, "MISSING_REQUIREMENT", "ABSENT") for n, _ in many], nodes.schema)
+    needs = spark.createDataFrame([("d", n, t, "REQUIRED_FOR", False) for n, t in many], edges.schema)
+    assert {(r["missing_node"], r["missing_nodes"]) for r in ev.blocked_outputs(missing, needs).collect()} == {(n, 15) for n, _ in many}
     runs = spark.createDataFrame([("a", "OK", ""), ("b", "INSUFFICIENT_EVIDENCE", "R")], "dataset_id string, status string, reasons string")
     table = spark.createDataFrame([("permitted", "p", None), ("permitted", "abstained", "INSUFFICIENT_EVIDENCE")], "kind string, claim string, when_status string")
     got = {(r["dataset_id"], r["claim"], r["abstention"]) for r in ev.claims(runs, table).collect()}
