@@ -59,7 +59,7 @@ cod AS (SELECT sz.region, code, p, lab.score FROM sz, generate_series(0, 242) AS
 okc AS (SELECT region, code FROM (SELECT cod.region, code, cod.score, count(*) AS k FROM cod GROUP BY ALL) c JOIN lab USING (region, score) GROUP BY region, code HAVING sum(k) = 5 AND bool_and(k = n) AND count(*) = (SELECT count(*) FROM lab l WHERE l.region = c.region)),
 fr AS (SELECT region, case_id, feature, {avg_rank('value', 'region, feature')} AS frank FROM long), pr AS (SELECT cod.region, code, feature, abs(corr(lrank, frank)) AS r FROM cod JOIN okc USING (region, code) JOIN lr USING (region, score) JOIN pos USING (region, p) JOIN fr USING (region, case_id) GROUP BY ALL),
 st AS (SELECT region, code, max(r) AS stat FROM pr GROUP BY ALL), ob AS (SELECT region, max(abs(r)) AS observed FROM rho GROUP BY 1)
-SELECT sz.region, sz.cases, count(*) AS arrangements, count(*) AS evaluated, round(any_value(observed), 6) AS observed, round(avg(CAST(stat >= observed - 1e-12 AS INT)), 6) AS p_value FROM sz JOIN st USING (region) JOIN ob USING (region) GROUP BY ALL""")
+SELECT sz.region, sz.cases, count(*) AS arrangements, 'COMPUTED' AS status, count(*) AS evaluated, round(any_value(observed), 6) AS observed, round(avg(CAST(stat >= observed - 1e-12 AS INT)), 6) AS p_value FROM sz JOIN st USING (region) JOIN ob USING (region) GROUP BY ALL""")
 def exact_permutation(spark, folder):
     found = ss.exact_max_stat_permutation(cases(spark, folder), "case_id", "score", ["f1", "f2", "f3"], ["region"])
     return rounded(found, "observed", "p_value")

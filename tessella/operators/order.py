@@ -1,8 +1,8 @@
 """Exact order statistics, quantiles and average ranks that never gather a group in one task.
 
-Values are first reduced to (value, count).  Groups with many distinct values are cut into
-buckets at approximate quantiles; the cut points only balance the work, every result is exact.
-Inputs whose plan reads little data use the built-in ``percentile`` instead.
+Values are first reduced to (value, count).  Every group is cut into buckets at some of its own
+distinct values, one in ``SPLIT_EVERY`` of them by hash, so the number of buckets follows the number
+of distinct values; the cut points only balance the work, every result is exact.
 """
 
 from __future__ import annotations
@@ -12,60 +12,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import attach, cut_lineage, is_bounded, null_safe
+from tessella.session import attach, cut_lineage, null_safe
 
-BUCKETS = 1024
-SPLIT_ABOVE = 100_000
+#: Distinct values of a bucket, on average.
+SPLIT_EVERY = 100_000
 
 
-def value_positions(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, bounded: bool | None = None
-) -> DataFrame:
+def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values per group with their count and the number of smaller rows.
 
     Output: keys, ``value``, ``count``, ``before``, ``total``.
     """
     keys = list(keys)
-    bounded = is_bounded(df) if bounded is None else bounded
     amount = F.sum(weight) if weight else F.count(F.lit(1))
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(amount.alias("count"))
     )
-    if bounded:
-        running = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        return counts.select(
-            *keys, "value", "count",
-            (F.sum("count").over(running) - F.col("count")).alias("before"),
-            F.sum("count").over(Window.partitionBy(*keys)).alias("total"),
-        )
-    cut_points = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = counts.groupBy(*keys).agg(
-        F.sum("count").alias("total"),
-        F.when(
-            F.count(F.lit(1)) > SPLIT_ABOVE,
-            F.percentile_approx(F.col("value").cast("double"), cut_points, 8 * BUCKETS),
-        ).alias("__cuts"),
-    )
-    placed = attach(counts, cuts, keys)
-    steps = F.array(*[F.lit(BUCKETS >> (i + 1)) for i in range(BUCKETS.bit_length() - 1)])
+    chosen = F.pmod(F.xxhash64("value"), F.lit(SPLIT_EVERY)) == 0
+    cuts = counts.where(chosen).groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("__cuts"))
+    halves = "transform(sequence(length(bin(size(__cuts))) - 1, 0, -1), i -> shiftleft(1, i))"
+    placed = attach(counts, cuts.withColumn("__steps", F.expr(halves)), keys)
     search = F.aggregate(
-        steps,
+        "__steps",
         F.lit(0),
-        lambda at, step: F.when(F.col("value") > F.element_at("__cuts", at + step), at + step).otherwise(at),
+        lambda at, step: F.when(F.col("value") > F.get("__cuts", at + step - 1), at + step).otherwise(at),
     )
-    placed = placed.withColumn(
-        "__bucket", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(search)
-    ).drop("__cuts")
+    placed = placed.select(*keys, "value", "count", F.coalesce(search, F.lit(0)).alias("__bucket"))
     offsets = placed.groupBy(*keys, "__bucket").agg(F.sum("count").alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(
+        *keys, "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"), F.sum("__n").over(group).alias("total")
+    )
     within = (
         Window.partitionBy(*keys, "__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    return attach(placed, offsets, [*keys, "__bucket"]).select(
-        *keys, "value", "count",
-        (F.col("__off") + F.sum("count").over(within) - F.col("count")).alias("before"),
-        "total",
+    running = placed.withColumn("__upto", F.sum("count").over(within))
+    return attach(running, offsets, [*keys, "__bucket"]).select(
+        *keys, "value", "count", (F.col("__off") + F.col("__upto") - F.col("count")).alias("before"), "total"
     )
 
 
@@ -85,7 +69,7 @@ def _distributed_quantiles(
             F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in picked])
         ).alias("e"),
     ).select(*keys, F.col("e.m").alias("__m"), F.col("e.v").alias("__v"))
-    placed = value_positions(long, [*keys, "__m"], "__v", bounded=False)
+    placed = value_positions(long, [*keys, "__m"], "__v")
     results = []
     for name, (column, p) in wanted.items():
         position = F.lit(float(p)) * (F.col("total") - 1)
@@ -115,17 +99,6 @@ def summarise(
     keys, quantiles = list(keys), dict(quantiles or {})
     if not quantiles:
         return df.groupBy(*keys).agg(*aggregates)
-    if is_bounded(df):
-        by_column: dict[str, tuple[Column, list[tuple[str, float]]]] = {}
-        for name, (column, p) in quantiles.items():
-            by_column.setdefault(str(column), (column, []))[1].append((name, p))
-        arrays, outputs = [], []
-        for i, (column, items) in enumerate(by_column.values()):
-            arrays.append(F.percentile(column, F.array(*[F.lit(float(p)) for _, p in items])).alias(f"__p{i}"))
-            outputs += [F.col(f"__p{i}")[j].alias(name) for j, (name, _) in enumerate(items)]
-        grouped = df.groupBy(*keys).agg(*aggregates, *arrays)
-        plain = [c for c in grouped.columns if not c.startswith("__p")]
-        return grouped.select(*plain, *outputs)
     spread = _distributed_quantiles(df, keys, quantiles)
     base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
     if not keys:
@@ -144,12 +117,10 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Zero-based position of every row within its group.
 
-    Large inputs are range-partitioned by group and order, so a group that holds a large share of
-    all rows is numbered piecewise and shifted by the sizes of the earlier pieces.
+    Rows are range-partitioned by group and order, so a group that holds a large share of all rows
+    is numbered piecewise and shifted by the sizes of the earlier pieces.
     """
     keys, order = list(keys), list(order)
-    if is_bounded(df):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     pieces = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("__piece", F.spark_partition_id()))
     sizes = pieces.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)

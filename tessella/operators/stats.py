@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import factorial
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,56 +75,78 @@ def score_benchmark_summary(cases: DataFrame, score: str, features: Sequence[str
     return attach(attach(counts, best, by), few, by)
 
 
-def exact_max_stat_permutation(cases: DataFrame, case: str, score: str, features: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Exact p-value of the largest absolute Spearman over features, per group of few cases.
+def ln_factorial(n: Column) -> Column:
+    """Natural logarithm of n!: the logarithm itself up to 20, then Stirling's series (error below 1e-12)."""
+    n = n.cast("double")
+    series = n * F.log(n) - n + F.log(2 * pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * F.pow(n, F.lit(5)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20.0)).cast("int")).cast("double"))).otherwise(series)
 
-    All distinct arrangements of the score labels are enumerated by exploding the labels still
-    available, one position at a time.  Groups whose number of arrangements passes the limit are
-    decided before enumeration and get NULL.
+
+def exact_max_stat_permutation(
+    cases: DataFrame, case: str, score: str, features: Sequence[str], by: Sequence[str], arrangement_limit: int = ARRANGEMENT_LIMIT
+) -> DataFrame:
+    """Exact p-value of the largest absolute Spearman over features, per group of cases.
+
+    All distinct arrangements of the score labels are enumerated: the commonest label fills what
+    the others leave, so only their cases are placed, one after the other. ``status`` is COMPUTED,
+    NOT_COMPUTED (under four scored cases or two labels) or TOO_MANY_ARRANGEMENTS (decided before
+    anything is enumerated). Cases without a score take no part. ``arrangements`` is NULL beyond 1e12.
     """
     by = list(by)
     cases = materialised(cases.select(*by, case, score, *features))
-    labels = average_rank(cases, by, score)
-    counts = cases.groupBy(*by, F.col(score).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # Only groups of at most 20 cases are ever collected into arrays.
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("cases"), F.count(F.lit(1)).alias("labels"))
-    small = sizes.where("cases <= 20 AND cases >= 4 AND labels >= 2")
-    eligible = attach(counts, small, by).where("cases IS NOT NULL")
-    kept = eligible.groupBy(*by, "cases").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("labels"))
-    facts = F.array(*[F.lit(float(factorial(i))) for i in range(21)])
-    ways = F.aggregate("labels", F.element_at(facts, (F.col("cases") + 1).cast("int")), lambda acc, s: acc / F.element_at(facts, (s["n"] + 1).cast("int")))
-    kept = cut_lineage(kept.withColumn("arrangements", F.round(ways).cast("long")))
-    ready = kept.where(F.col("arrangements") <= ARRANGEMENT_LIMIT)
-    longest = ready.agg(F.max("cases").alias("n")).first()["n"] or 0
-    state = ready.select(
-        *by, "cases", F.transform("labels", lambda s: s["n"]).alias("left_over"), F.array().cast("array<int>").alias("chosen")
+    scored = cases.where(F.col(score).isNotNull())
+    labels = average_rank(scored, by, score).select(*by, "value", "rank")
+    counts = scored.groupBy(*by, F.col(score).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    common = F.max_by("value", F.struct("n", "value"))
+    sizes = counts.groupBy(*by).agg(
+        F.sum("n").alias("cases"), F.count(F.lit(1)).alias("labels"), common.alias("__common"), F.max("n").alias("__most"), F.sum(ln_factorial(F.col("n"))).alias("__part")
     )
-    for position in range(int(longest)):
-        open_ = F.filter(F.sequence(F.lit(1), F.size("left_over")), lambda i: F.element_at("left_over", i) > 0)
-        choices = F.when(F.col("cases") > position, open_).otherwise(F.array(F.lit(0)))
-        state = state.withColumn("c", F.explode(choices)).select(
-            *by, "cases",
-            F.expr("transform(left_over, (n, i) -> IF(i + 1 = c, n - 1, n))").alias("left_over"),
-            F.expr("IF(c = 0, chosen, concat(chosen, array(c)))").alias("chosen"),
-        )
+    sizes = attach(cases.select(*by).distinct(), sizes, by).fillna(0, ["cases", "labels"])
+    ways = ln_factorial(F.col("cases")) - F.col("__part")
+    fit = (F.col("cases") >= 4) & (F.col("labels") >= 2)
+    few = ways <= log(arrangement_limit + 0.5)
+    status = F.when(~fit, "NOT_COMPUTED").when(few, "COMPUTED").otherwise("TOO_MANY_ARRANGEMENTS")
+    arrangements = F.when(fit & (ways < log(1e12)), F.round(F.exp(ways)).cast("long"))
+    sizes = cut_lineage(sizes.withColumn("arrangements", arrangements).withColumn("status", status))
+    ready = sizes.where("status = 'COMPUTED'")
+
+    # Labels other than the commonest, as shifts of the rank against it: few, for the arrangements are few.
+    ranked = attach(labels, ready.select(*by, "__common"), by).where("__common IS NOT NULL")
+    base = ranked.where(F.col("value") == F.col("__common")).select(*by, F.col("rank").alias("__base"))
+    shifts = attach(ranked.where(F.col("value") != F.col("__common")).drop("__common"), base, by)
+    shifts = counts.join(shifts.withColumn("d", F.col("rank") - F.col("__base")), [*by, "value"]).withColumn("d", F.explode(F.array_repeat("d", F.col("n").cast("int"))))
+    placing = shifts.groupBy(*by).agg(F.array_sort(F.collect_list("d")).alias("d"))
+    state = ready.join(placing, by).select(*by, "cases", "d", F.array().cast("array<int>").alias("chosen"))
+    steps = ready.agg(F.max(F.col("cases") - F.col("__most")).alias("n")).first()["n"] or 0
+    for k in range(int(steps)):
+        # Cases of one label are placed in ascending order, so each arrangement is made once.
+        follows = f"size(d) > {k} AND {k} > 0 AND get(d, {k}) = get(d, {k - 1})"
+        free = f"filter(sequence(1, CAST(cases AS INT)), p -> NOT array_contains(chosen, p) AND (NOT ({follows}) OR p > coalesce(get(chosen, {k - 1}), 0)))"
+        state = state.withColumn("p", F.explode(F.expr(f"IF(size(d) > {k}, {free}, array(0))")))
+        state = state.select(*by, "cases", "d", F.expr("IF(p = 0, chosen, concat(chosen, array(p)))").alias("chosen"))
+
     order = Window.partitionBy(*by).orderBy(case)
-    member = cases.join(ready.select(*by), by, "left_semi").withColumn("position", F.row_number().over(order))
+    member = scored.join(ready.select(*by), by, "left_semi").withColumn("position", F.row_number().over(order))
     long = long_features(member, [*by, "position", score], features)
     ranks = average_rank(long, [*by, "feature"], "value").select(*by, "feature", F.col("value").alias("__v"), F.col("rank").alias("fr"))
     placed = long.join(ranks, [*by, "feature"]).where(F.col("value") == F.col("__v"))
-    numbered = labels.withColumn("c", F.row_number().over(Window.partitionBy(*by).orderBy("value"))).select(*by, "c", F.col("value").alias("__label"), F.col("rank").alias("lr"))
-    arranged = state.select(*by, F.concat_ws(",", "chosen").alias("key"), F.posexplode("chosen").alias("p0", "c")).withColumn("position", F.col("p0") + 1)
-    scored = arranged.join(numbered, [*by, "c"]).join(placed.select(*by, "position", "feature", "fr"), [*by, "position"])
-    rho = scored.groupBy(*by, "key", "feature").agg(F.when((F.stddev_pop("lr") > 0) & (F.stddev_pop("fr") > 0), F.abs(F.corr("lr", "fr"))).alias("r"))
-    stat = rho.groupBy(*by, "key").agg(F.max("r").alias("stat"))
-    seen = placed.join(numbered.drop("c"), by).where(F.col(score) == F.col("__label"))
+    spread = placed.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("m"), F.avg("fr").alias("mid"), (F.var_pop("fr") * F.count(F.lit(1))).alias("ss"))
+    centred = attach(placed, spread, [*by, "feature"]).select(*by, "position", "feature", (F.col("fr") - F.col("mid")).alias("f"), "m", "ss")
+    arranged = state.select(*by, F.concat_ws(",", "chosen").alias("key"), F.explode(F.arrays_zip(F.col("chosen").alias("p"), F.col("d").alias("d"))).alias("c"))
+    arranged = arranged.select(*by, "key", F.col("c.p").alias("position"), F.col("c.d").alias("d")).join(centred, [*by, "position"])
+    # Correlation from the shifted cases alone: all others have shift 0.
+    sums = arranged.groupBy(*by, "key", "feature").agg(
+        F.sum(F.col("d") * F.col("f")).alias("xy"), (F.sum(F.col("d") * F.col("d")) - F.sum("d") * F.sum("d") / F.first("m")).alias("xx"), F.first("ss").alias("yy")
+    )
+    stat = sums.groupBy(*by, "key").agg(F.max(F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.abs("xy") / F.sqrt(F.col("xx") * F.col("yy")))).alias("stat"))
+    seen = placed.join(labels.select(*by, F.col("value").alias("__label"), F.col("rank").alias("lr")), by).where(F.col(score) == F.col("__label"))
     seen = seen.groupBy(*by, "feature").agg(F.when((F.stddev_pop("lr") > 0) & (F.stddev_pop("fr") > 0), F.abs(F.corr("lr", "fr"))).alias("r"))
     observed = seen.groupBy(*by).agg(F.max("r").alias("observed"))
     tested = stat.join(observed, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("evaluated"), F.first("observed").alias("observed"),
         F.avg((F.col("stat") >= F.col("observed") - TOLERANCE).cast("double")).alias("p_value"),
     )
-    return attach(attach(sizes.select(*by, "cases"), kept.select(*by, "arrangements"), by), tested, by)
+    return attach(sizes.select(*by, "cases", "arrangements", "status"), tested, by)
 
 
 def exact_group_permutation(units: DataFrame, value: str, group: str, unit: str, by: Sequence[str]) -> DataFrame:

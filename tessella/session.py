@@ -9,8 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOUNDED_INPUT_CONF = "spark.tessella.boundedInputBytes"
-BOUNDED_INPUT_DEFAULT = 64 * 1024 * 1024
 BROADCAST_ROWS_CONF = "spark.tessella.broadcastRows"
 BROADCAST_ROWS_DEFAULT = 100_000
 
@@ -64,18 +62,6 @@ def materialised(df: DataFrame) -> DataFrame:
     return cut_lineage(df) if costly else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the relations a plan reads, taken from the optimiser's statistics (no job)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_bounded(df: DataFrame) -> bool:
-    """True when everything the plan reads is small enough for one task to hold a group of it."""
-    limit = int(df.sparkSession.conf.get(BOUNDED_INPUT_CONF, str(BOUNDED_INPUT_DEFAULT)))
-    return limit > 0 and input_bytes(df) <= limit
-
-
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only when the counted number of rows is under the limit."""
     limit = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS_DEFAULT)))

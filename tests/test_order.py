@@ -4,15 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import order
-from tessella.session import BOUNDED_INPUT_CONF
-
-
-@pytest.fixture(params=["0", "67108864"])
-def path(request, spark):
-    """Run both the distributed and the bounded code path."""
-    spark.conf.set(BOUNDED_INPUT_CONF, request.param)
-    yield request.param
-    spark.conf.unset(BOUNDED_INPUT_CONF)
 
 
 def sample(n=3000, seed=1):
@@ -22,9 +13,9 @@ def sample(n=3000, seed=1):
     return frame
 
 
-@pytest.mark.parametrize("split_above", [10, 100_000])
-def test_quantiles_equal_numpy(spark, path, split_above, monkeypatch):
-    monkeypatch.setattr(order, "SPLIT_ABOVE", split_above)
+@pytest.mark.parametrize("split_every", [1, 10, 100_000])
+def test_quantiles_equal_numpy(spark, split_every, monkeypatch):
+    monkeypatch.setattr(order, "SPLIT_EVERY", split_every)
     frame = sample()
     probabilities = {"q05": 0.05, "q50": 0.5, "q99": 0.99}
     got = order.summarise(
@@ -38,16 +29,16 @@ def test_quantiles_equal_numpy(spark, path, split_above, monkeypatch):
         assert got.loc[g, "pos"] == pytest.approx(np.quantile(part.x[part.y > 0], 0.9), abs=1e-12)
 
 
-def test_global_and_empty_quantiles(spark, path):
+def test_global_and_empty_quantiles(spark):
     frame = spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,)], "v double")
     assert order.summarise(frame, [], [], {"m": (F.col("v"), 0.5)}).first()["m"] == 2.0
     none = order.summarise(frame.where("v > 100"), [], [F.count("v").alias("n")], {"m": (F.col("v"), 0.5)}).first()
     assert none["n"] == 0 and none["m"] is None
 
 
-@pytest.mark.parametrize("split_above", [10, 100_000])
-def test_average_rank_and_spearman_equal_pandas(spark, path, split_above, monkeypatch):
-    monkeypatch.setattr(order, "SPLIT_ABOVE", split_above)
+@pytest.mark.parametrize("split_every", [1, 10, 100_000])
+def test_average_rank_and_spearman_equal_pandas(spark, split_every, monkeypatch):
+    monkeypatch.setattr(order, "SPLIT_EVERY", split_every)
     frame = sample(800)
     ranks = order.average_rank(spark.createDataFrame(frame), ["g"], "x").toPandas()
     want = frame.assign(rank=frame.groupby("g").x.rank()).drop_duplicates(["g", "x"]).set_index(["g", "x"])["rank"]
@@ -63,7 +54,7 @@ def test_constant_side_gives_null(spark):
     assert order.spearman(rows, [], "x", "y").first()["rho"] is None
 
 
-def test_row_numbers_do_not_depend_on_the_path(spark, path):
+def test_row_numbers_equal_pandas(spark):
     frame = sample(500).assign(i=range(500))
     rows = spark.createDataFrame(frame).repartition(9)
     got = order.row_numbers(rows, ["g"], ["x", "i"], "at").toPandas().sort_values("i").reset_index(drop=True)

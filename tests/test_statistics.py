@@ -29,6 +29,30 @@ def test_exact_permutation_literal(spark):
     every = [stat(p) for p in set(itertools.permutations(frame.s.tolist()))]
     assert got["d"]["p_value"] == pytest.approx(np.mean([e >= seen - 1e-12 for e in every])) and 0 < got["d"]["p_value"] <= 1
     assert got["big"]["p_value"] is None and got["flat"]["p_value"] is None
+    assert [got[g]["status"] for g in ("d", "big", "flat")] == ["COMPUTED", "TOO_MANY_ARRANGEMENTS", "NOT_COMPUTED"]
+
+
+def test_exact_permutation_is_limited_by_arrangements_only(spark):
+    rng = np.random.default_rng(3)
+    one = [("one", i, int(i == 0), float(v), float(w)) for i, (v, w) in enumerate(zip(rng.normal(size=21), rng.integers(0, 4, 21)))]
+    two = [("two", i, {0: 5, 1: 7, 2: 7}.get(i, 6), float(v), None if i == 4 else float(w)) for i, (v, w) in enumerate(zip(rng.normal(size=12), rng.integers(0, 4, 12)))]
+    frame = spark.createDataFrame(one + two, "g string, c int, s int, a double, b double")
+    got = {r["g"]: r for r in ss.exact_max_stat_permutation(frame, "c", "s", ["a", "b"], ["g"]).collect()}
+    for name, rows in (("one", one), ("two", two)):
+        part = pd.DataFrame(rows, columns=["g", "c", "s", "a", "b"])
+        labels = part.s.rank().to_numpy()
+        odd = [v for v in labels if v != pd.Series(labels).mode()[0]]
+        every = set()
+        for places in itertools.permutations(range(len(labels)), len(odd)):
+            made = np.full(len(labels), pd.Series(labels).mode()[0])
+            made[list(places)] = odd
+            every.add(tuple(made))
+        def stat(made, part=part):
+            return np.nanmax([abs(pd.Series(made)[part[f].notna()].corr(part[f].rank()[part[f].notna()])) for f in ("a", "b")])
+        stats = np.array([stat(np.array(made)) for made in every])
+        assert got[name]["arrangements"] == got[name]["evaluated"] == len(every) == {"one": 21, "two": 660}[name]
+        assert got[name]["observed"] == pytest.approx(stat(labels))
+        assert got[name]["p_value"] == pytest.approx(np.mean(stats >= stat(labels) - 1e-9))
 
 
 def test_group_permutation(spark):
