@@ -99,13 +99,13 @@ cand AS (SELECT candidate, fraction_inside, fraction_inside - 0.15 * (abs(ln(gre
 @register("alignment_candidates", CAND + " SELECT candidate, round(fraction_inside, 6) AS fraction_inside, round(score, 6) AS score FROM cand")
 def candidates(spark, folder):
     found = ge.alignment_candidates(annotations(spark, folder), points(spark, folder), MATRIX)
-    return rounded(found, "fraction_inside", "score").drop("scale")
+    return rounded(found, "fraction_inside", "score").drop("transform", "scale")
 
 
 @register("alignment_accept", CAND + """ SELECT candidate, round(score, 6) AS score, round(fraction_inside, 6) AS fraction_inside, ok AS accepted, CASE WHEN ok THEN 'ALIGNED' ELSE 'NOT_COMPUTED' END AS status FROM (SELECT *, fraction_inside >= 0.7 AND score - (SELECT max(score) FROM cand WHERE score < (SELECT max(score) FROM cand)) >= 0.05 AS ok FROM cand ORDER BY score DESC LIMIT 1)""")
 def accept(spark, folder):
     found = ge.alignment_candidates(annotations(spark, folder), points(spark, folder), MATRIX)
-    return rounded(ge.alignment_accept(found), "score", "fraction_inside")
+    return rounded(ge.alignment_accept(found), "score", "fraction_inside").drop("transform", "scale")
 
 
 CELLS = """g0 AS (SELECT event_id AS cell_id, CAST(user_id AS DOUBLE) AS x, value AS y, event_type AS fov, ln(1 + value) / 8 AS target_signal, CAST(user_id % 10 AS DOUBLE) / 8 AS vessel_signal, CAST(user_id % 7 AS DOUBLE) / 8 AS ecm_score, CAST(user_id % 3 AS DOUBLE) / 2 AS caf_score, value > 200 AS is_tumour FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import uniform
@@ -135,39 +135,44 @@ def _inverse(matrix: Sequence[Sequence[float]]) -> list[list[float]]:
 PIXEL_SIZES = (1.0, 0.2125, 0.425, 0.5)
 
 
+def alignment_transforms(matrix: Sequence[Sequence[float]]) -> dict[str, Sequence[Sequence[float]]]:
+    """Transforms worth trying, in order of preference."""
+    return {"identity": [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], "affine": matrix, "inverse_affine": _inverse(matrix)}
+
+
+def _trials(spark: SparkSession, matrix: Sequence[Sequence[float]], scales: Sequence[float]) -> DataFrame:
+    """One row for each transform at each pixel size; of trials with equal matrices the first stays."""
+    transforms = [(k, name, *(float(v) for row in m[:2] for v in row)) for k, (name, m) in enumerate(alignment_transforms(matrix).items())]
+    entries = [f"m{i}" for i in range(6)]
+    shapes = spark.createDataFrame(transforms, "shape int, transform string, " + ", ".join(f"{m} double" for m in entries))
+    sizes = spark.createDataFrame([(k, float(v), format(v, "g")) for k, v in enumerate(scales)], "size int, scale double, label string")
+    trials = shapes.crossJoin(F.broadcast(sizes)).withColumn("scaled", F.array(*[F.round(F.col(m) * F.col("scale"), 10) for m in entries], F.round("scale", 10)))
+    first = trials.groupBy("scaled").agg(F.min(F.struct("shape", "size", "transform", "scale", "label", *entries)).alias("t")).select("t.*")
+    return first.select(F.concat_ws("_scale_", "transform", "label").alias("candidate"), "transform", "scale", *entries)
+
+
 def alignment_candidates(vertices: DataFrame, cells: DataFrame, matrix: Sequence[Sequence[float]], scales: Sequence[float] = PIXEL_SIZES) -> DataFrame:
     """Score identity, matrix and inverse at several pixel sizes by how they cover the cell box.
 
-    The handful of candidates is a literal array, so one pass over the vertices scores them all.
+    The trials are three rows for each pixel size, so one pass over the vertices scores them all.
     """
-    named = {"identity": [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]], "affine": matrix, "inverse_affine": _inverse(matrix)}
-    rows, seen = [], set()
-    for name, m in named.items():
-        for s in scales:
-            signature = tuple(round(float(v) * s, 10) for row in m for v in row)
-            if signature not in seen:
-                seen.add(signature)
-                rows.append((f"{name}_scale_{s:g}", [float(v) for v in (*m[0], *m[1])], float(s)))
-    table = F.array(*[
-        F.struct(F.lit(n).alias("candidate"), F.lit(s).alias("scale"), *[F.lit(v).alias(f"m{i}") for i, v in enumerate(m)])
-        for n, m, s in rows
-    ])
+    trials = F.broadcast(_trials(vertices.sparkSession, matrix, scales))
     box = cells.agg(F.min("x").alias("cx0"), F.max("x").alias("cx1"), F.min("y").alias("cy0"), F.max("y").alias("cy1"))
-    moved = vertices.select("x", "y", F.inline(table)).selectExpr(
-        "candidate", "scale", "(m0 * x + m1 * y + m2) * scale AS tx", "(m3 * x + m4 * y + m5) * scale AS ty"
+    moved = vertices.select("x", "y").crossJoin(trials).selectExpr(
+        "candidate", "transform", "scale", "(m0 * x + m1 * y + m2) * scale AS tx", "(m3 * x + m4 * y + m5) * scale AS ty"
     )
     inside = (
         "tx BETWEEN cx0 - greatest((cx1 - cx0) * 0.1D, 100D) AND cx1 + greatest((cx1 - cx0) * 0.1D, 100D)"
         " AND ty BETWEEN cy0 - greatest((cy1 - cy0) * 0.1D, 100D) AND cy1 + greatest((cy1 - cy0) * 0.1D, 100D)"
     )
-    per = attach(moved, box).groupBy("candidate", "scale", "cx0", "cx1", "cy0", "cy1").agg(
+    per = attach(moved, box).groupBy("candidate", "transform", "scale", "cx0", "cx1", "cy0", "cy1").agg(
         F.expr(f"avg(CAST({inside} AS DOUBLE))").alias("fraction_inside"),
         F.min("tx").alias("a0"), F.max("tx").alias("a1"), F.min("ty").alias("b0"), F.max("ty").alias("b1"),
     )
     width, height = "greatest(cx1 - cx0, 1D)", "greatest(cy1 - cy0, 1D)"
     shape = f"(abs(ln(greatest((a1 - a0) / {width}, 1e-9D))) + abs(ln(greatest((b1 - b0) / {height}, 1e-9D))))"
     centre = f"hypot(((a0 + a1) - (cx0 + cx1)) / (2D * {width}), ((b0 + b1) - (cy0 + cy1)) / (2D * {height}))"
-    return per.selectExpr("candidate", "scale", "fraction_inside", f"fraction_inside - 0.15D * {shape} - 0.10D * {centre} AS score")
+    return per.selectExpr("candidate", "transform", "scale", "fraction_inside", f"fraction_inside - 0.15D * {shape} - 0.10D * {centre} AS score")
 
 
 def alignment_accept(candidates: DataFrame, inside: float = 0.70, lead: float = 0.05) -> DataFrame:
@@ -176,7 +181,7 @@ def alignment_accept(candidates: DataFrame, inside: float = 0.70, lead: float =
     ranked = candidates.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("rn = 1")
     lead_by = F.col("score") - F.coalesce(F.col("next"), F.lit(float("-inf")))
     accepted = (F.col("fraction_inside") >= inside) & (lead_by >= lead)
-    return ranked.select("candidate", "score", "fraction_inside", accepted.alias("accepted"), F.when(accepted, "ALIGNED").otherwise("NOT_COMPUTED").alias("status"))
+    return ranked.select("candidate", "transform", "scale", "score", "fraction_inside", accepted.alias("accepted"), F.when(accepted, "ALIGNED").otherwise("NOT_COMPUTED").alias("status"))
 
 
 def grid_positions(cells: DataFrame, size: int, by: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.operators import scaling as sc
 from tessella.operators import summaries as su
 from tessella.operators.catalogue import feature_summary, features_wide, resolve_features, selected_features, unresolved_aliases
-from tessella.operators.geometry import affine_transform, alignment_accept, alignment_candidates, point_in_polygon, polygon_metrics
+from tessella.operators.geometry import affine_transform, alignment_accept, alignment_candidates, alignment_transforms, point_in_polygon, polygon_metrics
 from tessella.operators.neighbours import knn_local_mean, nearest_distance, radius_density, within_distance
 from tessella.session import cut_lineage
 from tessella.sources.quality import assert_same_keys
@@ -58,40 +58,44 @@ def prepare_section(
     cells: DataFrame, measurements: DataFrame, catalogue: DataFrame, aliases: DataFrame, names: Sequence[str],
     groups: Mapping[str, Sequence[str]], annotations: DataFrame | None = None, matrix: Sequence[Sequence[float]] | None = None,
     boundaries: DataFrame | None = None, targets: DataFrame | None = None, sample: int = 20_000, seed: int = 17,
+    region_values: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of one section; ``names`` are the wide feature columns that may be built."""
+    """All tables of one section; ``names`` are the wide feature columns that may be built.
+
+    ``region_values`` are summarised by region (default: scores, positive calls and distances). If the
+    annotations cannot be aligned with a clear lead, the regions are ``UNAVAILABLE``, the summary by
+    region is left out, and the candidates are returned for review; all other tables are made.
+    """
     assert_same_keys(cells.select("cell_id"), measurements.select("cell_id"), "cell_id")
     resolved = resolve_features(catalogue, aliases)
     columns = resolved.select("feature_index", "column").distinct()
     wide = features_wide(cells.select("cell_id"), measurements, columns, names)
     scored = cut_lineage(score_cells(cells, wide, groups))
-    if annotations is not None:
-        moved = annotations
-        if matrix is not None:
-            found = alignment_accept(alignment_candidates(annotations, cells.select(F.col("x_um").alias("x"), F.col("y_um").alias("y")), matrix)).first()
-            if not found["accepted"]:
-                raise ValueError("annotation alignment is ambiguous")
-            name, scale = found["candidate"].rsplit("_scale_", 1)
-            identity = [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
-            chosen = {"identity": identity, "affine": matrix}.get(name)
-            if chosen is None:
-                from tessella.operators.geometry import _inverse
-
-                chosen = _inverse(matrix)
-            moved = affine_transform(annotations, chosen, (float(scale), float(scale)))
+    tried = None
+    aligned = annotations is not None
+    moved = annotations
+    if annotations is not None and matrix is not None:
+        tried = cut_lineage(alignment_candidates(annotations, cells.select(F.col("x_um").alias("x"), F.col("y_um").alias("y")), matrix))
+        found = alignment_accept(tried).first()
+        aligned = found["accepted"]
+        moved = affine_transform(annotations, alignment_transforms(matrix)[found["transform"]], (found["scale"], found["scale"])) if aligned else None
+    if aligned:
         scored = cut_lineage(point_in_polygon(scored, moved, "cell_id", px="x_um", py="y_um"))
     else:
         scored = scored.withColumn("pathology_region", F.lit("UNAVAILABLE"))
+    if region_values is None:
+        region_values = [c for c in scored.columns if c.endswith(("_score", "_positive")) or c.startswith("distance_")]
     out = {
         "scored_cells": scored,
         "feature_summary": feature_summary(catalogue, measurements, cells),
         "selected_features": selected_features(catalogue, resolved),
         "unresolved_aliases": unresolved_aliases(catalogue, aliases),
-        "region_summary": su.region_summary(scored, "pathology_region", [
-            "endothelial_score", "vessel_positive", "distance_to_vessel_um", "caf_score", "local_caf_score", "immune_score", "malignant_score",
-        ]),
         "cell_sample": stable_sample(scored, seed, "cell_id", sample),
     }
+    if tried is not None:
+        out["alignment_candidates"] = tried
+    if aligned or annotations is None:
+        out["region_summary"] = su.region_summary(scored, "pathology_region", region_values)
     if targets is not None:
         keep = ["distance_to_vessel_um", "local_caf_score", "local_ecm_score", "pathology_region", "in_molecular_tumour_neighbourhood", "cell_is_malignant_proxy", "immune_score"]
         calls = call_targets(scored, targets, names, keep)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from tessella.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g"})
+    session = build_session("local[8]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
