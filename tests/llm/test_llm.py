@@ -259,6 +259,31 @@ def test_pseudonyms(spark, docs):
     assert pseudonyms.pseudonymise(docs, "key").count() == docs.count()
 
 
+def test_pseudonyms_of_other_layouts(spark):
+    phones = ["+14155550123", "+1-415-555-0123", "+1.415.555.0123", "+33 1 23 45 67 89", "+49 (0)30/1234567", "+442079460123"]
+    cards = ["4539 5787 6362 1486", "4539-5787-6362-1486", "3782 822463 10005", "4539578763621486"]
+    dates = ["29.02.2024", "5.3.2024", "29/02/2024", "02/29/2024", "29-02-2024", "2024/02/29", "2024.02.29", "2024-02-29"]
+    other = ["4539 5787 6362 1487", "30.02.2024", "13/13/2024", "1990 1995 2000 2005"]
+    frame = spark.createDataFrame(list(enumerate(phones + cards + dates + other)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "key").collect()}
+    out = {text: got[k].text for k, text in enumerate(phones + cards + dates + other)}
+    assert [t for t in phones + cards + dates if out[t] == t] == [] and all(got[k].n_found == 1 for k in range(len(phones + cards + dates)))
+    assert all(re.sub(r"\d", "0", out[t]) == re.sub(r"\d", "0", t) for t in phones + cards + ["29.02.2024", "2024/02/29"])
+    assert all(out[t].startswith(c) for t, c in zip(phones, ("+1", "+1-", "+1.", "+33 ", "+49 (", "+44"), strict=True))
+    assert all(luhn(re.sub(r"\D", "", out[t])) == 0 for t in cards) and len({re.sub(r"\D", "", out[t]) for t in cards if t[0] == "4"}) == 1
+    assert all(out[t] == t for t in other)
+    day = np.datetime64(out["2024-02-29"])
+    for t, form in (("29.02.2024", "{2}.{1}.{0}"), ("29/02/2024", "{2}/{1}/{0}"), ("29-02-2024", "{2}-{1}-{0}"), ("2024/02/29", "{0}/{1}/{2}"), ("2024.02.29", "{0}.{1}.{2}")):
+        assert out[t] == form.format(*str(day).split("-"))
+    month, number, year = out["02/29/2024"].split("/")
+    assert int(number) > 12 and np.datetime64(f"{year}-{month}-{number}")
+    text = "Call +33 1 23 45 67 89 97.51.17.173, +1 (017) 555-7713 2024-02-29 or 4539 5787 6362 1486 12 times"
+    row = pseudonyms.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").first()
+    assert row.n_found == row.n_replaced == 5 and row.text.endswith(f"{out['4539 5787 6362 1486']} 12 times") and out["+33 1 23 45 67 89"] + " " in row.text
+    days = spark.range(73049).selectExpr("date_add(date'1900-01-01', cast(id AS int)) AS d").where("day(d) > 12").selectExpr("1L AS doc_id", "date_format(d, 'MM/dd/yyyy') AS text")
+    assert pseudonyms.pseudonymise(days, "key").where("substr(text, 4, 2) > 12").select("text").distinct().count() == days.count()
+
+
 def test_pipeline_stages(spark, docs):
     folder = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{folder}/documents.parquet")
