@@ -39,16 +39,25 @@ def ring_edges(vertices: DataFrame, ring: Sequence[str], x: str = "x", y: str =
 
 
 def polygon_metrics(vertices: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", ix: str = "vertex_ix") -> DataFrame:
-    """Vertices, area, perimeter, compactness and centroid per polygon; NULL below three vertices."""
-    edges = ring_edges(vertices, keys, x, y, ix)
-    sums = edges.groupBy(*keys).agg(
+    """Vertices, area, perimeter, compactness and centroid per polygon; NULL below three vertices.
+
+    Sums are taken relative to the first vertex of each ring: in absolute coordinates they cancel for
+    small polygons far from the origin.
+    """
+    spot = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    firsts = vertices.groupBy(*keys).agg(F.min_by(spot, F.col(ix)).alias("__first"))
+    shifted = attach(vertices.select(*keys, F.col(ix).alias("vertex_ix"), spot.alias("__spot")), firsts, list(keys)).select(
+        *keys, "vertex_ix", (F.col("__spot.x") - F.col("__first.x")).alias("x"), (F.col("__spot.y") - F.col("__first.y")).alias("y"),
+    )
+    edges = ring_edges(shifted, keys)
+    sums = attach(edges.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("vertices"),
         F.expr("sum(x1 * y2 - x2 * y1)").alias("__a"),
         F.expr("sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))").alias("__p"),
         F.expr("sum((x1 + x2) * (x1 * y2 - x2 * y1))").alias("__cx"),
         F.expr("sum((y1 + y2) * (x1 * y2 - x2 * y1))").alias("__cy"),
         F.avg("x1").alias("__mx"), F.avg("y1").alias("__my"),
-    )
+    ), firsts, list(keys))
     enough = F.col("vertices") >= 3
     flat = F.abs(F.col("__a")) / 2 <= 1e-12
     return sums.select(
@@ -56,8 +65,8 @@ def polygon_metrics(vertices: DataFrame, keys: Sequence[str], x: str = "x", y: s
         F.when(enough, F.abs(F.col("__a")) / 2).alias("area"),
         F.when(enough, F.col("__p")).alias("perimeter"),
         F.when(enough & (F.col("__p") > 0), 4 * math.pi * (F.abs(F.col("__a")) / 2) / (F.col("__p") * F.col("__p"))).alias("compactness"),
-        F.when(flat, F.col("__mx")).otherwise(F.col("__cx") / (3 * F.col("__a"))).alias("centroid_x"),
-        F.when(flat, F.col("__my")).otherwise(F.col("__cy") / (3 * F.col("__a"))).alias("centroid_y"),
+        (F.col("__first.x") + F.when(flat, F.col("__mx")).otherwise(F.col("__cx") / (3 * F.col("__a")))).alias("centroid_x"),
+        (F.col("__first.y") + F.when(flat, F.col("__my")).otherwise(F.col("__cy") / (3 * F.col("__a")))).alias("centroid_y"),
     )
 
 

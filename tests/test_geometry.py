@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,35 @@ def test_long_ring_is_cut_into_runs(spark, monkeypatch):
     assert got["perimeter"] == pytest.approx(2 * n * math.sin(math.pi / n))
 
 
+def test_centroid_of_small_polygons_far_away(spark):
+    rows = [(k, i, 1e6 * k + x * 1e-3, 3e7 + y * 1e-3) for k in range(1, 6) for i, (x, y) in enumerate([(0, 0), (4, 0), (4, 2), (0, 2)])]
+    got = ge.polygon_metrics(spark.createDataFrame(rows, "k int, vertex_ix int, x double, y double"), ["k"]).collect()
+    assert all(abs(r.centroid_x - (1e6 * r.k + 2e-3)) < 1e-7 and abs(r.centroid_y - (3e7 + 1e-3)) < 1e-7 and r.area == pytest.approx(8e-6, rel=1e-4) for r in got) and len(got) == 5
+
+
+def test_metrics_of_the_whole_table(spark):
+    """Every polygon of the table, thin ones too, against exact fractions."""
+    from checks.geometry import metrics, polygons
+
+    rings = {}
+    for r in polygons(spark, "/root/testdata/sf0.001").orderBy("cell_id", "vertex_ix").collect():
+        rings.setdefault(r.cell_id, []).append((Fraction(float(r.vertex_x)), Fraction(float(r.vertex_y))))
+    got = {r.cell_id: r for r in metrics(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(rings)
+    thin = 0
+    for key, ring in rings.items():
+        edges = list(zip(ring, ring[1:] + ring[:1]))
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in edges)
+        if len(ring) >= 3:
+            assert got[key].area == pytest.approx(float(abs(area) / 2), abs=1e-9)
+            thin += abs(area) / 2 <= 1
+        if abs(area) / 2 > Fraction(1, 10**9):
+            for axis, found in enumerate((got[key].centroid_x, got[key].centroid_y)):
+                exact = float(sum((a[axis] + b[axis]) * (a[0] * b[1] - b[0] * a[1]) for a, b in edges) / (3 * area))
+                assert found == pytest.approx(exact, rel=1e-9, abs=1e-4)
+    assert thin > 0
+
+
 GEOJSON = """{"features":[
  {"geometry":{"type":"Polygon","coordinates":[[[0,0],[10,0],[10,10],[0,10],[0,0]],[[4,4],[6,4],[6,6],[4,6],[4,4]]]},"properties":{"name":"Tumor"}},
  {"geometry":{"type":"MultiPolygon","coordinates":[[[[5,5],[20,5],[20,20],[5,20],[5,5]]],[[[30,30],[31,30],[31,31],[30,30]]]]},"properties":{"classification":{"name":"Stroma"}}},
