@@ -20,9 +20,15 @@ def pixels(spark, folder):
     return wide.select("row", "col", "label", F.col("e").cast("double").alias("e")).withColumn("v", F.expr(V))
 
 
-def rgb(spark, folder):
+def rgb(spark, folder, whole=False):
+    """Three positions a pixel. ``whole`` keeps the last position too; it fills all channels of its pixel."""
     part = "col % 3 = {}"
-    return pixels(spark, folder).where("col < 63").groupBy(F.col("label").alias("image"), "row", F.floor(F.col("col") / 3).cast("int").alias("col")).agg(
+    rows = pixels(spark, folder)
+    if whole:
+        rows = rows.unionByName(rows.where("col = 63").withColumn("col", F.explode(F.array(F.lit(64), F.lit(65)))))
+    else:
+        rows = rows.where("col < 63")
+    return rows.groupBy(F.col("label").alias("image"), "row", F.floor(F.col("col") / 3).cast("int").alias("col")).agg(
         *[F.max(F.when(F.expr(part.format(i)), F.col("v"))).alias(n) for i, n in enumerate("rgb")]
     )
 
@@ -218,8 +224,7 @@ def background(spark, folder):
 
 @register("tissue_mask_colour")
 def tissue_mask(spark, folder):
-    framed = rgb(spark, folder).drop("image").withColumns({n: F.expr(f"CASE WHEN col BETWEEN 5 AND 15 THEN {n} ELSE 235 + (row + col) % 8 END") for n in "rgb"})
-    return px.tissue_mask_colour(framed)
+    return px.tissue_mask_colour(rgb(spark, folder, whole=True), ["image"])
 
 
 @register("intensity_features", f"""WITH {PIX}, q AS (SELECT label, quantile_cont(v, 0.99) AS q FROM pix GROUP BY 1), s AS (SELECT label, least(greatest(v / greatest(q, 1), 0), 1) AS s FROM pix JOIN q USING (label)), {otsu('o', 's', 's', 'label')}

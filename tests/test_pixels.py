@@ -118,6 +118,54 @@ def test_tissue_mask_equals_numpy(spark):
     assert set(zip(got.row, got.col)) == {(r, c) for r in range(20, 40) for c in range(15, 45)} - corners
 
 
+def brute_tissue(array, there):
+    """Mask of one image; ``there`` marks the pixels that exist."""
+    h, w = there.shape
+    edge = max(4, min(h, w) // 50)
+    strips = [there & (np.minimum(np.arange(h), h - 1 - np.arange(h)) < edge)[:, None], there & (np.minimum(np.arange(w), w - 1 - np.arange(w)) < edge)[None, :]]
+    median = np.median(np.concatenate([array[s] for s in strips]), axis=0)
+    far = np.sqrt(((array - median) ** 2).sum(-1))
+    mask = there & (far > max(12.0, np.quantile(np.concatenate([far[s] for s in strips]), 0.95) + 4))
+    for grow in (True, True, False, False, False, True):
+        padded = np.pad(mask, 1)  # outside counts as no tissue
+        moved = np.stack([padded[1 + r : 1 + r + h, 1 + c : 1 + c + w] for r, c in px.CROSS])
+        mask = moved.any(0) if grow else moved.all(0)
+    found, left = set(), set(zip(*(x.tolist() for x in np.nonzero(mask))))
+    while left:
+        part, edge_of = set(), [left.pop()]
+        while edge_of:
+            r, c = edge_of.pop()
+            part.add((r, c))
+            for near in ((r, c + 1), (r, c - 1), (r + 1, c), (r - 1, c)):
+                if near in left:
+                    left.remove(near)
+                    edge_of.append(near)
+        if len(part) >= max(64, int(0.00005 * h * w)):
+            found |= part
+    return found
+
+
+def test_tissue_mask_query_is_whole(spark, tmp_path):
+    """All columns of two images, by brute force on unaltered colours."""
+    from checks.pixels import tissue_mask
+
+    rng = np.random.default_rng(6)
+    e = rng.uniform(-0.1, 0.1, (240, 64))
+    e[40:90, 12:64] += 0.5
+    e[150:190, 0:40] -= 0.4
+    pd.DataFrame({"vec_id": np.arange(240), "label": np.arange(240) // 120, "embedding": list(e)}).to_parquet(tmp_path / "embeddings.parquet")
+    got = {(r.image, r.row, r.col) for r in tissue_mask(spark, str(tmp_path)).collect()}
+    values = np.clip(np.floor((e + 0.6) / 1.2 * 255), 0, 255)
+    array = np.concatenate([values, values[:, 63:], values[:, 63:]], 1).reshape(240, 22, 3)
+    expected = set()
+    for k in (0, 1):
+        part = slice(0, 120) if k == 0 else slice(0, 240)
+        there = np.broadcast_to((np.arange(240) // 120 == k)[part, None], (120 * (k + 1), 22))
+        expected |= {(k, r, c) for r, c in brute_tissue(array[part], there)}
+    assert got == expected and {k for k, *_ in got} == {0, 1}
+    assert any(c > 15 for *_, c in got) and any(c < 5 for *_, c in got)
+
+
 def test_perfusion_literal(spark):
     array = np.zeros((80, 80, 3))
     array[:, 10:12, 1] = 255
