@@ -9,6 +9,9 @@ left by best fit, longest first, also on counts. The plan is a list of runs "so
 length go to sequences numbered from here, at this place". Its size is bounded by the number of
 patterns, not by the number of documents.
 
+Each placed piece carries its token ids (``ids``, little-endian unsigned 32-bit integers), so the sequences
+are there: the ids of a ``sequence_id`` in order of ``offset``.
+
 Pieces take their number within their length from bucket counts, so no task holds a whole length.
 
 Defined cases: a null text is empty and gives the end id alone; null ids and repeated rows are
@@ -36,9 +39,9 @@ ROUNDS = 300
 BUCKET_ROWS = 50_000
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-PLACED = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-PIECES_DDL = "id long, piece int, start long, length long, ids_crc32 long"
-PLACED_DDL = PIECES_DDL + ", sequence_id long, offset long"
+PLACED = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+PIECES_DDL = "id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PLACED_DDL = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:
@@ -47,21 +50,19 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, size) for at in range(first, n, size)]
 
 
-def _pieces(path: str, end_id: int, size: int, with_ids: bool):
-    schema = PIECES if with_ids else pa.schema(list(PIECES)[:-1])
-
+def _pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, "<u4")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in schema}
+            rows: dict[str, list] = {name: [] for name in PIECES.names}
             for key, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for k, (at, n) in enumerate(cut_points(len(ids) // 4, size)):
                     part = ids[4 * at : 4 * (at + n)]
-                    for name, value in zip(schema.names, (key, k, at, n, crc32(part), part), strict=False):
+                    for name, value in zip(PIECES.names, (key, k, at, n, crc32(part), part), strict=True):
                         rows[name].append(value)
-            yield table(rows, schema)
+            yield table(rows, PIECES)
     return run
 
 
@@ -186,7 +187,7 @@ def _place(runs: np.ndarray, size: int):
                 low, high = begin[value], begin[value + 1]
                 found[mine] = low + np.searchsorted(first[low:high], number[mine], "right") - 1
             out = {name: batch.column(name) for name in PLACED.names[:5]}
-            yield table(out | {"sequence_id": sequence[found] + number - first[found], "offset": offset[found]}, PLACED)
+            yield table(out | {"sequence_id": sequence[found] + number - first[found], "offset": offset[found], "ids": batch.column("ids")}, PLACED)
     return run
 
 
@@ -204,11 +205,11 @@ def number_within(pieces: DataFrame, total: int) -> DataFrame:
 def pack(
     docs: DataFrame, size: int = SIZE, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
+    """One row for each piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, ``ids``."""
     path = path or tokenizer_path(TOKENIZER)
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pieces = step(rows.mapInArrow(_pieces(path, end_id, size, False), PIECES_DDL))
+    pieces = step(rows.mapInArrow(_pieces(path, end_id, size), PIECES_DDL))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     runs = plan_sequences(counts, size)
     placed = number_within(pieces, sum(counts.values())).mapInArrow(_place(runs, size), PLACED_DDL)

@@ -95,7 +95,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register("op5_best_fit_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_read(spark, folder, "documents"))
+    out = packing.pack(_read(spark, folder, "documents"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @_register("op6_token_files")

@@ -164,6 +164,16 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_carries_the_ids(docs):
+    """Sequences put together from the output hold the documents' tokens."""
+    tool = encoder(tokenizer_path(packing.TOKENIZER), "<u4")
+    rows = packing.pack(docs, 64).collect()
+    assert all(crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    sequences = {s: b"".join(r.ids for r in sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset)) for s in {r.sequence_id for r in rows}}
+    text = b"".join(sequences[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] for r in sorted((r for r in rows if r.doc_id == 5), key=lambda r: r.piece))
+    assert text == tool.encode([LONG])[0] + np.array([2], "<u4").tobytes()
+
+
 def test_packing_is_close_to_the_bound():
     counts = dict(zip(*(x.tolist() for x in np.unique(np.random.default_rng(2).integers(1, 1025, 50_000), return_counts=True)), strict=True))
     plan = packing.plan_sequences(counts)
