@@ -97,7 +97,10 @@ def link_prints(prints: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document: id, crc (of the text), fp, component_id."""
+    """One row for each document: id, crc (of the text), fp, component_id, and ``class``: a fingerprint that names the component.
+
+    Where ids repeat, the smallest id of two components can be the same; their classes differ.
+    """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
     prints = step(rows.mapInArrow(_prints(shingle), "id long, crc long, fp long"))
@@ -107,10 +110,10 @@ def _components(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Da
     found = connected_components(ends, links)
     linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "component", "low")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = linked.join(least, "component").select("fp", "component_id")
-    classes = step(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    linked = linked.join(least, "component").select("fp", "component", "component_id")
+    classes = step(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"), F.coalesce("component_id", "low").alias("component_id")))
     out = prints.join(classes, "fp", "left")
-    return out.select("id", "crc", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("id", "crc", "fp", "class", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +128,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id stay.
     """
     found = _components(docs, SHINGLE, id_col, text_col)
-    first = step(found.where("id = component_id").groupBy("id").agg(F.min("crc").alias("crc")))
+    first = step(found.where("id = component_id").groupBy("class").agg(F.min(F.struct("id", "crc")).alias("least")).select("least.id", "least.crc"))
     named = docs.where(F.col(id_col).isNotNull())
-    stay = named.join(first, (named[id_col].cast("long") == first["id"]) & (F.crc32(F.coalesce(named[text_col].cast("string"), F.lit("")).cast("binary")) == first["crc"]), "left_semi")
-    return stay.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.coalesce(named[text_col].cast("string"), F.lit(""))
+    stay = named.join(first, (named[id_col].cast("long") == first["id"]) & (F.crc32(text.cast("binary")) == first["crc"]), "left_semi")
+    stay = stay.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return stay.dropDuplicates([id_col, "__text"]).drop("__text").unionByName(docs.where(F.col(id_col).isNull()))

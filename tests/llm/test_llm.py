@@ -120,6 +120,12 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_each_text_of_a_repeated_id(docs):
+    """The texts of id 10 are not near each other, so both components keep their document."""
+    kept = simhash.keep_one(docs).where("doc_id IN (7, 10)").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(7, "short"), (10, "x"), (10, "y")]
+
+
 def test_simhash_links_are_exact(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 60)
