@@ -67,7 +67,10 @@ def image_geometry(
 
 
 def region_morphology(pixels: DataFrame, vertices: DataFrame, feature: str, pixel_um: float) -> Tables:
-    """Labels, tissue and stain statistics per annotated region of one colour image."""
+    """Labels, tissue and stain statistics per annotated region of one colour image.
+
+    No candidate pixels are measured here, so their count and share are NULL, with a status.
+    """
     labelled = ge.label_grid(pixels, vertices, feature)
     tissue = px.tissue_mask_colour(pixels).withColumn("tissue", F.lit(True))
     joined = labelled.join(tissue, ["row", "col"], "left").withColumns({
@@ -75,8 +78,11 @@ def region_morphology(pixels: DataFrame, vertices: DataFrame, feature: str, pixe
         "haematoxylin": px.stain_density(0), "eosin": px.stain_density(1), "candidate": F.lit(False),
     })
     areas = ge.annotation_areas(vertices, [feature], pixel_um, pixel_um)
+    regions = px.region_morphology(joined, "region", "tissue", ["haematoxylin", "eosin"], "candidate", pixel_um**2).withColumns({
+        "candidate_pixels": F.lit(None).cast("long"), "candidate_fraction": F.lit(None).cast("double"), "candidate_status": F.lit("NOT_COMPUTED"),
+    })
     return {
-        "regions": px.region_morphology(joined, "region", "tissue", ["haematoxylin", "eosin"], "candidate", pixel_um**2),
+        "regions": regions,
         "annotation_areas": areas, "areas_by_name": ge.areas_by_name(areas),
     }
 

@@ -166,6 +166,18 @@ def test_tissue_mask_query_is_whole(spark, tmp_path):
     assert any(c > 15 for *_, c in got) and any(c < 5 for *_, c in got)
 
 
+def test_region_morphology_has_no_made_up_candidates(spark):
+    from tessella.plans.jobs import region_morphology
+
+    array = np.full((60, 60, 3), 240)
+    array[20:40, 15:45] = (120, 60, 130)
+    ring = [("Tumor", 0, 0, k, x, y) for k, (x, y) in enumerate([(10.0, 10.0), (50.0, 10.0), (50.0, 50.0), (10.0, 50.0)])]
+    vertices = spark.createDataFrame([(1, *r) for r in ring], "feature int, name string, polygon_ix int, ring_ix int, vertex_ix int, x double, y double")
+    rows = region_morphology(image(spark, array), vertices, "feature", 1.0)["regions"].collect()
+    assert sum(r.tissue_pixels for r in rows) == 596
+    assert all(r.candidate_pixels is None and r.candidate_fraction is None and r.candidate_status == "NOT_COMPUTED" for r in rows)
+
+
 def test_perfusion_literal(spark):
     array = np.zeros((80, 80, 3))
     array[:, 10:12, 1] = 255
