@@ -14,7 +14,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
-CHUNK = re.compile(r"\s*[^\W\d_]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
+#: White space as the tokenizers have it: Python's \s also holds U+001C to U+001F.
+SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+CHUNK = re.compile(rf"{SPACE}*[^\W\d_]+(?![^\s!-/:-@\[-`{{-~]|[\x1c-\x1f])|{SPACE}*{OTHER}+|{SPACE}+")
+#: The same for texts without these four characters, and faster.
+PLAIN = re.compile(r"\s*[^\W\d_]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
+CONTROL = re.compile(r"[\x1c-\x1f]")
 #: Distinct chunks in one generation of the cache; a worker keeps two generations.
 CACHE_CHUNKS = 250_000
 #: Longer chunks are encoded but not kept.
@@ -39,7 +44,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of the ids of each text."""
-        cut = [CHUNK.findall(text) for text in texts]
+        cut = [(CHUNK if CONTROL.search(text) else PLAIN).findall(text) for text in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []

@@ -150,6 +150,13 @@ def test_tokens_equal_whole_texts():
         assert tool.encode(texts) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, dtype).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_with_separator_controls(name):
+    tool = encoder(tokenizer_path(name), "<u4")
+    for text in ["a!\x1cb", "a!!\x1d!b", "don'\x1ct", "a\x1e b", "\x1f\x1f a", "a \x1c"]:
+        assert tool.encode([text]) == [np.array(tool.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()], repr(text)
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs, 64).collect()
     tool = encoder(tokenizer_path(packing.TOKENIZER), "<u4")
