@@ -307,6 +307,27 @@ def test_pseudonyms_of_other_layouts(spark):
     assert pseudonyms.pseudonymise(days, "key").where("substr(text, 4, 2) > 12").select("text").distinct().count() == days.count()
 
 
+def test_pseudonyms_of_very_long_texts(spark, empty):
+    """Repeats of a million labels, digits, signs and groups neither overflow a stack nor hide what follows."""
+    tail = " 97.51.17.173 was.91@mail6.example.com"
+    many = ["x@" + "a." * 1_000_000 + "com", "7" * 1_000_000, "@" * 1_000_000, "+" * 1_000_000, "+1" * 500_000, "1." * 500_000, "+1 (2" * 200_000,
+            "1234 " * 200_000, "a.b@c.d" * 100_000, "%-" * 500_000, "2024-02-29-" * 90_000, "x" * 1_000_000 + "@a.com"]
+    frame = spark.createDataFrame([(k, text + tail) for k, text in enumerate(many)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(frame, "key").collect()}
+    made = pseudonyms.pseudonymise(spark.createDataFrame([(0, tail)], "doc_id long, text string"), "key").first().text
+    assert len(got) == len(many) and all(got[k].text.endswith(made) and got[k].n_found >= 2 for k in range(len(many)))
+    assert all(len(got[k].text) >= len(text) for k, text in enumerate(many))
+    assert pseudonyms.pseudonymise(empty, "key").count() == 0
+
+
+def test_pseudonyms_found_values_equal_brute_force(spark):
+    """Values found in a whole table, by the same patterns in another matcher, each text alone."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pattern = re.compile(pseudonyms.VALUE, re.ASCII)
+    want = {r.doc_id: len(pattern.findall(r.text or "")) for r in frame.collect()}
+    assert {r.doc_id: r.n_found for r in pseudonyms.pseudonymise(frame, "key").collect()} == want and sum(want.values()) > 0
+
+
 def test_pipeline_stages(spark, docs):
     folder = "/root/testdata/sf0.001"
     frame = spark.read.parquet(f"{folder}/documents.parquet")
