@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of so many rows and bytes for the steps written inside; the caller's settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def step(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write a step to the shared folder and go on from the table.
 

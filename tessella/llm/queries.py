@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, language, lines, packing, pivots, pseudonyms, quality, simhash, substring, token_files
+from tessella.llm import decontaminate, dialogue, impact, language, lines, packing, pivots, pseudonyms, quality, simhash, substring, token_files, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,3 +130,33 @@ SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = com
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_duplicates(_read(spark, folder, "embeddings"))
+
+
+@_register("op11_topk_search", """
+WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings")
+    return impact.search(impact.build_index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
+@_register("op12_embedding_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = whiten.whiten(_read(spark, folder, "embeddings"))
+    each = out.select("vec_id", F.posexplode("whitened").alias("k", "whitened"), "n", "deviation", "explained", "identity_error")
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
+@_register("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    given = _read(spark, folder, "conversations")
+    report, rows = dialogue.repair(dialogue.damage(given))
+    report = report.withColumnRenamed("conv_id", "reported")
+    hashed = dialogue.digests(rows).withColumnRenamed("conv_id", "hashed")
+    out = given.select("conv_id").distinct().join(report, F.col("conv_id").eqNullSafe(F.col("reported")), "left").join(hashed, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", empty).alias("repaired_sha256"))
