@@ -23,14 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import step
+from tessella.session import broadcast_if
 
 WORDS = 13
 SHINGLE = 4
 #: Part of a document's words that must be hit: one in so many.
 HIT_SHARE = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word before lower-casing, for counts.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -71,12 +70,16 @@ def _judged(docs: DataFrame, items: DataFrame, words: int, id_col: str, text_col
     """One row for each document: nul, id, tag, ``n_words``, ``n_hit``, ``items``, ``contaminated``."""
     windows = step(item_windows(items, words, item_col, item_text).withColumn("size", F.least(F.col("len"), F.lit(SHINGLE))))
     parts = windows.select("window", "size", F.inline(_shingles("window", F.col("size"))))
+    # One more token, held by every document, carries its number of words past the join.
+    mark = F.xxhash64(F.lit("number of words"))
     tokens = step(parts.select("size", "s").distinct())
     sizes = sorted(r["size"] for r in tokens.select("size").distinct().collect())  # at most four
+    wanted = tokens.select("s").unionByName(docs.sparkSession.range(1).select(mark.alias("s"))).distinct()
     rows = docs.select(*_key(id_col, text_col), words_of(text_col).alias("words"))
-    shingles = [_shingles("words", size) for size in sizes] or [F.array().cast("array<struct<off:int,s:bigint>>")]
-    placed = rows.select("nul", "id", "tag", F.size("words").alias("n"), F.inline(F.concat(*shingles)))
-    matches = step(placed.join(tokens.select("s"), "s").select("nul", "id", "tag", "n", "off", "s"))
+    placed = rows.select("nul", "id", "tag", F.size("words").alias("n"), F.inline(F.concat(
+        F.array(F.struct(F.lit(-1).alias("off"), mark.alias("s"))), *[_shingles("words", size) for size in sizes])))
+    matches = step(placed.join(wanted, "s").select("nul", "id", "tag", "n", "off", "s"))
+    judged, matches = matches.where("off < 0").select("nul", "id", "tag", "n"), matches.where("off >= 0")
     rarity = matches.groupBy("s").agg(F.count(F.lit(1)).alias("seen"))
     # A window with a shingle that no document holds cannot occur.
     ordered = parts.join(rarity, "s", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "off", "s")).alias("rare"))
@@ -86,13 +89,12 @@ def _judged(docs: DataFrame, items: DataFrame, words: int, id_col: str, text_col
     found = found.select("nul", "id", "tag", F.struct(start.alias("start"), "len", "window", "items").alias("hit"))
     found = step(found.groupBy("nul", "id", "tag").agg(F.collect_set("hit").alias("hits")))
 
-    joined = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text")).join(found.hint("merge"), ["nul", "id", "tag"], "left")
-    joined = joined.select(
-        "nul", "id", "tag", F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"),
-        F.when(F.col("hits").isNotNull(), words_of("text")).alias("words"), "hits",
-    )
+    # Texts are read again only where something was found.
+    texts = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+    texts = texts.join(broadcast_if(found.select("nul", "id", "tag"), found.count()), ["nul", "id", "tag"], "left_semi")
+    joined = texts.join(found.hint("merge"), ["nul", "id", "tag"]).select("nul", "id", "tag", words_of("text").alias("words"), "hits")
     exact = F.filter("hits", lambda h: F.slice("words", h["start"] + 1, h["len"]) == h["window"])
-    checked = joined.select("nul", "id", "tag", "n_words", F.sort_array(F.transform(exact, lambda h: F.struct(
+    checked = joined.select("nul", "id", "tag", F.sort_array(F.transform(exact, lambda h: F.struct(
         h["start"].alias("start"), h["len"].alias("len"), h["items"].alias("items")))).alias("hits"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -103,8 +105,10 @@ def _judged(docs: DataFrame, items: DataFrame, words: int, id_col: str, text_col
         lambda acc: acc["n"].cast("long"),
     )
     named = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = checked.select(
-        "nul", "id", "tag", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(named, F.array().cast("array<string>")).alias("items")
+    hit = checked.select("nul", "id", "tag", covered.alias("n_hit"), named.alias("items")).dropDuplicates(["nul", "id", "tag"])
+    out = judged.join(hit, ["nul", "id", "tag"], "left").select(
+        "nul", "id", "tag", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words")))
 

@@ -7,11 +7,11 @@ quantised impacts. Every row is indexed and shards are rows of a table.
 Search. For a query, a component's contribution is counted from the least that any vector of the shard
 can have, so contributions are never negative; the order of a dimension is read from its upper or its
 lower end, by the query's sign. Segments fall into bands by impact, and bands are processed in descending
-order: each posting adds the least impact of its segment to its vector's accumulator. After a band,
-a vector can gain at most what the segments leave open and what the dimensions still hold where it was not
-seen yet. Vectors for which this stays below the k-th best lower bound (or the k-th best exact score of
-earlier shards) are ruled out by proof. Once few are left, or all bands are done, those left are scored
-exactly. Nothing else ends a search, so results are exact.
+order: each posting adds the most that its segment can give to its vector's accumulator. Where a vector was
+not seen yet, a dimension gives at most its next segment. A vector whose sum stays below a score that is known
+to be reached k times (by vectors of this shard that were scored exactly, or in earlier shards) is ruled out
+by proof. Once few are left, or all bands are done, those left are scored exactly. Nothing else ends a search,
+so results are exact.
 
 Plan. Blocks of queries meet shards by (block, lane): each pair of both is one unit, units of one block and
 lane run one after the other in a task and hand on their best scores, and lanes bound how many. What is
@@ -39,11 +39,14 @@ from pyspark.sql import functions as F
 from tessella.llm.common import batches_of, step, table
 
 SCALE, TOP = 256.0, 5
-SHARD_ROWS, BLOCK_QUERIES, LEVELS, BANDS = 16_384, 8_192, 32, 24
+SHARD_ROWS, BLOCK_QUERIES, LEVELS, BANDS = 16_384, 8_192, 64, 24
 #: Shards that one task works through for a block of queries, and units that keep a machine busy.
 LANE_SHARDS, UNITS = 64, 24
-#: A search ends early when no more than so many vectors of the shard are left.
-FEW = 96
+#: What is left is looked at when these parts of the postings are done; a search ends early when no more than one in
+#: ``FEW`` vectors of the shard is left. ``SEEDS`` exact scores give the score that must be reached.
+STOPS, FEW, SEEDS = (0.6, 0.8, 1.0), 12, 32
+#: Queries of a block on a small table.
+LEAST_QUERIES = 96
 
 INDEX = pa.schema([
     ("shard", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("kind", pa.string()), ("vectors", pa.binary()),
@@ -122,24 +125,22 @@ class Shard:
     def __init__(self, dim: int, n: int, ids: bytes, kind: str, vectors: bytes, postings: bytes, ends: bytes) -> None:
         self.n, self.ids = n, np.frombuffer(ids, "<i8")
         self.x = np.frombuffer(vectors, kind).reshape(n, dim).astype(np.int64)
-        self.real = self.x.astype(np.float64)
         order = np.frombuffer(postings, "<u2").reshape(dim, n).astype(np.int64)
         ends = np.frombuffer(ends, "<i4").reshape(dim, LEVELS)
         counts = np.diff(ends, axis=1, prepend=0)
-        ordered = np.take_along_axis(self.real.T, order, 1)
+        ordered = np.take_along_axis(self.x.T.astype(np.float64), order, 1)
         self.low, self.high = (ordered[:, 0], ordered[:, -1]) if dim else (np.zeros(0), np.zeros(0))
         least = np.take_along_axis(ordered, np.minimum(ends - counts, n - 1), 1)
         most = np.take_along_axis(ordered, np.maximum(ends - 1, 0), 1)
         level = np.zeros((dim, n), np.uint8)
         np.put_along_axis(level, order, np.stack([np.repeat(np.arange(LEVELS), c) for c in counts]).astype(np.uint8) if dim else level, 1)
 
-        def side(high: np.ndarray, low: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def side(high: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Best segment first; an empty one has the bound of the next."""
-            high = np.maximum.accumulate(np.where(number > 0, high, 0)[:, ::-1], axis=1)[:, ::-1]
-            return high, np.where(number > 0, low, high), number
+            return np.maximum.accumulate(np.where(number > 0, high, 0)[:, ::-1], axis=1)[:, ::-1], number
 
-        self.up = side((most - self.low[:, None])[:, ::-1], (least - self.low[:, None])[:, ::-1], counts[:, ::-1])
-        self.down = side(self.high[:, None] - least, self.high[:, None] - most, counts)
+        self.up = side((most - self.low[:, None])[:, ::-1], counts[:, ::-1])
+        self.down = side(self.high[:, None] - least, counts)
         self.order, self.reverse = order, order[:, ::-1]
         self.rank_up, self.rank_down = (LEVELS - 1 - level).T, level.T
 
@@ -147,46 +148,47 @@ class Shard:
         """Ids and exact scores of all that can be among the best ``top``, given a score that must be reached."""
         q = query.astype(np.float64)
         up, use = q > 0, np.flatnonzero(q)
-        other = self.ids != own
         base = float(q @ np.where(up, self.low, self.high))
         weight, sign = np.abs(q)[use], up[use, None]
-        high, low, number = (np.where(sign, a[use], b[use]) for a, b in zip(self.up, self.down, strict=True))
-        high, low = high * weight[:, None], low * weight[:, None]
-        gap = float(np.where(number > 0, high - low, 0).max(1, initial=0).sum())
+        high, number = (np.where(sign, a[use], b[use]) for a, b in zip(self.up, self.down, strict=True))
+        high = high * weight[:, None]
         # Sums stay whole numbers below 2**52; beyond, rounding is allowed for.
         size = float(high[:, 0].sum()) + abs(base)
-        gap += 0.0 if size < 2**52 else size * 1e-9
+        slack = 0.0 if size < 2**52 else size * 1e-9
         place = np.concatenate([np.zeros((len(use), 1), np.int64), np.cumsum(number, 1)], 1)
         band = np.minimum(high * (BANDS / max(float(high.max(initial=0)), 1.0)), BANDS - 1).astype(np.int64)
-        score = np.where(other, 0.0, -np.inf)
-        done = np.zeros(len(use), np.int64)
-        levels = np.arange(LEVELS)
         closed = np.concatenate([high, np.zeros((len(use), 1))], 1)
-        left = np.flatnonzero(other)
+        levels, dims = np.arange(LEVELS), np.arange(len(use))
+        gain, cap, done = np.zeros(self.n), closed[:, 0], np.zeros(len(use), np.int64)
+        left = np.flatnonzero(self.ids != own)
+        goals, query = [self.n * len(use) * part for part in STOPS], query.astype(np.int64)
         for b in range(BANDS - 1, -1, -1):
             now = (band >= b).sum(1)
-            moved = np.flatnonzero(now > done).tolist()
-            if not moved and b:
+            if b and int(place[dims, now].sum()) < goals[0]:
                 continue
+            goals.pop(0)
+            below = closed[dims, now]
+            if done.any():
+                # Dimensions where a vector was seen count by their segment alone, whatever is still open.
+                rank = np.where(sign.T, self.rank_up[left][:, use], self.rank_down[left][:, use])
+                gain[left] += (rank < done) @ (cap - below)
+            moved = np.flatnonzero(now > done).tolist()
             if moved:
                 parts = [(self.reverse if sign[d, 0] else self.order)[use[d], place[d, done[d]] : place[d, now[d]]] for d in moved]
                 mask = (levels >= done[:, None]) & (levels < now[:, None])
-                score += np.bincount(np.concatenate(parts), np.repeat(low[mask], number[mask]), self.n)
-                done = now
-            rest = closed[np.arange(len(use)), done]
-            bound = -np.inf if self.n <= top else float(np.partition(score, self.n - top)[self.n - top])
+                gain += np.bincount(np.concatenate(parts), np.repeat((high - below[:, None])[mask], number[mask]), self.n)
+            done, cap = now, below
+            bound = gain[left] + (base + cap.sum() + slack)
+            if len(left) > top:
+                # Exact scores of the most promising give a score that must be reached.
+                few = left[np.argpartition(bound, -min(SEEDS, len(left)))[-min(SEEDS, len(left)) :]]
+                sure = int(np.sort(self.x[few] @ query)[-top])
+                least = sure if least is None else max(least, sure)
             if least is not None:
-                bound = max(bound, least - base)
-            left = np.flatnonzero(other & (score >= bound - gap - rest.sum()))
-            if len(left) <= FEW:
+                left = left[bound >= least]
+            if len(left) * FEW <= self.n or not goals or int(place[dims, now].sum()) == self.n * len(use):
                 break
-            if b and FEW < len(left) < self.n // 4:
-                # What a vector can still gain: dimensions where it was not seen.
-                rank = np.where(sign.T, self.rank_up[left][:, use], self.rank_down[left][:, use])
-                left = left[score[left] + (rank >= done) @ rest >= bound - gap]
-                if len(left) <= FEW:
-                    break
-        return self.ids[left], self.x[left] @ query.astype(np.int64)
+        return self.ids[left], self.x[left] @ query
 
 
 def best(ids: np.ndarray, scores: np.ndarray, top: int) -> np.ndarray:
@@ -237,7 +239,7 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP, scale: float =
     shards, total = index.count(), asked.count()
     # Enough units to keep a small machine busy; bounded blocks and lanes on a large table.
     lanes = max(1, -(-shards // LANE_SHARDS), min(shards, UNITS // 4))
-    blocks = max(1, -(-total // BLOCK_QUERIES), min(-(-total // FEW), -(-UNITS // lanes)))
+    blocks = max(1, -(-total // BLOCK_QUERIES), min(-(-total // LEAST_QUERIES), -(-UNITS // lanes)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "tag"), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "tag", "vector")).alias("queries"))
     asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
