@@ -60,6 +60,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """Strings of a column of bytes or strings; what is not UTF-8 becomes U+FFFD."""
+    return [text if text is None else text.decode("utf-8", "replace") for text in column.cast(pa.binary()).to_pylist()]
+
+
 def crc_of(name: str) -> Column:
     """Tells apart rows that share an id; rows with the same id and text are one document."""
     return F.crc32(text_of(name))

@@ -1,7 +1,7 @@
 """FM-index over integer sequences: a bit-packed wavelet matrix of the transformed text.
 
 Sequences are joined by the symbol 0. Suffixes are ordered by their first ``depth`` symbols, which
-is all that a backward search of up to ``depth`` steps needs.
+is all that a backward search of up to ``depth`` steps needs: equal beginnings may come in any order.
 """
 
 from __future__ import annotations
@@ -49,12 +49,12 @@ class FMIndex:
         self.text = text.astype(np.int64)
         self.symbols = int(self.text.max(initial=0)) + 1
         rank, span = self.text, 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while span < depth:
             after = np.zeros_like(rank)
             after[:-span] = rank[span:] if span < len(rank) else 0
             key = rank * (int(rank.max(initial=0)) + 1) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             in_order = key[order]
             new = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
             rank = np.empty_like(rank)

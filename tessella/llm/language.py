@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import held_out, short_batches, table
+from tessella.llm.common import held_out, short_batches, table, text_of, texts_of
 
 SAMPLE_DOCS = 300
 SLICE = 400
@@ -70,16 +70,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(counts, key=lambda name: (-counts[name], name))
-    sample = None
-    for name in names:
-        # Hashes are uniform; one slot in so many gives a few more rows than are needed.
-        slots = max(1, counts[name] // (2 * SAMPLE_DOCS))
-        spare = F.greatest(F.length("text") - SLICE, F.lit(0)) + 1
-        part = rows.where((F.col("lang") == name) & (F.pmod("h", F.lit(slots)) == 0)).orderBy("h").limit(SAMPLE_DOCS)
-        part = part.select("lang", "h", F.substring("text", F.pmod(F.xxhash64("h"), spare).cast("int") + 1, F.lit(SLICE)).alias("text"))
-        sample = part if sample is None else sample.unionByName(part)
+    # Hashes are uniform; one slot in so many gives a few more rows than are needed. All languages come from one scan.
+    slots = F.create_map(*[F.lit(v) for name in names for v in (name, max(1, counts[name] // (2 * SAMPLE_DOCS)))]) if names else F.create_map().cast("map<string,int>")
+    spare = F.greatest(F.length("text") - SLICE, F.lit(0)) + 1
+    part = F.substring("text", F.pmod(F.xxhash64("h"), spare).cast("int") + 1, F.lit(SLICE))
+    sample = rows.where(F.pmod("h", slots[F.col("lang")]) == 0).select("lang", "h", part.alias("text"))
+    sample = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= SAMPLE_DOCS)
     texts: dict[str, list[tuple[int, bytes]]] = {name: [] for name in names}
-    for r in sample.collect() if sample is not None else []:
+    for r in sample.collect():
         texts[r["lang"]].append((r["h"], letters(r["text"])))
     return Languages(tuple(names), tuple(b" ".join(t for _, t in sorted(texts[name])) for name in names))
 
@@ -103,7 +101,7 @@ def _identify(languages: Languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = languages.compressors()
         for batch in batches:
-            found = [judge(text, languages, tools) for text in batch.column(2).to_pylist()]
+            found = [judge(text, languages, tools) for text in texts_of(batch.column(2))]
             lang, score, accepted = zip(*found, strict=True) if found else ((), (), ())
             yield table({"id": batch.column(0), "held_out": batch.column(1), "lang_pred": lang, "score": score, "accepted": accepted}, SCHEMA)
     return run
@@ -112,7 +110,7 @@ def _identify(languages: Languages):
 def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, ``held_out``, ``lang_pred``, ``score``, ``accepted``."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), text_of(text_col).alias("text"))
     out = rows.mapInArrow(_identify(languages), "id long, held_out boolean, lang_pred string, score double, accepted boolean")
     return out.withColumnRenamed("id", id_col)
 
@@ -121,7 +119,7 @@ def _keep(languages: Languages, columns: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = languages.compressors()
         for batch in batches:
-            texts = batch.column(columns.index(text_col)).to_pylist()
+            texts = texts_of(batch.column(columns.index(text_col)))
             yield batch.filter(pa.array([judge(text, languages, tools)[2] for text in texts], pa.bool_()))
     return run
 

@@ -99,11 +99,11 @@ def without_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str =
     short_batches(docs.sparkSession)
     later = repeated_lines(docs, window, id_col, text_col)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([text if at is None else kept_lines(text.encode(), np.asarray(at), window)[0].decode() for text, at in zip(texts, starts, strict=True)], dtype=object)
+        return pd.Series([text if at is None else kept_lines(text, np.asarray(at), window)[0] for text, at in zip(texts, starts, strict=True)], dtype=object)
 
     rows = docs.select(*_key(id_col, text_col), F.struct("*").alias("row")).join(later.hint("merge"), ["nul", "id", "tag"], "left")
     text = F.col("row").getField(text_col).cast("string")
-    new = F.when(F.col("starts").isNull(), text).otherwise(cut(F.when(F.col("starts").isNotNull(), text), F.col("starts")))
+    new = F.when(F.col("starts").isNull(), text).otherwise(cut(F.when(F.col("starts").isNotNull(), text.cast("binary")), F.col("starts")).cast("string"))
     return rows.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -14,8 +14,10 @@ are there: the ids of a ``sequence_id`` in order of ``offset``.
 
 Pieces take their number within their length from bucket counts, so no task holds a whole length.
 
-Defined cases: a null text is empty and gives the end id alone; null ids and repeated rows are
-packed like all others; other columns are ignored.
+Defined cases: a null text is empty and gives the end id alone; bytes that are not UTF-8 are read as
+U+FFFD; null ids and repeated rows are packed like all others, and pieces of equal length are told apart by
+id, piece and ids; a very long text gives as many pieces as it needs; an empty table gives none; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import short_batches, step, table, tasks_for
+from tessella.llm.common import short_batches, step, table, tasks_for, text_of, texts_of
 from tessella.llm.tokens import encoder, tokenizer_path
 
 SIZE = 1024
@@ -55,14 +57,16 @@ def _pieces(path: str, end_id: int, size: int):
         tool = encoder(path, "<u4")
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: dict[str, list] = {name: [] for name in PIECES.names}
-            for key, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
+            keys, number, start, length, parts = [], [], [], [], []
+            for key, ids in zip(batch.column(0).to_pylist(), tool.encode(texts_of(batch.column(1))), strict=True):
                 ids += end
                 for k, (at, n) in enumerate(cut_points(len(ids) // 4, size)):
-                    part = ids[4 * at : 4 * (at + n)]
-                    for name, value in zip(PIECES.names, (key, k, at, n, crc32(part), part), strict=True):
-                        rows[name].append(value)
-            yield table(rows, PIECES)
+                    keys.append(key)
+                    number.append(k)
+                    start.append(at)
+                    length.append(n)
+                    parts.append(ids[4 * at : 4 * (at + n)])
+            yield table({"id": keys, "piece": number, "start": start, "length": length, "ids_crc32": map(crc32, parts), "ids": parts}, PIECES)
     return run
 
 
@@ -208,7 +212,7 @@ def pack(
     """One row for each piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, ``ids``."""
     path = path or tokenizer_path(TOKENIZER)
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     pieces = step(rows.mapInArrow(_pieces(path, end_id, size), PIECES_DDL))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
     runs = plan_sequences(counts, size)

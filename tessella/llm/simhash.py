@@ -129,8 +129,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = _components(docs, SHINGLE, id_col, text_col)
     first = step(found.where("id = component_id").groupBy("class").agg(F.min(F.struct("id", "crc")).alias("least")).select("least.id", "least.crc"))
-    named = docs.where(F.col(id_col).isNotNull())
-    text = F.coalesce(named[text_col].cast("string"), F.lit(""))
-    stay = named.join(first, (named[id_col].cast("long") == first["id"]) & (F.crc32(text.cast("binary")) == first["crc"]), "left_semi")
-    stay = stay.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return stay.dropDuplicates([id_col, "__text"]).drop("__text").unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("tag"), F.struct("*").alias("row"))
+    stay = rows.where("id IS NOT NULL").join(first, ["id", "crc"], "left_semi").dropDuplicates(["id", "tag"])
+    stay = stay.select("row").unionByName(rows.where("id IS NULL").select("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

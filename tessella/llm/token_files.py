@@ -14,7 +14,9 @@ Segments are rows of a Parquet table, so that any store Spark can write to can h
 task is simply written again. Range partitioning by document id orders segments across the table.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first, as in Spark's
-ascending order; rows with the same id are ordered by text; other columns are ignored.
+ascending order; rows with the same id are ordered by the crc32 of their texts, then by text; bytes that
+are not UTF-8 are read as U+FFFD; a very long text is one document in one segment; an empty table gives no
+segments; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import short_batches, step, table, tasks_for
+from tessella.llm.common import short_batches, step, table, tasks_for, text_of, texts_of
 from tessella.llm.tokens import encoder, tokenizer_path
 from tessella.session import scratch_folder
 
@@ -148,7 +150,7 @@ def _write(path: str, end_id: int, width: int):
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for name, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(), tool.encode(texts_of(batch.column(1))), strict=True):
                 names.append(name)
                 held.append(ids + end)
                 size += len(held[-1]) // width
@@ -177,9 +179,10 @@ def write_token_files(
     """Encode every text and write the segments, in ascending id order, below ``folder``."""
     short_batches(docs.sparkSession)
     path = path or tokenizer_path(TOKENIZER)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     parts = tasks_for(docs, docs.count(), PARTITION_DOCS)
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    # Many null or equal ids are spread by their texts.
+    ordered = rows.withColumn("crc", F.crc32("text")).repartitionByRange(parts, "id", "crc").sortWithinPartitions("id", "crc", "text")
     ordered = ordered.select("id", "text", F.spark_partition_id().alias("part"))
     segments = ordered.mapInArrow(_write(path, end_id, width), "part int, segment int, n_ids long, data binary")
     segments.write.parquet(folder)
@@ -187,7 +190,6 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a folder: ``id``, ``start``, ``n_tokens``, ``ids_crc32``, read from the segments."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     segments = spark.read.schema("part int, segment int, n_ids long, data binary").parquet(folder)
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 
 #: White space as the tokenizers have it: Python's \s also holds U+001C to U+001F.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf"{SPACE}*[^\W\d_]+(?![^\s!-/:-@\[-`{{-~]|[\x1c-\x1f])|{SPACE}*{OTHER}+|{SPACE}+")
 #: The same for texts without these four characters, and faster.
-PLAIN = re.compile(r"\s*[^\W\d_]+(?![^\s!-/:-@\[-`{-~])|\s*\S+|\s+")
-CONTROL = re.compile(r"[\x1c-\x1f]")
+PLAIN = re.compile(r"\s*+[^\W\d_]++(?![^\s!-/:-@\[-`{-~])|\s*+\S++|\s++")
+CONTROL = "\x1c\x1d\x1e\x1f"
 #: Distinct chunks in one generation of the cache; a worker keeps two generations.
 CACHE_CHUNKS = 250_000
 #: Longer chunks are encoded but not kept.
@@ -38,26 +38,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype(dtype)
+        #: Machine integers of this width are little-endian wherever the libraries used here run.
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of the ids of each text."""
-        cut = [(CHUNK if CONTROL.search(text) else PLAIN).findall(text) for text in texts]
+        cut = [(CHUNK if any(c in text for c in CONTROL) else PLAIN).findall(text) for text in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for chunk in set().union(*cut):
-            if chunk not in known:
-                if (kept := older.get(chunk)) is None:
-                    new.append(chunk)
-                else:
-                    known[chunk] = kept
+        for chunk in set().union(*cut).difference(known):
+            if (kept := older.get(chunk)) is None:
+                new.append(chunk)
+            else:
+                known[chunk] = kept
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, self.dtype).tobytes()
+                known[chunk] = array(self.code, found.ids).tobytes()
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
         for chunk in new:
             if len(chunk) > LONGEST_KEPT:

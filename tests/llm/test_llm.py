@@ -7,6 +7,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import decontaminate, language, lines, packing, pivots, pseudonyms, quality, simhash, substring, token_files
@@ -126,6 +127,11 @@ def test_simhash_keeps_each_text_of_a_repeated_id(docs):
     assert sorted((r.doc_id, r.text) for r in kept) == [(7, "short"), (10, "x"), (10, "y")]
 
 
+def test_simhash_keeps_rows_with_clashing_names(docs):
+    names = {"id": "__text", "tag": "row", "text_b": "crc"}
+    assert simhash.keep_one(docs.withColumnsRenamed(names)).count() == simhash.keep_one(docs).count()
+
+
 def test_simhash_links_are_exact(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 60)
@@ -150,6 +156,16 @@ def test_tokens_equal_whole_texts():
         assert tool.encode(texts) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, dtype).tobytes() for t in texts]
 
 
+def test_texts_that_are_not_utf8(spark):
+    """Bytes that are no UTF-8 crash no operator; the tokenizers read them as U+FFFD."""
+    frame = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text UNION ALL SELECT 2L, 'a b'").withColumn("lang", F.lit("en"))
+    ids = np.array(encoder(tokenizer_path(packing.TOKENIZER), "<u4").tokenizer.encode("a\ufffdb", add_special_tokens=False).ids + [2], "<u4")
+    assert {r.doc_id: r.ids for r in packing.pack(frame).collect()}[1] == ids.tobytes()
+    assert token_files.encode_and_read_back(frame).count() == 2 and language.identify(frame, language.learn(frame)).count() == 2
+    assert lines.without_repeated_lines(frame).count() == 2 and language.keep_accepted(frame, language.learn(frame)).count() <= 2
+    assert simhash.near_duplicates(frame).count() == 2 and substring.remove_repeats(frame).count() == 2 and pseudonyms.pseudonymise(frame, "key").count() == 2
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_with_separator_controls(name):
     tool = encoder(tokenizer_path(name), "<u4")
@@ -198,7 +214,7 @@ def test_token_files(docs, empty):
     got = token_files.encode_and_read_back(docs).collect()
     tool = encoder(tokenizer_path(token_files.TOKENIZER), "<u4")
     expected, start = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+    for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, crc32((r.text or "").encode()), r.text or "")):
         ids = tool.encode([r.text or ""])[0] + np.array([1], "<u4").tobytes()
         expected.append((r.doc_id, start, len(ids) // 4, crc32(ids)))
         start += len(ids) // 4
