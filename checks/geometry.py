@@ -10,10 +10,12 @@ from tessella.sources import tables as st
 
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 VERT = "vert AS (SELECT l_orderkey AS cell_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS vertex_ix, l_quantity AS x, sqrt(l_extendedprice) AS y FROM lineitem)"
-EDGE = f"{VERT}, edge AS (SELECT cell_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM vert WINDOW w AS (PARTITION BY cell_id ORDER BY vertex_ix))"
-POLY = f"""{EDGE}, agg AS (SELECT cell_id, count(*) AS vertices, sum(x1 * y2 - x2 * y1) AS a, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS p, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS cy, avg(x1) AS mx, avg(y1) AS my FROM edge GROUP BY 1),
+#: Edges relative to the first vertex of their ring, so that small polygons far from the origin keep their digits.
+EDGE = f"""{VERT}, rel AS (SELECT cell_id, vertex_ix, x - first_value(x) OVER w AS x, y - first_value(y) OVER w AS y, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM vert WINDOW w AS (PARTITION BY cell_id ORDER BY vertex_ix)),
+edge AS (SELECT cell_id, fx, fy, x AS x1, y AS y1, coalesce(lead(x) OVER w, 0) AS x2, coalesce(lead(y) OVER w, 0) AS y2 FROM rel WINDOW w AS (PARTITION BY cell_id ORDER BY vertex_ix))"""
+POLY = f"""{EDGE}, agg AS (SELECT cell_id, count(*) AS vertices, sum(x1 * y2 - x2 * y1) AS a, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS p, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS cy, avg(x1) AS mx, avg(y1) AS my, min(fx) AS fx, min(fy) AS fy FROM edge GROUP BY 1),
 poly AS (SELECT cell_id, vertices, CASE WHEN vertices >= 3 THEN abs(a) / 2 END AS area, CASE WHEN vertices >= 3 THEN p END AS perimeter, CASE WHEN vertices >= 3 AND p > 0 THEN 4 * pi() * (abs(a) / 2) / (p * p) END AS compactness,
-CASE WHEN abs(a) / 2 <= 1e-12 THEN mx ELSE cx / (3 * a) END AS centroid_x, CASE WHEN abs(a) / 2 <= 1e-12 THEN my ELSE cy / (3 * a) END AS centroid_y FROM agg)"""
+fx + CASE WHEN abs(a) / 2 <= 1e-12 THEN mx ELSE cx / (3 * a) END AS centroid_x, fy + CASE WHEN abs(a) / 2 <= 1e-12 THEN my ELSE cy / (3 * a) END AS centroid_y FROM agg)"""
 
 
 def polygons(spark, folder):
@@ -35,10 +37,9 @@ def polygon_metrics(spark, folder):
     return rounded(metrics(spark, folder), "area", "perimeter", "compactness").drop("centroid_x", "centroid_y")
 
 
-@register("polygon_centroid", f"WITH {POLY} SELECT cell_id, round(centroid_x, 4) AS centroid_x, round(centroid_y, 4) AS centroid_y FROM poly WHERE area > 1 OR area IS NULL")
+@register("polygon_centroid", f"WITH {POLY} SELECT cell_id, round(centroid_x, 4) AS centroid_x, round(centroid_y, 4) AS centroid_y FROM poly")
 def polygon_centroid(spark, folder):
-    found = metrics(spark, folder).where("area > 1 OR area IS NULL")
-    return found.select("cell_id", F.round("centroid_x", 4).alias("centroid_x"), F.round("centroid_y", 4).alias("centroid_y"))
+    return metrics(spark, folder).select("cell_id", F.round("centroid_x", 4).alias("centroid_x"), F.round("centroid_y", 4).alias("centroid_y"))
 
 
 def annotation_documents(spark, folder):

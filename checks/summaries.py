@@ -140,16 +140,14 @@ def segmentation(spark, folder):
     return rounded(found, *[c for c in found.columns if c not in ("o_orderpriority", "cells", "median_vertices")])
 
 
-@register("segmentation_by_sample", f"""WITH {POLY}, j AS (SELECT c_nationkey AS sample, area, abs(area - o_totalprice / 100) / greatest(o_totalprice / 100, 1) AS ae, CASE WHEN area IS NOT NULL THEN sqrt(pow(centroid_x - 25, 2) + pow(centroid_y - 200, 2)) END AS ce FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN poly ON cell_id = o_orderkey WHERE area IS NULL OR area > 1)
+@register("segmentation_by_sample", f"""WITH {POLY}, j AS (SELECT c_nationkey AS sample, area, abs(area - o_totalprice / 100) / greatest(o_totalprice / 100, 1) AS ae, CASE WHEN area IS NOT NULL THEN sqrt(pow(centroid_x - 25, 2) + pow(centroid_y - 200, 2)) END AS ce FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN poly ON cell_id = o_orderkey)
 SELECT sample, count(*) AS cells, round(avg(CAST(area IS NOT NULL AS INT)), 6) AS matched_fraction, round(avg(CAST(ae <= 0.1 AS INT)), 6) AS area_within_10pct, round(avg(CAST(ce <= 2 AS INT)), 6) AS centroid_within_2px,
 round(quantile_cont(ae, 0.5), 6) AS median_area_error, round(quantile_cont(ae, 0.95), 6) AS q95_area_error, round(quantile_cont(ce, 0.5), 5) AS median_centroid_error, round(quantile_cont(ce, 0.95), 4) AS q95_centroid_error FROM j GROUP BY 1""")
 def segmentation_by_sample(spark, folder):
-    polys = metrics(spark, folder)
-    thin = polys.where("area <= 1").select("cell_id")
     cells = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey")).selectExpr(
         "o_orderkey AS cell_id", "c_nationkey AS sample", "o_totalprice / 100 AS stated", "25D AS cx", "200D AS cy"
-    ).join(thin, "cell_id", "left_anti")
-    found = su.segmentation_by_sample(cells, polys, ["cell_id"], "stated", "cx", "cy")
+    )
+    found = su.segmentation_by_sample(cells, metrics(spark, folder), ["cell_id"], "stated", "cx", "cy")
     found = rounded(found, "matched_fraction", "area_within_10pct", "centroid_within_2px", "median_area_error", "q95_area_error")
     return found.withColumns({"median_centroid_error": F.round("median_centroid_error", 5), "q95_centroid_error": F.round("q95_centroid_error", 4)})
 

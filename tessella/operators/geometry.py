@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import uniform
 from tessella.operators.neighbours import nearest_distance
 from tessella.operators.order import summarise
-from tessella.session import attach, materialised
+from tessella.session import attach, cut_lineage
 
 RUN = 4096
+#: Cells that a polygon's edges take, for each edge.
+PLACED = 8
 
 
 def ring_edges(vertices: DataFrame, ring: Sequence[str], x: str = "x", y: str = "y", ix: str = "vertex_ix") -> DataFrame:
@@ -41,33 +43,81 @@ def ring_edges(vertices: DataFrame, ring: Sequence[str], x: str = "x", y: str =
 def polygon_metrics(vertices: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", ix: str = "vertex_ix") -> DataFrame:
     """Vertices, area, perimeter, compactness and centroid per polygon; NULL below three vertices.
 
-    Sums are taken relative to the first vertex of each ring: in absolute coordinates they cancel for
-    small polygons far from the origin.
+    Moments are mergeable. Each run of vertices is summed relative to its own first vertex (in absolute
+    coordinates sums cancel for small polygons far from the origin); a run's sums are moved to the first
+    vertex of the ring by its offset d and its last vertex l alone, since sums of differences telescope.
+    Vertices are shuffled once, by run; what follows is one row for each run.
     """
-    spot = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    firsts = vertices.groupBy(*keys).agg(F.min_by(spot, F.col(ix)).alias("__first"))
-    shifted = attach(vertices.select(*keys, F.col(ix).alias("vertex_ix"), spot.alias("__spot")), firsts, list(keys)).select(
-        *keys, "vertex_ix", (F.col("__spot.x") - F.col("__first.x")).alias("x"), (F.col("__spot.y") - F.col("__first.y")).alias("y"),
+    keys = list(keys)
+    run = Window.partitionBy(*keys, "__run").orderBy("__ix")
+    placed = vertices.select(*keys, F.col(ix).alias("__ix"), F.floor(F.col(ix) / RUN).alias("__run"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    placed = placed.select(*keys, "__run", "x", "y", *[F.first(c).over(run).alias("f" + c) for c in "xy"], *[F.lead(c).over(run).alias("n" + c) for c in "xy"])
+    local = placed.select(*keys, "__run", "fx", "fy", (F.col("nx").isNull()).alias("last"), *[(F.col(c) - F.col("f" + c[-1])).alias(c[0] + "1" if len(c) == 1 else c[1] + "2") for c in ("x", "y", "nx", "ny")])
+    runs = local.groupBy(*keys, "__run").agg(
+        F.count(F.lit(1)).alias("n"), F.first("fx").alias("fx"), F.first("fy").alias("fy"),
+        F.max(F.when(F.col("last"), F.col("x1"))).alias("lx"), F.max(F.when(F.col("last"), F.col("y1"))).alias("ly"),
+        F.sum("x1").alias("sx"), F.sum("y1").alias("sy"),
+        *[F.coalesce(F.expr(f"sum({e})"), F.lit(0.0)).alias(c) for c, e in (
+            ("a", "x1 * y2 - x2 * y1"), ("p", "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"),
+            ("cx", "(x1 + x2) * (x1 * y2 - x2 * y1)"), ("cy", "(y1 + y2) * (x1 * y2 - x2 * y1)"))],
+    )
+    order = Window.partitionBy(*keys).orderBy("__run")
+    runs = runs.select("*", *[F.first("f" + c).over(order).alias("o" + c) for c in "xy"], *[F.lead("f" + c).over(order).alias("g" + c) for c in "xy"])
+    # d: from the ring's first vertex to the run's; the edge to the next run (or back to the first vertex) goes from x1 to x2.
+    runs = runs.selectExpr("*", "fx - ox AS dx", "fy - oy AS dy", "fx - ox + lx AS x1", "fy - oy + ly AS y1", "coalesce(gx - ox, 0D) AS x2", "coalesce(gy - oy, 0D) AS y2")
+    cross, link = "(dx * ly - dy * lx)", "(x1 * y2 - x2 * y1)"
+    sums = runs.groupBy(*keys).agg(
+        F.sum("n").alias("vertices"), F.first("ox").alias("ox"), F.first("oy").alias("oy"), *[F.expr(f"sum({e})").alias(c) for c, e in (
+            ("a", f"a + {cross} + {link}"), ("p", "p + sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"),
+            ("cx", f"cx + 2 * dx * a + dx * (a + lx * ly) - dy * lx * lx + 2 * dx * {cross} + (x1 + x2) * {link}"),
+            ("cy", f"cy + 2 * dy * a + dx * ly * ly - dy * (lx * ly - a) + 2 * dy * {cross} + (y1 + y2) * {link}"),
+            ("sx", "sx + n * dx"), ("sy", "sy + n * dy"))],
     )
-    edges = ring_edges(shifted, keys)
-    sums = attach(edges.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("vertices"),
-        F.expr("sum(x1 * y2 - x2 * y1)").alias("__a"),
-        F.expr("sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))").alias("__p"),
-        F.expr("sum((x1 + x2) * (x1 * y2 - x2 * y1))").alias("__cx"),
-        F.expr("sum((y1 + y2) * (x1 * y2 - x2 * y1))").alias("__cy"),
-        F.avg("x1").alias("__mx"), F.avg("y1").alias("__my"),
-    ), firsts, list(keys))
-    enough = F.col("vertices") >= 3
-    flat = F.abs(F.col("__a")) / 2 <= 1e-12
+    enough, area = F.col("vertices") >= 3, F.abs(F.col("a")) / 2
+    flat = area <= 1e-12
     return sums.select(
-        *keys, "vertices",
-        F.when(enough, F.abs(F.col("__a")) / 2).alias("area"),
-        F.when(enough, F.col("__p")).alias("perimeter"),
-        F.when(enough & (F.col("__p") > 0), 4 * math.pi * (F.abs(F.col("__a")) / 2) / (F.col("__p") * F.col("__p"))).alias("compactness"),
-        (F.col("__first.x") + F.when(flat, F.col("__mx")).otherwise(F.col("__cx") / (3 * F.col("__a")))).alias("centroid_x"),
-        (F.col("__first.y") + F.when(flat, F.col("__my")).otherwise(F.col("__cy") / (3 * F.col("__a")))).alias("centroid_y"),
+        *keys, "vertices", F.when(enough, area).alias("area"), F.when(enough, F.col("p")).alias("perimeter"),
+        F.when(enough & (F.col("p") > 0), 4 * math.pi * area / (F.col("p") * F.col("p"))).alias("compactness"),
+        *[(F.col("o" + c) + F.when(flat, F.col("s" + c) / F.col("vertices")).otherwise(F.col("c" + c) / (3 * F.col("a")))).alias("centroid_" + c) for c in "xy"],
+    )
+
+
+def polygon_cover(vertices: DataFrame, group: Sequence[str], ring: Sequence[str]) -> DataFrame:
+    """Cells that tell for each point which groups of rings hold it: group, ``level``, ``bx``, ``by`` and an edge or none.
+
+    Each group has its own cell size, a power of two, so that its edges take ``PLACED`` cells an edge at most,
+    and so do the cells of its box. A cell holds the edges whose box meets it, and, if it is odd, one row
+    without an edge. Edges to the right of the cell's column need no row: their ends cancel in pairs, but for
+    the right ends of edges that cross the column's right side. Ends above the cell are the cell's parity; an end
+    at the cell's own height is ``turn`` of its edge. So a cell inside a polygon is one row, whatever lies
+    beside it.
+    """
+    group, ring = list(group), list(ring)
+    edges = cut_lineage(ring_edges(vertices, ring).select(*group, "x1", "y1", "x2", "y2"))
+    wide, high = "abs(x2 - x1)", "abs(y2 - y1)"
+    sums = edges.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"sum({wide} + {high})").alias("b"), F.expr(f"sum({wide} * {high})").alias("a"),
+        *[F.expr(f"{f}({g}({c}1, {c}2))").alias(f + c) for c in "xy" for f, g in (("min", "least"), ("max", "greatest"))],
     )
+    # The least size with a / size^2 + b / size <= k, for the edges (k = PLACED - 1 an edge) and for the box.
+    def least(a: str, b: str, k: str) -> str:
+        return f"(({b}) + sqrt(({b}) * ({b}) + 4 * ({k}) * ({a}))) / (2 * ({k}))"
+
+    box = least("(maxx - minx) * (maxy - miny)", "maxx - minx + maxy - miny", f"{PLACED} * n - 1")
+    far = "greatest(abs(minx), abs(maxx), abs(miny), abs(maxy)) / pow(2D, 50)"
+    size = f"greatest({least('a', 'b', f'{PLACED - 1} * n')}, {box}, {far})"
+    sizes = sums.select(*group, F.expr(f"CASE WHEN {size} > 0 THEN CAST(ceil(log2({size})) AS INT) ELSE 0 END").alias("level"))
+    cells = attach(edges, sizes, group).selectExpr("*", *[f"CAST(floor({c} / pow(2D, level)) AS BIGINT) AS c{c}" for c in ("x1", "x2", "y1", "y2")])
+    right = "CASE WHEN cx1 > bx THEN {0}1 ELSE {0}2 END"
+    columns = cells.selectExpr("*", "explode(sequence(least(cx1, cx2), greatest(cx1, cx2))) AS bx").selectExpr(
+        "*", "bx < greatest(cx1, cx2) AS over", f"{right.format('y')} AS turn", f"{right.format('cy')} AS strip")
+    own = columns.selectExpr("*", "explode(sequence(least(cy1, cy2), greatest(cy1, cy2))) AS by").selectExpr(
+        *group, "level", "bx", "by", "x1", "y1", "x2", "y2", "CASE WHEN over AND strip = by THEN turn END AS turn")
+    ends = columns.where("over").groupBy(*group, "level", "bx", "strip").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    down = Window.partitionBy(*group, "level", "bx").orderBy(F.col("strip").desc())
+    odd = ends.select(*group, "level", "bx", "strip", F.row_number().over(down).alias("k"), F.lead("strip").over(down).alias("below")).where("k % 2 = 1")
+    inside = odd.selectExpr(*group, "level", "bx", "explode(sequence(below, strip - 1)) AS by").selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS {c}" for c in ("x1", "y1", "x2", "y2", "turn")])
+    return own.unionByName(inside)
 
 
 def polygon_hits(
@@ -76,36 +126,21 @@ def polygon_hits(
 ) -> DataFrame:
     """(point id, group) for every group of rings that holds the point; boundaries count as inside.
 
-    Edges are placed in the grid cells where they can matter for a ray to the right, so a point
-    only meets edges of its own strip whose polygon's box spans its column.
+    A point meets one cell of each size in use.
     """
-    group, ring, point_id = list(group), list(ring), list(point_id)
-    vertices = materialised(vertices)
-    boxes = vertices.groupBy(*group).agg(F.min("x").alias("__x0"), F.max("x").alias("__x1"), F.min("y").alias("__y0"), F.max("y").alias("__y1"))
-    shape = boxes.agg(
-        F.avg(F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"))).alias("side"),
-        F.max("__x1").alias("x1"), F.min("__x0").alias("x0"), F.max("__y1").alias("y1"), F.min("__y0").alias("y0"),
-    ).first()
-    if shape["side"] is None:
-        return points.select(*point_id).limit(0).join(boxes.select(*group).limit(0), F.lit(True))
-    span = max(shape["x1"] - shape["x0"], shape["y1"] - shape["y0"])
-    size = max(shape["side"] / 8, span / 512) or 1.0
-
-    def cell(expr: str) -> str:
-        return f"CAST(floor({expr} / {size!r}D) AS BIGINT)"
-
-    edges = attach(ring_edges(vertices, ring), boxes.select(*group, "__x0"), group)
-    edges = edges.selectExpr("*", f"explode(sequence({cell('least(y1, y2)')}, {cell('greatest(y1, y2)')})) AS __by")
-    edges = edges.selectExpr("*", f"explode(sequence({cell('__x0')}, {cell('greatest(x1, x2)')})) AS __bx")
-    placed = points.selectExpr(*point_id, f"CAST({px} AS DOUBLE) AS __px", f"CAST({py} AS DOUBLE) AS __py").selectExpr(
-        "*", f"{cell('__px')} AS __bx", f"{cell('__py')} AS __by"
-    )
+    group, point_id = list(group), list(point_id)
+    cover = cut_lineage(polygon_cover(vertices, group, ring))
+    levels = sorted(r["level"] for r in cover.select("level").distinct().collect())  # powers of two in use
+    at = points.selectExpr(*point_id, f"CAST({px} AS DOUBLE) AS __px", f"CAST({py} AS DOUBLE) AS __py")
+    at = at.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).selectExpr(
+        "*", "CAST(floor(__px / pow(2D, level)) AS BIGINT) AS bx", "CAST(floor(__py / pow(2D, level)) AS BIGINT) AS by")
     crosses = "((y1 > __py) <> (y2 > __py) AND __px < (x2 - x1) * (__py - y1) / (y2 - y1) + x1)"
     on_edge = (
         "((x2 - x1) * (__py - y1) = (y2 - y1) * (__px - x1) AND __px BETWEEN least(x1, x2) AND greatest(x1, x2)"
         " AND __py BETWEEN least(y1, y2) AND greatest(y1, y2))"
     )
-    met = placed.join(edges, ["__bx", "__by"]).selectExpr(*point_id, *group, f"{crosses} AS c", f"{on_edge} AS e").where("c OR e")
+    odd = f"CASE WHEN x1 IS NULL THEN TRUE ELSE {crosses} <> coalesce(turn > __py, FALSE) END"
+    met = at.join(cover, ["level", "bx", "by"]).selectExpr(*point_id, *group, f"{odd} AS c", f"coalesce({on_edge}, FALSE) AS e").where("c OR e")
     return met.groupBy(*point_id, *group).agg(F.count_if("c").alias("n"), F.bool_or("e").alias("e")).where("e OR n % 2 = 1").drop("n", "e")
 
 

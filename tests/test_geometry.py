@@ -83,6 +83,75 @@ def test_geojson_and_point_in_polygon(spark, tmp_path):
         st.read_geojson(spark, str(tmp_path / "b.geojson"))
 
 
+def holds(rings, x, y):
+    """Even-odd rule over all edges of all rings, boundaries inside."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def vertex_rows(shapes):
+    return [(f, "A", 0, r, i, float(x), float(y)) for f, rings in shapes.items() for r, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
+
+
+VERTEX = "feature_ix int, name string, polygon_ix int, ring_ix int, vertex_ix int, x double, y double"
+
+
+def test_cover_equals_brute_force(spark):
+    """Rings that cross themselves, share vertices with points, hold holes, are flat, tiny, far away or cross other rings."""
+    rng = np.random.default_rng(4)
+    shapes = {k: [[tuple(v) for v in rng.integers(-12, 13, (int(n), 2)).tolist()]] for k, n in enumerate(rng.integers(1, 14, 40))}
+    shapes |= {50 + k: [[tuple(v) for v in (rng.normal(0, s, (n, 2)) + c).tolist()] for n in (9, 5)] for k, (s, c) in enumerate([(8, 0), (1e-4, 3), (1e4, 0), (2, 1e7)])}
+    shapes[60] = [[(-10, -10), (10, -10), (10, 10), (-10, 10)], [(-5, -5), (5, -5), (5, 5), (-5, 5)]]
+    spots = [(float(x), float(y)) for x, y in rng.integers(-14, 15, (500, 2))] + [tuple(v) for v in rng.normal(0, 6, (500, 2)).tolist()]
+    spots += [tuple(v) for v in (rng.normal(0, 1e-4, (60, 2)) + 3).tolist()] + [tuple(v) for v in (rng.normal(0, 2, (60, 2)) + 1e7).tolist()]
+    points = spark.createDataFrame([(i, *xy) for i, xy in enumerate(spots)], "id int, x double, y double")
+    got = ge.polygon_hits(points, spark.createDataFrame(vertex_rows(shapes), VERTEX), ["id"], ["feature_ix"], ["feature_ix", "ring_ix"])
+    want = {(i, f) for f, rings in shapes.items() for i, (x, y) in enumerate(spots) if holds(rings, x, y)}
+    assert {(r["id"], r["feature_ix"]) for r in got.collect()} == want and len(want) > 5000
+
+
+def test_cover_is_bounded_by_edges(spark):
+    """A ring with very many edges and a comb among small squares: cells follow edges, not sizes."""
+    ring = spark.range(100_000).selectExpr("0 AS feature_ix", "CAST(id AS INT) AS vertex_ix", "1e4 * cos(id * pi() / 5e4) AS x", "1e4 * sin(id * pi() / 5e4) AS y")
+    comb = spark.range(2000).selectExpr("1 AS feature_ix", "CAST(id AS INT) AS vertex_ix", "CAST(id DIV 2 AS DOUBLE) AS x", "IF((id + 1) DIV 2 % 2 = 0, 0D, 9000D) AS y")
+    squares = spark.range(4000).selectExpr("CAST(2 + id DIV 4 AS INT) AS feature_ix", "CAST(id % 4 AS INT) AS vertex_ix",
+                                           "CAST(id DIV 4 AS DOUBLE) * 7 + IF(id % 4 IN (1, 2), 3, 0) AS x", "CAST(id DIV 4 AS DOUBLE) + IF(id % 4 > 1, 3, 0) AS y")
+    cover = ge.polygon_cover(ring.unionByName(comb).unionByName(squares), ["feature_ix"], ["feature_ix"])
+    counts = {r["feature_ix"]: r["n"] for r in cover.groupBy("feature_ix").count().withColumnRenamed("count", "n").collect()}
+    assert counts[0] <= 2 * ge.PLACED * 100_000 and counts[1] <= 2 * ge.PLACED * 2000 and max(counts[k] for k in range(2, 1002)) <= 2 * ge.PLACED * 4
+    spots = spark.createDataFrame([(0, 0.0, 0.0), (1, 9000.0, 5000.0), (2, 7001.0, 1001.0), (3, 10.5, 9000.5), (4, 9998.0, 0.5), (5, 1e4, 1e4)], "id int, x double, y double")
+    got = {(r["id"], r["feature_ix"]) for r in ge.polygon_hits(spots, ring.unionByName(squares), ["id"], ["feature_ix"], ["feature_ix"]).collect()}
+    assert {h for h in got if h[1] == 0} == {(0, 0), (2, 0), (3, 0), (4, 0)} and (2, 1002) not in got and (0, 2) in got
+
+
+@pytest.mark.parametrize("run", [4096, 3, 1])
+def test_moments_of_runs_merge(spark, monkeypatch, run):
+    """Rings cut into runs give the moments of whole rings, also far from the origin."""
+    monkeypatch.setattr(ge, "RUN", run)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k, (n, far) in enumerate([(3, 0), (4, 1e6), (10, 50), (25, -1e7), (1, 5), (2, 5), (7, 0)]):
+        xy = rng.integers(0, 40, (n, 2)) / 4 + far
+        rows += [(k, i, *map(float, v)) for i, v in enumerate(xy)]
+        ring = [(Fraction(x), Fraction(y)) for x, y in xy.tolist()]
+        edges = list(zip(ring, ring[1:] + ring[:1], strict=True))
+        a = sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in edges)
+        centre = [sum((p[c] + q[c]) * (p[0] * q[1] - q[0] * p[1]) for p, q in edges) / (3 * a) if a else sum(p[c] for p in ring) / n for c in (0, 1)]
+        want[k] = (n, float(abs(a) / 2) if n > 2 else None, *map(float, centre))
+    got = ge.polygon_metrics(spark.createDataFrame(rows, "k int, vertex_ix int, x double, y double"), ["k"]).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, area, x, y = want[r["k"]]
+        assert r["vertices"] == n and (r["area"] is None if area is None else abs(r["area"] - area) <= 1e-9 * max(1, area))
+        assert abs(r["centroid_x"] - x) < 1e-6 and abs(r["centroid_y"] - y) < 1e-6
+
+
 def test_alignment_literal(spark):
     ring = spark.createDataFrame([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)], "x double, y double")
     cells = spark.createDataFrame([(0.0, 0.0), (100.0, 100.0)], "x double, y double")
