@@ -11,7 +11,9 @@ from tessella.session import attach
 
 V = "CAST(least(greatest(floor((e + 0.6) / 1.2 * 255), 0), 255) AS INT)"
 PIX = f"""pix AS (SELECT "row", col, label, e, {V} AS v FROM (SELECT CAST(vec_id AS INT) AS "row", label, unnest(range(64))::INT AS col, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings))"""
-RGB = f"""{PIX}, rgb AS (SELECT label AS image, "row", CAST(col // 3 AS INT) AS col, max(CASE WHEN col % 3 = 0 THEN v END) AS r, max(CASE WHEN col % 3 = 1 THEN v END) AS g, max(CASE WHEN col % 3 = 2 THEN v END) AS b FROM pix WHERE col < 63 GROUP BY ALL)"""
+#: The last position fills all channels of its pixel.
+RGB = f"""{PIX}, pos AS (SELECT "row", col, label, v FROM pix UNION ALL SELECT "row", CAST(col + k AS INT), label, v FROM pix, (VALUES (1), (2)) AS f(k) WHERE col = 63),
+rgb AS (SELECT label AS image, "row", CAST(col // 3 AS INT) AS col, max(CASE WHEN col % 3 = 0 THEN v END) AS r, max(CASE WHEN col % 3 = 1 THEN v END) AS g, max(CASE WHEN col % 3 = 2 THEN v END) AS b FROM pos GROUP BY ALL)"""
 PTS = """pts AS (SELECT event_id AS cell_id, CAST(user_id % 64 AS INT) AS col, CAST(event_id % (SELECT count(*) FROM embeddings) AS INT) AS "row", value, event_type FROM events)"""
 
 
@@ -20,14 +22,11 @@ def pixels(spark, folder):
     return wide.select("row", "col", "label", F.col("e").cast("double").alias("e")).withColumn("v", F.expr(V))
 
 
-def rgb(spark, folder, whole=False):
-    """Three positions a pixel. ``whole`` keeps the last position too; it fills all channels of its pixel."""
+def rgb(spark, folder):
+    """Three positions a pixel; the last position fills all channels of its pixel."""
     part = "col % 3 = {}"
     rows = pixels(spark, folder)
-    if whole:
-        rows = rows.unionByName(rows.where("col = 63").withColumn("col", F.explode(F.array(F.lit(64), F.lit(65)))))
-    else:
-        rows = rows.where("col < 63")
+    rows = rows.unionByName(rows.where("col = 63").withColumn("col", F.explode(F.array(F.lit(64), F.lit(65)))))
     return rows.groupBy(F.col("label").alias("image"), "row", F.floor(F.col("col") / 3).cast("int").alias("col")).agg(
         *[F.max(F.when(F.expr(part.format(i)), F.col("v"))).alias(n) for i, n in enumerate("rgb")]
     )
@@ -132,35 +131,35 @@ PERF = f"""{RGB}, gm AS (SELECT image, "row" AS mr, col AS mc FROM rgb WHERE g >
 al AS (SELECT * FROM (VALUES (0.0::DOUBLE), (0.1), (0.3)) AS t(alpha)), cb AS (SELECT *, greatest(b - alpha * r, 0) AS c FROM gd, al), qs AS (SELECT image, alpha, quantile_cont(c, 0.99) AS q FROM cb GROUP BY ALL),
 pf AS (SELECT cb.*, least(greatest(c / q, 0), 1) AS perfusion FROM cb JOIN qs USING (image, alpha)),
 mn AS (SELECT image, alpha, avg(perfusion) FILTER (WHERE d < 10) AS near_mean, avg(perfusion) FILTER (WHERE d >= 50 AND d < 100) AS far_mean FROM pf GROUP BY ALL),
-rk AS (SELECT image, alpha, {avg_rank('d', 'image, alpha')} AS rd, {avg_rank('perfusion', 'image, alpha')} AS rp FROM pf WHERE d IS NOT NULL AND ("row" * 21 + col) % 3 = 0),
+rk AS (SELECT image, alpha, {avg_rank('d', 'image, alpha')} AS rd, {avg_rank('perfusion', 'image, alpha')} AS rp FROM pf WHERE d IS NOT NULL AND ("row" * 22 + col) % 3 = 0),
 rho AS (SELECT image, alpha, count(*) AS pairs, CASE WHEN stddev_pop(rd) > 0 AND stddev_pop(rp) > 0 THEN corr(rd, rp) END AS rho FROM rk GROUP BY ALL)"""
 ALPHAS = (0.0, 0.1, 0.3)
 
 
-def perfusion(spark, folder):
+def perfusion(spark, folder, alphas=ALPHAS):
     p = rgb(spark, folder)
     measured = px.mask_distance(p, p.where("g > 190"), 6.0, ["image"], "d")
-    return px.perfusion_signal(measured, ALPHAS, ["image"])
+    return px.perfusion_signal(measured, alphas, ["image"])
 
 
 @register("perfusion_profile", f"""WITH {PERF}, f AS (SELECT image, {BAND} AS band, count(*) AS pixels, avg(perfusion) AS a, quantile_cont(perfusion, 0.5) AS m, quantile_cont(perfusion, 0.9) AS q FROM pf WHERE alpha = 0.1 AND greatest(r, g, b) > 0 GROUP BY ALL)
 SELECT l.image, b.band, distance_band_um, coalesce(pixels, 0) AS pixels, round(a, 6) AS perfusion_mean, round(m, 6) AS perfusion_median, round(q, 6) AS perfusion_q90 FROM (SELECT DISTINCT image FROM rgb) l CROSS JOIN {NAMES} LEFT JOIN f ON f.image = l.image AND f.band = b.band""")
 def perfusion_profile(spark, folder):
-    one = perfusion(spark, folder).where("alpha = 0.1")
+    one = perfusion(spark, folder, (0.1,))
     found = px.distance_band_summary(one, "d", ["perfusion"], ["image"], F.col("tissue"), means=True)
     return rounded(found, "perfusion_mean", "perfusion_median", "perfusion_q90")
 
 
 @register("near_far_ratio", f"""WITH {PERF} SELECT image, alpha, round(near_mean, 6) AS near_mean, round(far_mean, 6) AS far_mean, round(near_mean / nullif(far_mean, 0), 6) AS near_to_far, CAST(pairs AS BIGINT) AS pairs, round(rho, 6) AS distance_spearman FROM mn LEFT JOIN rho USING (image, alpha)""")
 def near_far(spark, folder):
-    found = px.near_far_ratio(perfusion(spark, folder), "d", "perfusion", 21, ["image", "alpha"], 3)
+    found = px.near_far_ratio(perfusion(spark, folder), "d", "perfusion", 22, ["image", "alpha"], 3)
     return rounded(found, "near_mean", "far_mean", "near_to_far", "distance_spearman")
 
 
 @register("perfusion_robustness", f"""WITH {PERF}, j AS (SELECT image, rho, near_mean / nullif(far_mean, 0) AS ratio FROM mn LEFT JOIN rho USING (image, alpha))
 SELECT image, count(*) AS settings, bool_and(coalesce(rho < 0, false)) AS all_negative, bool_and(coalesce(ratio > 1, false)) AS all_near_enriched, round(min(rho), 6) AS min_rho, round(max(rho), 6) AS max_rho, round(min(ratio), 6) AS min_ratio, round(max(ratio), 6) AS max_ratio FROM j GROUP BY 1""")
 def robustness(spark, folder):
-    settings = px.near_far_ratio(perfusion(spark, folder), "d", "perfusion", 21, ["image", "alpha"], 3)
+    settings = px.near_far_ratio(perfusion(spark, folder), "d", "perfusion", 22, ["image", "alpha"], 3)
     return rounded(px.perfusion_robustness(settings, ["image"]), "min_rho", "max_rho", "min_ratio", "max_ratio")
 
 
@@ -224,7 +223,7 @@ def background(spark, folder):
 
 @register("tissue_mask_colour")
 def tissue_mask(spark, folder):
-    return px.tissue_mask_colour(rgb(spark, folder, whole=True), ["image"])
+    return px.tissue_mask_colour(rgb(spark, folder), ["image"])
 
 
 @register("intensity_features", f"""WITH {PIX}, q AS (SELECT label, quantile_cont(v, 0.99) AS q FROM pix GROUP BY 1), s AS (SELECT label, least(greatest(v / greatest(q, 1), 0), 1) AS s FROM pix JOIN q USING (label)), {otsu('o', 's', 's', 'label')}

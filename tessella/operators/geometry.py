@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import uniform
-from tessella.operators.neighbours import nearest_distance
+from tessella.operators.distance import grid_nearest
 from tessella.operators.order import summarise
 from tessella.session import attach, cut_lineage
 
@@ -258,8 +258,7 @@ def rasterise_cells(cells: DataFrame, size: int, by: Sequence[str] = (), signals
 
 def grid_distance(grid: DataFrame, mask: str, pixel_size: float = 1.0, by: Sequence[str] = (), out: str = "distance") -> DataFrame:
     """Distance of every grid position to the nearest masked one, in physical units."""
-    found = nearest_distance(grid, grid.where(F.col(mask)), by, "col", "row", out)
-    return found.withColumn(out, F.col(out) * pixel_size)
+    return grid_nearest(grid, grid.where(F.col(mask)), by, out=out, unit=pixel_size)
 
 
 def lookup_grid(cells: DataFrame, grid: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

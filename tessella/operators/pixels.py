@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import clip
 from tessella.operators.components import component_sizes, keep_large, pixel_components
-from tessella.operators.neighbours import nearest_distance
+from tessella.operators.distance import grid_nearest
 from tessella.operators.order import spearman, summarise
 from tessella.operators.scaling import otsu_threshold
 from tessella.session import attach, cut_lineage, materialised
@@ -179,7 +179,7 @@ def structural_mask(pixels: DataFrame, candidate: Column, pixel_um: float, minim
 
 def mask_distance(pixels: DataFrame, mask: DataFrame, pixel_um: float = 1.0, by: Sequence[str] = (), out: str = "distance") -> DataFrame:
     """Distance of every pixel to the nearest mask pixel; NULL where the image has none."""
-    return nearest_distance(pixels, mask, by, "col", "row", out).withColumn(out, F.col(out) * pixel_um)
+    return grid_nearest(pixels, mask, by, out=out, unit=pixel_um)
 
 
 def band_of(distance: Column, bands: Sequence[tuple[float, float | None]] = BANDS) -> Column:
@@ -381,7 +381,7 @@ def panel_distance_features(pixels: DataFrame, by: Sequence[str] = ()) -> DataFr
     })
     red = (F.col("r") >= F.greatest(F.lit(5.0), F.col("__rq"))) & (F.col("r") > 1.1 * F.col("g")) & (F.col("r") > 1.1 * F.col("b"))
     marked = materialised(attach(pixels, limits, by).select(*by, "row", "col", red.alias("vessel"), (clip(F.col("g") / F.col("__gq"), 0.0, 1.0) > 0.2).alias("positive")))
-    measured = nearest_distance(marked, marked.where("vessel"), by, "col", "row", "__d")
+    measured = grid_nearest(marked, marked.where("vessel"), by, out="__d")
     share = F.when(F.col("positive"), F.col("__d") / F.sqrt(F.col("height") * F.col("height") + F.col("width") * F.col("width")))
     placed = attach(measured, _image_size(pixels, by), by).withColumn("__share", share)
     return summarise(placed, by, [
