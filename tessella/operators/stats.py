@@ -180,13 +180,73 @@ def group_direction(units: DataFrame, value: str, group: str, by: Sequence[str]
     return means.withColumn("direction_matches", higher)
 
 
+def _shuffled_medians(rows: DataFrame, row_id: str, by: Sequence[str], permutations: int, seed: int) -> DataFrame:
+    """Medians ``__a`` and ``__b`` of ``__v`` among the ``__k`` rows with the smallest hashes and among the others, for each shuffle.
+
+    Rows meet their shuffles in passing and only counts leave a task: hashes and values are counted in
+    sqrt(n) buckets, and only the bucket that holds the wanted order statistic is looked at row by row in a
+    second pass. What the passes hand on is one array of ``permutations`` entries a group, so no table
+    of rows times shuffles is written or shuffled.
+    """
+    by, perm = list(by), [*by, "__p"]
+    places = value_positions(rows, by, "__v").select(*by, F.col("value").alias("__v"), F.col("before").alias("__before"))
+    buckets = F.ceil(F.sqrt("n")).cast("long")
+    ready = attach(rows, places, [*by, "__v"]).withColumn("__buckets", buckets)
+    ready = cut_lineage(ready.withColumn("__vb", F.floor(F.col("__before") * F.col("__buckets") / F.col("n"))).drop("__before"))
+
+    def shuffles(settings: DataFrame | None) -> DataFrame:
+        """Rows with each shuffle, its settings and the row's hash ``__u``."""
+        if settings is None:
+            every = ready.withColumn("__p", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+        else:
+            fields = [c for c in settings.columns if c not in by]
+            packed = settings.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("__settings"))  # one entry for each shuffle
+            every = attach(ready, packed, by).select(*ready.columns, F.inline("__settings"))
+        return every.withColumn("__u", uniform(seed, F.col("__p"), F.col(row_id)))
+
+    def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+        """Values with their ``count`` and the rows ``before`` them within the keys."""
+        counts = df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+        upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("before", F.sum("count").over(upto) - F.col("count"))
+
+    bucket = F.floor(F.col("__u") * F.col("__buckets"))
+    coarse = counted(shuffles(None).withColumn("__ub", bucket), [*perm, "__k"], "__ub").where("before < __k AND __k <= before + count")
+    coarse = coarse.select(*perm, F.col("value").alias("__cb"), (F.col("__k") - F.col("before")).alias("__need"))
+    fine = counted(shuffles(coarse).where(bucket == F.col("__cb")), [*perm, "__need"], "__u").where("before < __need AND __need <= before + count")
+    cuts = cut_lineage(fine.select(*perm, F.col("value").alias("__cut")))
+
+    # Places of the one or two middle values on each side, first as buckets of ranks.
+    sided = shuffles(cuts).where("__v IS NOT NULL").withColumn("__in", F.col("__u") <= F.col("__cut"))
+    side = [*perm, "__cut", "__in"]
+    held = counted(sided, side, "__vb").withColumn("__m", F.sum("count").over(Window.partitionBy(*side)))
+    low, high = F.floor((F.col("__m") - 1) / 2), F.ceil((F.col("__m") - 1) / 2)
+
+    def middle(place: Column, name: str) -> list[Column]:
+        inside = (F.col("before") <= place) & (place < F.col("before") + F.col("count"))
+        return [F.max(F.when(inside, F.col("value"))).alias(f"__{name}b"), F.max(F.when(inside, place - F.col("before"))).alias(f"__{name}o")]
+
+    middles = held.groupBy(*side).agg(*middle(low, "l"), *middle(high, "h"))
+    ends = F.array(F.struct(F.lit("l").alias("e"), F.col("__lb").alias("b"), F.col("__lo").alias("o")), F.struct(F.lit("h").alias("e"), F.col("__hb").alias("b"), F.col("__ho").alias("o")))
+    middles = cut_lineage(middles.groupBy(*perm, "__cut").agg(*[F.max(F.when(F.col("__in") == which, ends)).alias(name) for which, name in ((True, "__t"), (False, "__f"))]))
+    near = shuffles(middles).withColumn("__in", F.col("__u") <= F.col("__cut"))
+    near = near.select(*perm, "__in", "__v", "__vb", F.explode(F.when(F.col("__in"), F.col("__t")).otherwise(F.col("__f"))).alias("__e")).where("__e.b = __vb")
+    found = counted(near.select(*perm, "__in", "__v", F.col("__e.e").alias("__e"), F.col("__e.o").alias("__o")), [*perm, "__in", "__e", "__o"], "__v")
+    found = found.where("before <= __o AND __o < before + count")
+
+    def at(side: bool, end: str) -> Column:
+        return F.max(F.when((F.col("__in") == side) & (F.col("__e") == end), F.col("value")))
+
+    return found.groupBy(*perm).agg(*[(at(side, "l") + (at(side, "h") - at(side, "l")) * 0.5).alias(name) for side, name in ((True, "__a"), (False, "__b"))])
+
+
 def permutation_test_median(
     table: DataFrame, row_id: str, outcome: str, value: str, by: Sequence[str] = (), permutations: int = 1000, seed: int = 17, allow_synthetic: bool = False
 ) -> DataFrame:
     """Median gap success minus failure with a permutation p-value per group.
 
-    A shuffle labels the rows with the smallest hash values; the cut is an exact order statistic,
-    so no group is ever sorted in one task.
+    A shuffle labels the rows with the smallest hash values. The cut and the medians are exact order statistics,
+    found by counts, so no group is ever sorted in one task and no shuffled copy of the rows is kept.
     """
     by = list(by)
     synthetic = F.coalesce(F.bool_or(F.col(row_id).cast("string").startswith("SYNTHETIC_")), F.lit(False))
@@ -198,15 +258,8 @@ def permutation_test_median(
     base = attach(flags, seen, by).fillna(0, ["n", "__k"])
     ok = ~blocked & (F.col("n") >= 6) & (F.col("__k") > 0) & (F.col("__k") < F.col("n"))
     base = cut_lineage(base.withColumn("ok", ok).withColumn("gap", F.when(ok, F.col("__a") - F.col("__b"))))
-    ready = attach(rows, base.select(*by, "ok", "__k"), by).where("ok")
-    drawn = ready.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("__u", uniform(seed, F.col("perm"), F.col(row_id)))
-    drawn = cut_lineage(drawn.select(*by, "perm", "__u", "__v", "__k"))
-    keys = [*by, "perm"]
-    need = drawn.groupBy(*keys).agg(F.max("__k").alias("__need"))
-    cut = attach(value_positions(drawn, keys, "__u"), need, keys).where("before < __need AND __need <= before + count").select(*keys, F.col("value").alias("__cut"))
-    labelled = attach(drawn, cut, keys)
-    chosen = F.col("__u") <= F.col("__cut")
-    null = summarise(labelled, keys, [], {"__a": (F.when(chosen, F.col("__v")), 0.5), "__b": (F.when(~chosen, F.col("__v")), 0.5)})
+    ready = attach(rows, base.select(*by, "ok", "n", "__k"), by).where("ok").select(*by, row_id, "__v", "n", "__k")
+    null = _shuffled_medians(ready, row_id, by, permutations, seed)
     gaps = attach(null, base.select(*by, "gap"), by)
     p = gaps.groupBy(*by).agg(
         ((F.count_if(F.abs(F.col("__a") - F.col("__b")) >= F.abs("gap")) + 1) / F.lit(permutations + 1)).alias("permutation_p")
