@@ -163,6 +163,13 @@ def robustness(spark, folder):
     return rounded(px.perfusion_robustness(settings, ["image"]), "min_rho", "max_rho", "min_ratio", "max_ratio")
 
 
+@register("perfusion_medians", f"""WITH {PERF}, j AS (SELECT image, alpha, rho, near_mean / nullif(far_mean, 0) AS ratio FROM mn LEFT JOIN rho USING (image, alpha))
+SELECT alpha, count(*) AS images, bool_and(coalesce(rho < 0, false)) AS all_negative, bool_and(coalesce(ratio > 1, false)) AS all_near_enriched, round(quantile_cont(rho, 0.5), 6) AS median_distance_spearman, round(quantile_cont(ratio, 0.5), 6) AS median_near_to_far FROM j GROUP BY 1""")
+def perfusion_medians(spark, folder):
+    images = px.near_far_ratio(perfusion(spark, folder), "d", "perfusion", 22, ["image", "alpha"], 3)
+    return rounded(px.perfusion_medians(images), "median_distance_spearman", "median_near_to_far")
+
+
 @register("segment_bright", f"""WITH RECURSIVE {PIX}, sc AS (SELECT quantile_cont(v, 0.995) AS scale FROM pix WHERE v > 0), sp AS (SELECT "row", col, least(greatest(v / scale, 0), 1) AS s FROM pix, sc), po AS (SELECT s FROM sp WHERE s > 0), {otsu('o', 'po', 's')},
 msk AS (SELECT "row", col FROM sp, o WHERE s >= greatest(threshold, 0.05) AND s > 0.85), lv AS (SELECT greatest(threshold, 0.05) AS t FROM o)
 SELECT round(t, 6) AS otsu_threshold, round(scale, 6) AS scale, (SELECT count(*) FROM sp WHERE s >= t) AS bright_pixels FROM lv, sc""")

@@ -239,7 +239,8 @@ def perfusion_signal(pixels: DataFrame, alphas: Sequence[float], by: Sequence[st
     marked = marked.withColumn("__c", F.greatest(F.col("b") - F.col("alpha") * F.col("r"), F.lit(0.0)))
     keys = [*by, "alpha"]
     scale = summarise(marked.where("tissue"), keys, [], {"perfusion_scale": (F.col("__c"), 0.99)})
-    return attach(marked, scale, keys).withColumn("perfusion", clip(F.col("__c") / F.col("perfusion_scale"), 0.0, 1.0)).drop("__c")
+    # Read several times by what follows: written once.
+    return cut_lineage(attach(marked, scale, keys).withColumn("perfusion", clip(F.col("__c") / F.col("perfusion_scale"), 0.0, 1.0)).drop("__c"))
 
 
 def near_far_ratio(pixels: DataFrame, distance: str, signal: str, width: int, by: Sequence[str] = (), stride: int = 1) -> DataFrame:
@@ -254,6 +255,15 @@ def near_far_ratio(pixels: DataFrame, distance: str, signal: str, width: int, by
     return attach(means, spearman(strided, by, distance, signal, "distance_spearman"), by)
 
 
+def perfusion_medians(images: DataFrame, by: Sequence[str] = ("alpha",), rho: str = "distance_spearman", ratio: str = "near_to_far") -> DataFrame:
+    """Over the images of each setting: their number, agreement in sign and enrichment, and medians."""
+    return summarise(images, by, [
+        F.count(F.lit(1)).alias("images"),
+        F.bool_and(F.coalesce(F.col(rho) < 0, F.lit(False))).alias("all_negative"),
+        F.bool_and(F.coalesce(F.col(ratio) > 1, F.lit(False))).alias("all_near_enriched"),
+    ], {f"median_{rho}": (F.col(rho), 0.5), f"median_{ratio}": (F.col(ratio), 0.5)})
+
+
 def perfusion_robustness(settings: DataFrame, by: Sequence[str], rho: str = "distance_spearman", ratio: str = "near_to_far") -> DataFrame:
     """Per image over correction settings: all correlations negative, all ratios above 1, ranges."""
     return settings.groupBy(*by).agg(
