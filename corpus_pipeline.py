@@ -1,4 +1,9 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing."""
+"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Each stage judges the table that its predecessor left. Defined cases: a null text, or one without a letter, has no
+recognised language and goes; rows with a null id are never near copies and stay; an empty table passes through;
+texts of any length are read whole; columns that are not used pass unchanged, whatever their names, until packing.
+"""
 
 from __future__ import annotations
 

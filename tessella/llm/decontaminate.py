@@ -4,17 +4,22 @@ A window is 13 consecutive words of an item (a shorter item is one window). A do
 window only if it holds all of its shingles (four words, or the whole window if it is shorter), so
 with all shingles required the necessary prefix is a single one, and the best choice is the rarest.
 
-1. Document shingles meet the items' shingles; matches carry their place.
+1. Document shingles meet the items' shingles; matches carry their place, and each document its number of words.
 2. Counts of matches order each window's shingles by rarity; the rarest one is joined.
 3. Its place in the window fixes where the window would start: places before the first word or
    beyond the document's length are dropped.
-4. What is left is compared word by word with the document.
+4. What is left is compared word by word with the document; only documents with something left are read again.
 
 Windows are distinct by words, so items that share text are compared once.
 
 Defined cases: null texts have no words; items without words or without an item_id are ignored, and
 rows with the same item_id are one item; rows of the same id and text are one document, null ids
-included; other columns are ignored.
+included; equally rare shingles of a window are taken by place; a very long text is one row while it is cut into
+shingles; without items nothing is contaminated; an empty table gives an empty table; other columns are ignored,
+whatever their names.
+
+Rarity is counted over all documents, so all shingles of the items meet the documents once, in step 1. What the
+prefix saves is the comparison of windows after that join.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ driver).
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and rejected; rows
 with a null id are scored like others, count as held out and are never learned from; repeated rows
 are scored alike; ties go to the language with more training rows, then by name; with nothing to
-learn from all is ``und``; other columns are ignored.
+learn from all is ``und``; bytes that are not UTF-8 are read as U+FFFD; an empty table gives an empty table;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

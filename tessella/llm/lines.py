@@ -7,7 +7,9 @@ overlapping occurrences are merged. Windows are judged on the input.
 
 Defined cases: a null text is empty; documents of fewer than three such lines are left as they are;
 null ids come after all others; rows with the same id and text count as one document and keep the
-same lines; other columns are ignored.
+same lines; equal windows of one document are ordered by place; bytes that are not UTF-8 are compared as they
+are; a very long text is one row and its windows are spread; an empty table gives an empty table; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

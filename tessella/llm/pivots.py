@@ -18,7 +18,8 @@ them. Their number grows with the cube root of the number of vectors, which keep
 
 Defined cases: rows with a null label, a null, empty or zero vector, or null or non-finite components
 link with nothing; vectors of different length are never compared; repeated rows are separate, equal
-vectors; a null id has no component and is not kept, but counts as a partner; other columns are ignored.
+vectors; a null id has no component and is not kept, but counts as a partner; an empty table gives an empty
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ rows that may be learned from. Features are made on the executors; the driver ge
 
 Defined cases: a null text is an empty text, which has a score like any other; rows with a null id
 are scored, count as held out and are never learned from; labels other than 0 and 1 are ignored; a
-document with several labels counts once for each; without any label the score is 0.5; other columns
-are ignored.
+document with several labels counts once for each; repeated rows are scored alike; a score of exactly 0.5 is
+predicted as 1; without any label the score is 0.5; a very long text is scored whole; an empty table gives an
+empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ to one point, so these groups are bounded, and a star of links in each gives the
 
 Defined cases: a null text has no words; documents without words have fingerprint zero and link like
 any other; a row with a null id has a fingerprint but links with nothing and has no component;
-repeated rows are equal documents; other columns are ignored.
+repeated rows are equal documents; of equal ids the one with the smaller crc32 of its text stays; a very long
+text is fingerprinted whole; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

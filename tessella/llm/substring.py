@@ -14,7 +14,9 @@ grows with one frequent pair.
 
 Defined cases: a null text has no words; a null id is never smaller than another and its rows are
 left as they are; rows with the same id never count against each other; shorter documents than one
-window have none; other columns are ignored.
+window have none; equal windows of one id do not count; words are compared as bytes; a very long text is cut
+into pieces and windows that are spread; an empty table gives an empty table; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
