@@ -40,10 +40,10 @@ def outcomes(spark, folder):
     target = st.scratch_folder(spark) + "/outcomes"
     source = table(spark, folder, "customer")
     values = {c: F.lit("x") for c in st.OUTCOME_COLUMNS} | {
-        "programme_id": F.col("c_name"), "outcome": F.when(F.col("c_acctbal") > 0, "success").otherwise("failure"), "indication": F.col("c_mktsegment"), "expression_reach_gap": F.col("c_acctbal"),
+        "programme_id": F.col("c_name"), "outcome": F.when(F.col("c_acctbal") > 0, "success").otherwise("failure"), "indication": F.col("c_mktsegment"), "gap": F.col("c_acctbal"),
     }
     source.select(*[v.alias(c) for c, v in values.items()]).write.option("header", True).csv(target)
-    return st.read_outcomes(spark, target).groupBy("outcome", "indication").agg(F.count("*").alias("programmes"), F.round(F.sum("expression_reach_gap"), 2).alias("gap"))
+    return st.read_outcomes(spark, target).groupBy("outcome", "indication").agg(F.count("*").alias("programmes"), F.round(F.sum("gap"), 2).alias("gap"))
 
 
 @register("write_parts", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

@@ -258,6 +258,28 @@ def barriers(spark, folder):
     return rounded(un.barrier_attribution(drawn, ["event_type"]), "vascular_distance", "matrix_fibroblast", "binding_site", "winner_share")
 
 
+BARRIER = """bc AS (SELECT event_type, value AS antigen, user_id % 50 + value / 10 AS far, (user_id % 7) / 7.0::DOUBLE AS ecm, (user_id % 3) / 3.0::DOUBLE AS caf FROM events),
+bd AS (SELECT CAST(n_nationkey AS INT) AS draw, 10.0::DOUBLE + n_nationkey AS d, 0.5::DOUBLE + n_nationkey / 50.0::DOUBLE AS be, 1 - n_nationkey / 100.0::DOUBLE AS bf, 0.001::DOUBLE * (1 + n_nationkey) AS cl, 0.0001::DOUBLE * (26 - n_nationkey) AS it, 1.0::DOUBLE + n_nationkey % 5 AS kd, 10.0::DOUBLE + n_nationkey AS vc, 1 + (n_nationkey % 3) / 10.0::DOUBLE AS f FROM nation),
+bm AS (SELECT event_type, quantile_cont(antigen, 0.5) AS g, quantile_cont(far, 0.5) AS far FROM bc GROUP BY 1), be AS (SELECT event_type, draw, quantile_cont(d * exp(-be * ecm - bf * caf), 0.5) AS e FROM bc, bd GROUP BY ALL),
+bh AS (SELECT *, it * g * f / (kd + vc) AS held, greatest(e, 1e-12) AS through FROM be JOIN bd USING (draw) JOIN bm USING (event_type)),
+bp AS (SELECT event_type, draw, pow(far / greatest(sqrt(e / greatest(cl + held, 1e-12)), 2.0), 2) AS vascular_distance, ln(greatest(d / through, 1)) AS matrix_fibroblast, held * far * far / through AS binding_site FROM bh)"""
+
+
+def penalties(spark, folder):
+    cells = table(spark, folder, "events").selectExpr(
+        "event_type", "value AS antigen", "user_id % 50 + value / 10 AS vessel_distance", "(user_id % 7) / 7D AS ecm", "(user_id % 3) / 3D AS caf")
+    draws = table(spark, folder, "nation").selectExpr(
+        "CAST(n_nationkey AS INT) AS draw", "10D + n_nationkey AS diffusion", "0.5D + n_nationkey / 50D AS beta_ecm", "1 - n_nationkey / 100D AS beta_caf", "0.001D * (1 + n_nationkey) AS clearance",
+        "0.0001D * (26 - n_nationkey) AS internalisation", "1D + n_nationkey % 5 AS kd", "10D + n_nationkey AS vessel_concentration", "1 + (n_nationkey % 3) / 10D AS calibration")
+    return un.barrier_penalties(cells, draws, ["event_type"], 2.0)
+
+
+@register("barrier_penalties", f"WITH {BARRIER} SELECT event_type, draw, round(vascular_distance, 5) AS vascular_distance, round(matrix_fibroblast, 5) AS matrix_fibroblast, round(binding_site, 5) AS binding_site FROM bp")
+def barrier_penalties(spark, folder):
+    found = penalties(spark, folder)
+    return found.select("event_type", "draw", *[F.round(c, 5).alias(c) for c in un.BARRIERS])
+
+
 @register("model_compare", """WITH l AS (SELECT l_returnflag, model, l_discount * 10 AS o, p FROM (SELECT l_returnflag, l_discount, l_tax * 12 AS tax, l_quantity / 50 AS qty, l_extendedprice / 105000 AS price FROM lineitem) UNPIVOT (p FOR model IN (tax, qty, price))), m AS (SELECT l_returnflag, model, sqrt(avg(pow(o - p, 2))) AS rmse, avg(CAST((o >= 0.5) = (p >= 0.5) AS INT)) AS accuracy FROM l GROUP BY ALL)
 SELECT l_returnflag, model, round(rmse, 6) AS rmse, round(accuracy, 6) AS accuracy, first_value(model) OVER (PARTITION BY l_returnflag ORDER BY rmse, model) AS best_by_rmse, first_value(model) OVER (PARTITION BY l_returnflag ORDER BY accuracy DESC, model) AS best_by_accuracy FROM m""")
 def model_compare(spark, folder):

@@ -76,16 +76,5 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def null_if_nan(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
-
-
 def joined(items: Column, separator: str = "|") -> Column:
     return F.array_join(items, separator)
-
-
-def any_of(columns: Sequence[Column]) -> Column:
-    result = F.lit(False)
-    for column in columns:
-        result = result | column
-    return result

@@ -398,11 +398,3 @@ def panel_distance_features(pixels: DataFrame, by: Sequence[str] = ()) -> DataFr
         F.avg(F.col("vessel").cast("double")).alias("vascular_fraction"), F.avg(F.col("positive").cast("double")).alias("positive_fraction"),
         F.avg("__share").alias("distance_mean"),
     ], {"distance_median": (F.col("__share"), 0.5), "distance_q90": (F.col("__share"), 0.9)})
-
-
-def tissue_of(channels: Mapping[str, Column]) -> Column:
-    """True where any of the channels has signal."""
-    result = F.lit(False)
-    for column in channels.values():
-        result = result | (column > 0)
-    return result

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import failed_conditions, joined, row_status, uniform
-from tessella.operators.order import summarise
+from tessella.functions.columns import effective_diffusion, failed_conditions, joined, row_status, uniform
+from tessella.operators.order import summarise, value_positions
 from tessella.operators.scaling import minmax_scale
-from tessella.session import attach, materialised
+from tessella.session import BROADCAST_ROWS_DEFAULT, attach, materialised
 from tessella.sources.quality import DataQualityError
 
 COMPONENTS = ("coverage", "proximity", "near_source")
@@ -214,6 +214,39 @@ def decision_status(df: DataFrame, lower: str, upper: str, threshold: float, ext
 BARRIERS = ("vascular_distance", "matrix_fibroblast", "binding_site")
 
 
+def barrier_penalties(cells: DataFrame, draws: DataFrame, by: Sequence[str] = (), spacing: float = 1.0) -> DataFrame:
+    """Penalties of the three barriers for every group of target cells and every draw of the parameters.
+
+    ``cells``: by, ``antigen``, ``vessel_distance``, ``ecm``, ``caf``. ``draws``: ``draw``, ``diffusion``, ``beta_ecm``,
+    ``beta_caf``, ``clearance``, ``internalisation``, ``kd``, ``vessel_concentration``, ``calibration``; a declared table
+    of parameters. Penalties rest on medians over the cells. Only the effective diffusion depends on the draw, and only
+    through (ecm, caf), so cells are counted by that pair before they meet the draws. ``spacing`` is the least
+    penetration length. NULL where a group has no measured cell.
+    """
+    by = list(by)
+    if draws.count() > BROADCAST_ROWS_DEFAULT:
+        raise ValueError("too many draws for one table of parameters")
+    middle = summarise(cells, by, [], {"__antigen": (F.col("antigen"), 0.5), "__far": (F.col("vessel_distance"), 0.5)})
+    pairs = cells.groupBy(*by, "ecm", "caf").agg(F.count(F.lit(1)).alias("__w")).crossJoin(F.broadcast(draws))
+    spread = effective_diffusion(F.col("diffusion"), F.col("ecm"), F.col("caf"), F.col("beta_ecm"), F.col("beta_caf"))
+    ranked = value_positions(pairs.withColumn("__e", spread), [*by, "draw"], "__e", "__w")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("count")), F.col("value")))
+
+    half = (F.col("total") - 1) / 2
+    found = ranked.groupBy(*by, "draw").agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("__e")).join(F.broadcast(draws), "draw")
+    found = attach(found, middle, by)
+    through, antigen = F.greatest(F.col("__e"), F.lit(1e-12)), F.col("__antigen") * F.col("calibration")
+    held = F.col("internalisation") * antigen / (F.col("kd") + F.col("vessel_concentration"))
+    reach = F.greatest(F.sqrt(F.col("__e") / F.greatest(F.col("clearance") + held, F.lit(1e-12))), F.lit(float(spacing)))
+    a, b, c = BARRIERS
+    return found.select(
+        *by, "draw", F.pow(F.col("__far") / reach, 2).alias(a), F.log(F.greatest(F.col("diffusion") / through, F.lit(1.0))).alias(b),
+        (held * F.col("__far") * F.col("__far") / through).alias(c),
+    )
+
+
 def barrier_attribution(draws: DataFrame, by: Sequence[str] = (), win: float = 0.60, lead: float = 0.15) -> DataFrame:
     """Mean normalised penalty per barrier; one is named only if it wins often and leads clearly."""
     a, b, c = BARRIERS

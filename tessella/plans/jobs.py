@@ -201,9 +201,9 @@ def evidence_package(nodes: DataFrame, edges: DataFrame, requirements: DataFrame
     }
 
 
-def retrospective(spark: SparkSession, path: str, permutations: int = 1000, allow_synthetic: bool = False) -> Tables:
-    table = read_outcomes(spark, path)
+def retrospective(spark: SparkSession, path: str, permutations: int = 1000, allow_synthetic: bool = False, value: str = "gap") -> Tables:
+    table = read_outcomes(spark, path, value)
     return {
-        "test": ss.permutation_test_median(table, "programme_id", "outcome", "expression_reach_gap", (), permutations, 17, allow_synthetic),
-        "stratified": ss.stratified_difference(table, "outcome", "expression_reach_gap", ["format", "indication"]),
+        "test": ss.permutation_test_median(table, "programme_id", "outcome", value, (), permutations, 17, allow_synthetic),
+        "stratified": ss.stratified_difference(table, "outcome", value, ["format", "indication"]),
     }

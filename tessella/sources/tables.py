@@ -13,11 +13,10 @@ from tessella.session import scratch_folder  # noqa: F401  (part of this module'
 from tessella.sources.quality import DataQualityError, assert_finite, assert_unique, require_columns
 
 CELL_COLUMNS = ("cell_id", "x_centroid", "y_centroid", "cell_area", "nucleus_area")
-# Columns every outcome table must carry.
+# Columns every outcome table must carry, besides its value.
 OUTCOME_COLUMNS = (
     "programme_id", "target", "molecule", "format", "payload", "dose", "indication", "line_of_therapy",
     "target_expression_evidence", "outcome", "reason_for_discontinuation", "source_identifiers",
-    "expression_reach_gap",
 )
 
 
@@ -209,11 +208,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return vertices
 
 
-def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Outcome table with its required columns; the gap is a number."""
+def read_outcomes(spark: SparkSession, path: str, value: str = "gap") -> DataFrame:
+    """Outcome table with its required columns; the column ``value`` is a number."""
     table = spark.read.option("header", True).csv(path)
-    require_columns(table, OUTCOME_COLUMNS, "outcome table")
-    return table.withColumn("expression_reach_gap", F.col("expression_reach_gap").cast("double"))
+    require_columns(table, (*OUTCOME_COLUMNS, value), "outcome table")
+    return table.withColumn(value, F.col(value).cast("double"))
 
 
 def write_parts(df: DataFrame, path: str, rows_per_file: int = 100_000) -> None:

@@ -25,18 +25,40 @@ def feature_totals(measurements: DataFrame) -> DataFrame:
     )
 
 
+def _batches(spark: SparkSession, target: str, suffix: str = "/_SUCCESS") -> list[int]:
+    """Numbers of the batches below ``target`` that were written to the end, ascending."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    found = path(target).getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path(f"{target}/batch=*{suffix}"))
+    return sorted(int(f.getPath().toString().rsplit("batch=", 1)[1].split("/")[0]) for f in found or [])
+
+
+def read_totals(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    """The result of the last complete batch; empty before the first."""
+    done = _batches(spark, target)
+    return spark.read.schema(schema).parquet(f"{target}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
 def run_available(totals: DataFrame, target: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available now; each batch replaces the result table, then read it back."""
+    """Process everything available now, then read the result back.
+
+    Each batch writes a folder of its own, named by its number, and the one before stays until the next: a
+    reader always finds a complete table, and a batch that is run again after a failure replaces only itself.
+    """
     spark = totals.sparkSession
     base = scratch_folder(spark)
     target = target or f"{base}/result"
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        context = spark.sparkContext
+        for old in [b for b in _batches(spark, target, "") if b < number][:-1]:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={old}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     query = (
-        totals.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint or f"{base}/state")
+        totals.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint or f"{base}/state")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(totals.schema).parquet(target)
+    return read_totals(spark, target, totals.schema)

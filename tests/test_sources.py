@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import columns as fc
 from tessella.operators import catalogue as ct
@@ -11,6 +12,7 @@ from tessella.plans import jobs
 from tessella.sources import integrity as si
 from tessella.sources import quality as sq
 from tessella.sources import tables as st
+from tessella.streaming import feature_stream as fs
 
 CATALOGUE = [(0, "PECAM1", "Gene Expression"), (1, "CD31", "Protein Expression"), (2, "PD-L1", "Antibody Capture"), (3, "PanCK", "Protein Expression"), (4, "COL1A1", "Gene Expression")]
 VALUES = {0: [8, 0, 1, 0], 1: [12, 0, 1, 0], 4: [0, 5, 8, 1], 2: [0, 1, 9, 0], 3: [0, 8, 7, 1]}
@@ -162,3 +164,23 @@ def test_case_documents(spark, tmp_path):
 def test_empty_table_still_has_a_part(spark, tmp_path):
     st.write_parts(spark.range(0).toDF("a"), str(tmp_path / "p"))
     assert st.read_parts(spark, str(tmp_path / "p")).count() == 0
+
+
+def test_stream_result_is_never_missing(spark, tmp_path):
+    """Batches go to folders of their own; a restart goes on from the state, and an unfinished folder is not read."""
+    source, target, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    schema = T.StructType([T.StructField("feature_index", T.IntegerType()), T.StructField("value", T.FloatType())])
+    names = {c: F.col(c) for c in ("feature_index", "value")}
+
+    def run():
+        rows = fs.stream_measurements(spark, source, schema, names)
+        return {r["feature_index"]: (r["total"], r["positive_cells"]) for r in fs.run_available(fs.feature_totals(rows), target, state).collect()}
+
+    assert fs.read_totals(spark, target, schema).count() == 0
+    spark.createDataFrame([(1, 2.0), (2, 0.0)], schema).write.parquet(source)
+    assert run() == {1: (2.0, 1), 2: (0.0, 1)}
+    spark.createDataFrame([(1, 5.0)], schema).write.mode("append").parquet(source)
+    (tmp_path / "out" / "batch=99").mkdir(parents=True)
+    assert run() == {1: (7.0, 2), 2: (0.0, 1)} and run() == {1: (7.0, 2), 2: (0.0, 1)}
+    spark.createDataFrame([(3, 1.0)], schema).write.mode("append").parquet(source)
+    assert run()[3] == (1.0, 1) and len([p for p in (tmp_path / "out").glob("batch=*/_SUCCESS")]) == 2

@@ -68,7 +68,7 @@ def outcome_file(tmp_path, prefix="P"):
     frame = pd.DataFrame({c: ["x"] * 8 for c in OUTCOME_COLUMNS})
     frame["programme_id"] = [f"{prefix}{i}" for i in range(8)]
     frame["outcome"] = ["success" if i % 2 == 0 else "failure" for i in range(8)]
-    frame["expression_reach_gap"] = [0.1 + 0.05 * i for i in range(8)]
+    frame["gap"] = [0.1 + 0.05 * i for i in range(8)]
     frame["format"] = ["IgG"] * 4 + ["ADC"] * 4
     path = tmp_path / f"{prefix}.csv"
     frame.to_csv(path, index=False)
@@ -217,3 +217,14 @@ def test_reach_job(spark):
     row = out["index"].first()
     assert row["reachable_median"] == pytest.approx(4 / 6) and row["gap_median"] == pytest.approx(0.6 / 3) and row["penetration_median"] == 30.0 and row["status"] == "OK"
     assert out["barriers"].first()["dominant_barrier"] == "vascular_distance"
+
+
+def test_barrier_penalties_by_hand(spark):
+    cells = spark.createDataFrame([("t", 10.0, 30.0, 0.0, 0.0), ("t", 20.0, 50.0, 0.0, 0.0), ("t", 30.0, 40.0, 1.0, 1.0)], "g string, antigen double, vessel_distance double, ecm double, caf double")
+    names = "draw int, diffusion double, beta_ecm double, beta_caf double, clearance double, internalisation double, kd double, vessel_concentration double, calibration double"
+    draws = spark.createDataFrame([(1, 16.0, 0.5, 0.5, 0.0, 0.01, 1.0, 4.0, 2.0), (2, 16.0, 1.0, 0.0, 1.0, 0.0, 1.0, 4.0, 1.0)], names)
+    got = {r["draw"]: r for r in un.barrier_penalties(cells, draws, ["g"], 5.0).collect()}
+    # Medians: antigen 20, distance 40, effective diffusion 16; held = 0.01 * 40 / 5 = 0.08; reach = sqrt(16 / 0.08).
+    assert got[1]["vascular_distance"] == pytest.approx(1600 / 200) and got[1]["matrix_fibroblast"] == 0 and got[1]["binding_site"] == pytest.approx(0.08 * 1600 / 16)
+    assert got[2]["vascular_distance"] == pytest.approx(64.0) and got[2]["binding_site"] == 0
+    assert un.barrier_attribution(un.barrier_penalties(cells, draws, ["g"], 5.0), ["g"]).count() == 1
