@@ -73,6 +73,18 @@ def read_geojson(spark, folder):
     return annotations(spark, folder)
 
 
+@register("read_geojson_lines", f"WITH {ANN} SELECT name, CAST(polygon_ix AS INT) AS polygon_ix, CAST(ring_ix AS INT) AS ring_ix, CAST(vertex_ix AS INT) AS vertex_ix, count(*) AS features, sum(x) AS x, sum(y) AS y FROM ann GROUP BY ALL")
+def read_geojson_lines(spark, folder):
+    """One collection with a feature on each line, written and read back."""
+    target = st.scratch_folder(spark) + "/lines"
+    feature = F.concat(F.expr("""substring(value, 41, length(value) - 42)"""), F.lit(","))
+    lines = annotation_documents(spark, folder).select(feature.alias("value"))
+    ends = spark.range(2).select(F.when(F.col("id") == 0, '{"type":"FeatureCollection","features":[').otherwise("]}").alias("value"))
+    lines.unionByName(ends).write.text(target)
+    found = st.read_geojson(spark, target, lines=True)
+    return found.groupBy("name", "polygon_ix", "ring_ix", "vertex_ix").agg(F.count_distinct("feature_ix").alias("features"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
 @register("point_in_polygon", P + f""", {ANN}, m AS (SELECT cell_id, doc, name, polygon_ix, {MET.replace('px', 'p.x').replace('py', 'p.y')} FROM p, ae),
 h AS (SELECT cell_id, name FROM m WHERE c OR e GROUP BY cell_id, doc, name, polygon_ix HAVING bool_or(e) OR count(*) FILTER (WHERE c) % 2 = 1)
 SELECT cell_id, coalesce(string_agg(DISTINCT name, '|' ORDER BY name), 'UNANNOTATED') AS pathology_region FROM p LEFT JOIN h USING (cell_id) GROUP BY 1""")

@@ -201,8 +201,21 @@ def geojson_features(documents: DataFrame, text: str = "value", fallback: str =
     )
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    vertices = geojson_features(spark.read.text(path, wholetext=True))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Vertex rows of the collections below ``path``, each file read whole.
+
+    With ``lines`` each line holds one feature, with or without a comma after it, and other lines (such as those that
+    open and close a collection) are passed over: a file of any size is split over tasks. ``feature_ix`` then
+    ascends in order of the lines and has gaps.
+    """
+    if lines:
+        bare = F.trim(F.rtrim("value", F.lit(", \t\r")), F.lit(" \t"))
+        rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("__line"), bare.alias("value"))
+        rows = rows.where(F.col("value").startswith("{") & F.col("value").endswith("}"))
+        rows = rows.withColumn("value", F.concat(F.lit('{"features":['), "value", F.lit("]}")))
+        vertices = geojson_features(rows).drop("feature_ix").withColumnRenamed("__line", "feature_ix")
+    else:
+        vertices = geojson_features(spark.read.text(path, wholetext=True))
     if vertices.isEmpty():
         raise DataQualityError("no polygon geometry found")
     return vertices

@@ -1,3 +1,4 @@
+import json
 import math
 from fractions import Fraction
 
@@ -83,6 +84,23 @@ def test_geojson_and_point_in_polygon(spark, tmp_path):
         st.read_geojson(spark, str(tmp_path / "b.geojson"))
 
 
+def test_geojson_with_a_feature_on_each_line(spark, tmp_path):
+    """The same vertices as from the whole file, with and without commas; other lines are passed over."""
+    features = json.loads(GEOJSON)["features"]
+    text = '{"type":"FeatureCollection","features":[\n' + ",\n".join("  " + json.dumps(f) for f in features) + "\n]}\n"
+    (tmp_path / "a.geojson").write_text(GEOJSON)
+    (tmp_path / "b.geojson").write_text(text)
+    (tmp_path / "c.geojson").write_text("\n".join(json.dumps(f) for f in features))
+    columns = ["name", "polygon_ix", "ring_ix", "vertex_ix", "x", "y"]
+    want = sorted(tuple(r) for r in st.read_geojson(spark, str(tmp_path / "a.geojson")).select(*columns).collect())
+    for name in "bc":
+        got = st.read_geojson(spark, str(tmp_path / f"{name}.geojson"), lines=True)
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == want and got.select("feature_ix").distinct().count() == 3
+    (tmp_path / "d.geojson").write_text("[]")
+    with pytest.raises(DataQualityError):
+        st.read_geojson(spark, str(tmp_path / "d.geojson"), lines=True)
+
+
 def holds(rings, x, y):
     """Even-odd rule over all edges of all rings, boundaries inside."""
     odd = False
