@@ -92,7 +92,7 @@ def key_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys)))
 
 
-RUNS = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("key", pa.int64())])
+RUNS = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
 PIECES = pa.schema([("id", pa.int64()), ("crc", pa.int64()), ("start", pa.int32()), ("route", pa.int64()), ("piece", pa.binary())])
 CUT = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("at", pa.int32()), ("first", pa.int64()), ("piece", pa.binary())])
 FOUND = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])
@@ -103,16 +103,18 @@ def _emit_runs(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, crcs = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            starts, keys, sizes = [], [], []
+            starts, lengths, keys, sizes = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = window_keys(text.split(), window)
-                at, _ = key_runs(found)
+                at, n = key_runs(found)
                 starts.append(at)
+                lengths.append(n)
                 keys.append(found[at])
                 sizes.append(len(at))
             if sum(sizes):
                 yield table({
                     "id": np.repeat(ids, sizes), "crc": np.repeat(crcs, sizes), "start": np.concatenate(starts).astype(np.int32),
+                    "n": np.concatenate(lengths).astype(np.int32),
                     "key": np.concatenate(keys).view(np.int64),
                 }, RUNS)
     return run
@@ -121,18 +123,21 @@ def _emit_runs(window: int) -> Callable:
 def _emit_pieces(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, found = lists(batch.column(3))
+            column = batch.column(3)
+            offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+            runs = column.flatten()
+            start, length, key = (np.asarray(runs.field(name)) for name in ("start", "n", "key"))
             rows: dict[str, list] = {name: [] for name in PIECES.names}
             sizes = []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 words = text.split()
-                keys = window_keys(words, window)
-                begin, length = key_runs(keys)
-                starts = np.unique(found[offsets[k] : offsets[k + 1]])
-                ends = starts + length[np.searchsorted(begin, starts)] + window - 1
+                # Rows of the same id and text repeat their runs.
+                starts, one = np.unique(start[offsets[k] : offsets[k + 1]], return_index=True)
+                one += offsets[k]
+                ends = starts + length[one] + window - 1
                 sizes.append(len(starts))
                 rows["start"] += starts.tolist()
-                rows["route"] += keys[starts].view(np.int64).tolist()
+                rows["route"] += key[one].tolist()
                 rows["piece"] += [b" ".join(words[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             rows["id"], rows["crc"] = np.repeat(np.asarray(batch.column(0)), sizes), np.repeat(np.asarray(batch.column(1)), sizes)
             yield table(rows, PIECES)
@@ -246,9 +251,9 @@ def repeated_spans(docs: DataFrame, window: int = WORDS, id_col: str = "doc_id",
     short_batches(spark)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), crc_of(text_col).alias("crc"), text_of(text_col).alias("text"))
     copies = _later_copies(rows)
-    runs = step(rows.mapInArrow(_emit_runs(window), "id long, crc long, start int, key long"))
+    runs = step(rows.mapInArrow(_emit_runs(window), "id long, crc long, start int, n int, key long"))
     shared = step(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"))
-    hits = runs.join(shared, "key", "left_semi").groupBy("id", "crc").agg(F.collect_list("start").alias("starts"))
+    hits = runs.join(shared, "key", "left_semi").groupBy("id", "crc").agg(F.collect_list(F.struct("start", "n", "key")).alias("starts"))
     hits = step(hits.join(copies, ["id", "crc"], "left_anti"), runs, shared)
     pieces = rows.join(hits, ["id", "crc"]).select("id", "crc", "text", "starts")
     pieces = step(pieces.mapInArrow(_emit_pieces(window), "id long, crc long, start int, route long, piece binary"), hits)
