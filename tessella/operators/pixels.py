@@ -251,7 +251,7 @@ def near_far_ratio(pixels: DataFrame, distance: str, signal: str, width: int, by
     means = pixels.groupBy(*by).agg(
         F.avg(F.when(d < 10, F.col(signal))).alias("near_mean"), F.avg(F.when((d >= 50) & (d < 100), F.col(signal))).alias("far_mean")
     ).withColumn("near_to_far", F.when(F.col("far_mean") > 0, F.col("near_mean") / F.col("far_mean")))
-    strided = pixels if stride <= 1 else pixels.where((F.col("row") * width + F.col("col")) % stride == 0)
+    strided = pixels if stride <= 1 else pixels.where((F.col("row").cast("long") * width + F.col("col")) % stride == 0)
     return attach(means, spearman(strided, by, distance, signal, "distance_spearman"), by)
 
 
@@ -392,7 +392,9 @@ def panel_distance_features(pixels: DataFrame, by: Sequence[str] = ()) -> DataFr
     red = (F.col("r") >= F.greatest(F.lit(5.0), F.col("__rq"))) & (F.col("r") > 1.1 * F.col("g")) & (F.col("r") > 1.1 * F.col("b"))
     marked = materialised(attach(pixels, limits, by).select(*by, "row", "col", red.alias("vessel"), (clip(F.col("g") / F.col("__gq"), 0.0, 1.0) > 0.2).alias("positive")))
     measured = grid_nearest(marked, marked.where("vessel"), by, out="__d")
-    share = F.when(F.col("positive"), F.col("__d") / F.sqrt(F.col("height") * F.col("height") + F.col("width") * F.col("width")))
+    # As doubles: squares of sizes beyond 46,340 do not fit the integers of the coordinates.
+    height, width = F.col("height").cast("double"), F.col("width").cast("double")
+    share = F.when(F.col("positive"), F.col("__d") / F.sqrt(height * height + width * width))
     placed = attach(measured, _image_size(pixels, by), by).withColumn("__share", share)
     return summarise(placed, by, [
         F.avg(F.col("vessel").cast("double")).alias("vascular_fraction"), F.avg(F.col("positive").cast("double")).alias("positive_fraction"),

@@ -195,3 +195,12 @@ def test_brown_literal(spark):
     array[:, :5] = (140, 90, 45)
     got = px.stain_features(image(spark, array), F.lit(True)).first()
     assert got["brown_q90"] > 0 and got["mask_fraction"] == 1.0
+
+
+def test_panel_distance_of_a_tall_image(spark):
+    """Squares of sizes beyond 46,340 do not fit an integer."""
+    rows = spark.createDataFrame([(0, 0, 200, 0, 0), (69_999, 0, 0, 200, 0)], "row int, col int, r int, g int, b int").withColumn("image", F.lit("a"))
+    got = px.panel_distance_features(rows, ["image"]).first()
+    assert got["distance_mean"] == pytest.approx(69_999 / (70_000**2 + 1) ** 0.5)
+    far = rows.select("image", (F.col("row") * 30_000).alias("row"), "col", F.lit(1.0).alias("d"), F.lit(1.0).alias("s"))
+    assert px.near_far_ratio(far, "d", "s", 64, ["image"], 5).first()["near_mean"] == 1.0
