@@ -184,3 +184,18 @@ def test_stream_result_is_never_missing(spark, tmp_path):
     assert run() == {1: (7.0, 2), 2: (0.0, 1)} and run() == {1: (7.0, 2), 2: (0.0, 1)}
     spark.createDataFrame([(3, 1.0)], schema).write.mode("append").parquet(source)
     assert run()[3] == (1.0, 1) and len([p for p in (tmp_path / "out").glob("batch=*/_SUCCESS")]) == 2
+
+
+def test_packed_ids_of_wide_prefixes_equal_sql(spark, tmp_path):
+    """A prefix beyond 32 bits has no id, in the query as in its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = str(tmp_path)
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES (1::BIGINT, 3::INT), (542362, 3), (542363, 3), (900000, 4)) t(c_custkey, c_nationkey)) TO '{folder}/customer.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{folder}/customer.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["packed_cell_id"]).fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["packed_cell_id"](spark, folder).collect())
+    assert got == want and [r[1] is None for r in got] == [False, False, True, True]
