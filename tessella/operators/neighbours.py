@@ -6,6 +6,10 @@
    sources are left out of this join.
 3. What is left descends a pyramid of counted bounding boxes.  A box is dropped only when it
    cannot hold one of the k nearest, so the answer stays exact in dense and in empty areas.
+
+The single nearest source is found in tiles instead (``_nearest_in_tiles``): strips in x, cut in y, with about
+``TILE`` sources each.  Every query is sent once, to its own tile; only where the circle to the nearest source
+found there leaves the tile, it is sent to the few others that the circle meets, or down the pyramid.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,11 @@ LEAF = 16
 COARSE_LEVEL = 6
 HOT_FACTOR = 64
 DEEPEST = 40
+#: Sources of a tile, sources drawn from each to place the cuts, queries of one unit, and tiles a circle may meet.
+TILE = 8192
+DRAWN = 16
+UNIT = 65_536
+MEETS = 16
 Finish = Callable[[DataFrame], DataFrame]
 DISTANCE = "sqrt((qx - sx) * (qx - sx) + (qy - sy) * (qy - sy)) AS d"
 
@@ -199,6 +210,132 @@ def neighbours(
     return first.unionByName(finish(_pyramid_pairs(rest, sources, by, extent, k, radius)))
 
 
+def nearest_squares(sx: np.ndarray, sy: np.ndarray, qx: np.ndarray, qy: np.ndarray, leaf: int = 32) -> np.ndarray:
+    """Squared distance of every query to its nearest source: boxes of ``leaf`` sources, the closest one first."""
+    leaves = -(-len(sx) // leaf)
+    width, height = np.ptp(sx), np.ptp(sy)
+    strips = int(min(max(np.sqrt(leaves * width / height) if height > 0 else leaves, 1), leaves))
+    by_x = np.argsort(sx, kind="stable")
+    order = by_x[np.lexsort((sy[by_x], np.arange(len(sx)) * strips // len(sx)))]
+    order = np.append(order, np.repeat(order[-1:], leaves * leaf - len(order)))
+    px, py = sx[order].reshape(leaves, leaf), sy[order].reshape(leaves, leaf)
+    x0, x1, y0, y1 = px.min(1), px.max(1), py.min(1), py.max(1)
+    out, step = np.empty(len(qx)), max(1, 1_000_000 // leaves)
+    for at in range(0, len(qx), step):
+        x, y = qx[at : at + step, None], qy[at : at + step, None]
+        dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
+        low = dx * dx + dy * dy
+        first = low.argmin(1)
+        best = ((x - px[first]) ** 2 + (y - py[first]) ** 2).min(1)
+        row, box = np.nonzero(low < best[:, None])
+        if len(row):
+            near = ((x[row] - px[box]) ** 2 + (y[row] - py[box]) ** 2).min(1)
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            best[row[starts]] = np.minimum(best[row[starts]], np.minimum.reduceat(near, starts))
+        out[at : at + step] = best
+    return out
+
+
+def _unit_distances(by: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Queries of one unit with their distance to the nearest source of its tile; NULL if it has none."""
+    def run(rows: pa.Table) -> pa.Table:
+        source = rows.column("source").to_numpy()
+        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        asked = rows.filter(pa.array(~source)).select([*by, "x", "y", "edge"])
+        squares = np.full(asked.num_rows, np.nan)
+        if source.any() and len(squares):
+            squares = nearest_squares(x[source], y[source], x[~source], y[~source])
+        return asked.append_column("d", pa.array(np.sqrt(squares), from_pandas=True))
+    return run
+
+
+def _at_most(cuts: str, value: str) -> str:
+    """Number of entries of a sorted array that are no larger than a value."""
+    steps = f"transform(sequence(length(bin(size({cuts}))) - 1, 0, -1), i -> shiftleft(1, i))"
+    return f"aggregate({steps}, 0, (at, s) -> IF({value} >= get({cuts}, at + s - 1), at + s, at))"
+
+
+def _nearest_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
+    """Distance ``__d`` of every query (by, qx, qy) to the nearest source (by, sx, sy, ...); queries without one are absent.
+
+    Cuts come from sources drawn by hash; they balance the work and never change a result.
+    """
+    q = [*by, "qx", "qy"]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in by) or "true"
+    queries = cut_lineage(queries.where(f"{known} AND qx IS NOT NULL AND qy IS NOT NULL AND NOT isnan(qx) AND NOT isnan(qy)"))
+    sources = cut_lineage(sources.where(f"{known} AND sx IS NOT NULL AND sy IS NOT NULL AND NOT isnan(sx) AND NOT isnan(sy)"))
+    spans = sources.groupBy(*by).agg((F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    drawn = sources.where(F.pmod(F.xxhash64("sx", "sy"), F.lit(TILE // DRAWN)) == 0)
+    found = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("sx")).alias("xs"))
+    strips = spans.join(found, by, "left") if by else spans.crossJoin(found)
+    tiles = f"coalesce(size(xs), 0) / {DRAWN}"
+    strips = strips.selectExpr("*", f"CAST(ceil(size(xs) / greatest(1, least({tiles}, IF(h > 0, sqrt({tiles} * w / h), {tiles})))) AS INT) AS step")
+    strips = cut_lineage(strips.selectExpr(*by, "coalesce(array_distinct(filter(xs, (x, i) -> i > 0 AND i % step = 0)), array()) AS xs"))
+    number = strips.count()
+
+    def in_strips(df: DataFrame, x: str) -> DataFrame:
+        table = broadcast_if(strips, number)
+        joined = df.join(table, by) if by else df.crossJoin(F.broadcast(strips))
+        return joined.selectExpr(*df.columns, f"{_at_most('xs', x)} AS strip", "xs")
+
+    placed = in_strips(drawn, "sx").drop("xs")
+    rows = placed.groupBy(*by, "strip").agg(F.array_sort(F.collect_list("sy")).alias("ys"))
+    rows = cut_lineage(rows.selectExpr(*by, "strip", f"filter(ys, (y, i) -> i > 0 AND i % {DRAWN} = 0) AS ys"))
+    strip_rows = rows.count()
+
+    def in_tiles(df: DataFrame, y: str) -> DataFrame:
+        joined = df.join(broadcast_if(rows, strip_rows), [*by, "strip"], "left").withColumn("ys", F.expr("coalesce(ys, array())"))
+        return joined.selectExpr(*df.columns, f"{_at_most('ys', y)} AS tile", "ys")
+
+    def gap(cuts: str, at: str, value: str) -> str:
+        # get() is NULL beyond the first and last cut, where a tile has no border.
+        return f"least(coalesce({value} - get({cuts}, {at} - 1), double('infinity')), coalesce(get({cuts}, {at}) - {value}, double('infinity')))"
+
+    tile = [*by, "strip", "tile"]
+    mine = in_strips(queries, "qx").selectExpr(*q, "strip", f"{gap('xs', 'strip', 'qx')} AS edge")
+    mine = in_tiles(mine, "qy").selectExpr(*q, "strip", "tile", f"least(edge, {gap('ys', 'tile', 'qy')}) AS edge")
+    mine = cut_lineage(mine)
+    held = cut_lineage(in_tiles(in_strips(sources, "sx").select(*by, "sx", "sy", "strip"), "sy").select(*tile, "sx", "sy"))
+    fields = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in by] + ["x double", "y double", "edge double", "d double"])
+
+    def measured(asked: DataFrame) -> DataFrame:
+        """Units of a tile share its sources, so a tile with very many queries is spread over tasks."""
+        units = asked.groupBy(*tile).agg(F.expr(f"CAST((count(1) + {UNIT - 1}) DIV {UNIT} AS INT)").alias("units"))
+        units = cut_lineage(units)
+        table = broadcast_if(units, units.count())
+        split = asked.join(table, tile).selectExpr(*tile, "CAST(pmod(xxhash64(qx, qy), units) AS INT) AS unit", "qx AS x", "qy AS y", "edge", "false AS source")
+        copies = held.join(table, tile).selectExpr(*tile, "explode(sequence(0, units - 1)) AS unit", "sx AS x", "sy AS y", "CAST(NULL AS DOUBLE) AS edge", "true AS source")
+        got = split.unionByName(copies).groupBy(*tile, "unit").applyInArrow(_unit_distances(by), schema)
+        return got.withColumnsRenamed({"x": "qx", "y": "qy", "d": "__d"})
+
+    first = cut_lineage(measured(mine))
+    done = first.where("__d <= edge").select(*q, "__d")
+    rest = first.where("__d IS NULL OR __d > edge").select(*q, "__d")
+    # Tiles met by the circle of the distance found so far.
+    reach = "__d * (1D + 1e-9D)"
+    table = broadcast_if(strips, number)
+    wide = (rest.join(table, by) if by else rest.crossJoin(F.broadcast(strips))).selectExpr(
+        *q, "__d", f"{_at_most('xs', f'qx - {reach}')} AS s0", f"{_at_most('xs', f'qx + {reach}')} AS s1"
+    )
+    wide = cut_lineage(wide)
+    near = wide.where(f"__d IS NOT NULL AND s1 - s0 < {MEETS}").selectExpr(*q, "__d", "explode(sequence(s0, s1)) AS strip")
+    near = near.join(broadcast_if(rows, strip_rows), [*by, "strip"], "left").withColumn("ys", F.expr("coalesce(ys, array())")).selectExpr(
+        *q, "__d", "strip", f"{_at_most('ys', f'qy - {reach}')} AS t0", f"{_at_most('ys', f'qy + {reach}')} AS t1"
+    )
+    near = cut_lineage(near)
+    few = near.groupBy(*q).agg(F.sum(F.expr("t1 - t0 + 1")).alias("__t")).where(f"__t <= {MEETS * MEETS}").drop("__t")
+    few = cut_lineage(few)
+    again = near.join(few, q, "left_semi").selectExpr(*q, "strip", "explode(sequence(t0, t1)) AS tile", "__d AS edge")
+    second = measured(again).groupBy(*q).agg(F.min("__d").alias("__d"))
+    left = cut_lineage(wide.select(*q).join(few, q, "left_anti"))
+    result = done.unionByName(second)
+    if left.isEmpty():
+        return result
+    far = _pyramid_pairs(left, sources, by, _Extent(sources, by), 1, None).groupBy(*q).agg(F.min("d").alias("__d"))
+    return result.unionByName(far)
+
+
 def _keys(by: Sequence[str]) -> list[str]:
     """Internal names of the group columns, so that callers may use any column names."""
     return [f"__b{i}" for i in range(len(by))]
@@ -232,12 +369,8 @@ def nearest_distance(
     cells: DataFrame, sources: DataFrame, by: Sequence[str] = (), x: str = "x", y: str = "y", out: str = "distance"
 ) -> DataFrame:
     """Distance from each row to the nearest source row (of the same ``by`` group); NULL if none."""
-    q = [*_keys(by), "qx", "qy"]
     cells, sources = materialised(cells), materialised(sources)
-    found = neighbours(
-        _query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), _keys(by), 1, None,
-        lambda pairs: pairs.groupBy(*q).agg(F.min("d").alias("__d"), F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete")),
-    )
+    found = _nearest_in_tiles(_query_points(cells, by, x, y), _source_points(sources, by, x, y, 1), _keys(by))
     return _join_back(cells, found.withColumnRenamed("__d", out), by, x, y, [out])
 
 

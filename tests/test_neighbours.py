@@ -79,3 +79,31 @@ def test_result_does_not_depend_on_partitioning(spark):
     many = spark.createDataFrame(frame.sample(frac=1, random_state=5)).repartition(17)
     a, b = (nb.within_distance(c, c.where("src"), 10.0).select("cell_id", "distance", "within").toPandas().sort_values("cell_id").reset_index(drop=True) for c in (one, many))
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("kind,meets", [*[(k, 16) for k in KINDS], ("uniform", 0), ("outlier", 0)])
+def test_nearest_over_small_tiles_equals_brute_force(spark, kind, meets, monkeypatch):
+    """Many tiles, units and circles that leave their tile; ``meets`` 0 sends those down the pyramid."""
+    for name, value in {"TILE": 32, "UNIT": 8, "MEETS": meets}.items():
+        monkeypatch.setattr(nb, name, value)
+    frame = cloud(kind, 1500)
+    cells = spark.createDataFrame(frame)
+    got = nb.nearest_distance(cells, cells.where("src AND fov < 2"), by=["fov"]).toPandas().set_index("cell_id")["distance"].sort_index()
+    for fov in (0, 1):
+        part = frame[frame.fov == fov]
+        np.testing.assert_allclose(got[part.cell_id].values, distances(part, part[part.src]).min(axis=1), rtol=1e-12, atol=1e-9)
+    assert got[frame.cell_id[frame.fov == 2]].isna().all()
+
+
+def test_nearest_asks_each_query_once(spark, monkeypatch):
+    """The pairs joined before any distance is known were nine cells a query; now one row a query reaches a tile."""
+    asked = []
+    kept = nb._unit_distances
+    monkeypatch.setattr(nb, "_unit_distances", lambda by: asked.append(by) or kept(by))
+    frame = cloud("uniform", 300)
+    cells = spark.createDataFrame(frame)
+    nb.nearest_distance(cells, cells.where("src")).count()
+    assert len(asked) == 2
+    squares = nb.nearest_squares(frame.x.values, frame.y.values, frame.x.values + 0.3, frame.y.values, 4)
+    moved = frame.assign(x=frame.x + 0.3)
+    np.testing.assert_allclose(np.sqrt(squares), distances(moved, frame).min(axis=1))
