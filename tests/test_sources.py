@@ -199,3 +199,17 @@ def test_packed_ids_of_wide_prefixes_equal_sql(spark, tmp_path):
     want = sorted(con.execute(entry.oracle_sql()["packed_cell_id"]).fetchall())
     got = sorted(tuple(r) for r in entry.queries()["packed_cell_id"](spark, folder).collect())
     assert got == want and [r[1] is None for r in got] == [False, False, True, True]
+
+
+def test_resolve_features_chooses_aliases_before_the_join(spark, monkeypatch):
+    """Several aliases with one token and feature indices that the catalogue repeats; no sort of the joined rows."""
+    catalogue = spark.createDataFrame([(1, "CD-8", "Gene Expression"), (2, "cd8", "Protein"), (2, "CD 4", "Protein"), (None, "cd4", "Gene Expression"), (None, "CD8", "Gene Expression")], "feature_index int, feature_name string, feature_type string")
+    aliases = spark.createDataFrame([("g", 0, "x"), ("g", 1, "cd-4"), ("g", 2, "CD8"), ("g", 3, "CD_8"), (None, 0, "cd8")], "group string, alias_ix int, alias string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ct.resolve_features(catalogue, aliases)
+        got = sorted(((r["group"] or "", r["alias_ix"], r["alias"], r["feature_index"] or 0, r["feature_name"]) for r in found.collect()))
+        assert "BroadcastHashJoin [token" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("", 0, "cd8", 0, "CD8"), ("", 0, "cd8", 1, "CD-8"), ("", 0, "cd8", 2, "cd8"), ("g", 1, "cd-4", 0, "cd4"), ("g", 1, "cd-4", 2, "CD 4"), ("g", 2, "CD8", 1, "CD-8")]
