@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,13 +211,20 @@ def neighbours(
     return first.unionByName(finish(_pyramid_pairs(rest, sources, by, extent, k, radius)))
 
 
-def nearest_squares(sx: np.ndarray, sy: np.ndarray, qx: np.ndarray, qy: np.ndarray, leaf: int = 32) -> np.ndarray:
-    """Squared distance of every query to its nearest source: boxes of ``leaf`` sources, the closest one first."""
+def _packed(sx: np.ndarray, sy: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the sources that puts ``leaf`` close ones in a row, and where each leaf starts."""
     leaves = -(-len(sx) // leaf)
     width, height = np.ptp(sx), np.ptp(sy)
     strips = int(min(max(np.sqrt(leaves * width / height) if height > 0 else leaves, 1), leaves))
     by_x = np.argsort(sx, kind="stable")
     order = by_x[np.lexsort((sy[by_x], np.arange(len(sx)) * strips // len(sx)))]
+    return order, np.arange(leaves) * leaf
+
+
+def nearest_squares(sx: np.ndarray, sy: np.ndarray, qx: np.ndarray, qy: np.ndarray, leaf: int = 32) -> np.ndarray:
+    """Squared distance of every query to its nearest source: boxes of ``leaf`` sources, the closest one first."""
+    order, starts = _packed(sx, sy, leaf)
+    leaves = len(starts)
     order = np.append(order, np.repeat(order[-1:], leaves * leaf - len(order)))
     px, py = sx[order].reshape(leaves, leaf), sy[order].reshape(leaves, leaf)
     x0, x1, y0, y1 = px.min(1), px.max(1), py.min(1), py.max(1)
@@ -249,93 +257,187 @@ def _unit_distances(by: list[str]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def nearest_k(
+    sx: np.ndarray, sy: np.ndarray, rank: np.ndarray, qx: np.ndarray, qy: np.ndarray, k: int, radius: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, source and distance of the k nearest sources within ``radius``, by query, distance and rank of the source."""
+    leaf = max(32, k)
+    order, starts = _packed(sx, sy, leaf)
+    leaves, (ox, oy) = len(starts), (sx[order], sy[order])
+    px, py = (np.append(o, np.full(leaves * leaf - len(o), np.inf)).reshape(leaves, leaf) for o in (ox, oy))
+    x0, x1, y0, y1 = (f.reduceat(o, starts) for o in (ox, oy) for f in (np.minimum, np.maximum))
+    found, step = [], max(1, 250_000 // leaves)
+    for at in range(0, len(qx), step):
+        x, y = qx[at : at + step, None], qy[at : at + step, None]
+        dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
+        low = dx * dx + dy * dy
+        first = low.argmin(1)
+        bound = np.partition((x - px[first]) ** 2 + (y - py[first]) ** 2, k - 1, axis=1)[:, k - 1]
+        bound = np.minimum(bound, radius * radius) * (1 + 1e-12)
+        row, box = np.nonzero(low <= bound[:, None])
+        squares = (x[row] - px[box]) ** 2 + (y[row] - py[box]) ** 2
+        i, c = np.nonzero((squares <= bound[row][:, None]) & (squares < np.inf))
+        row, source, d = row[i], order[box[i] * leaf + c], np.sqrt(squares[i, c])
+        row, source, d = row[d <= radius], source[d <= radius], d[d <= radius]
+        sort = np.lexsort((rank[source], d, row))
+        row, source, d = row[sort], source[sort], d[sort]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[kept] + at, source[kept], d[kept]))
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _unit_nearest_k(by: list[str], values: list[str], k: int, radius: float, pairs: bool) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of one unit, or the means of the values for each query, NULL if a nearer source may lie outside of its tile."""
+    def run(rows: pa.Table) -> pa.Table:
+        source = rows.column("source").to_numpy()
+        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        held, asked = rows.filter(pa.array(source)), rows.filter(pa.array(~source)).select([*by, "x", "y", "edge"])
+        rank = np.empty(held.num_rows, np.int64)
+        rank[np.asarray(pc.array_sort_indices(held.column("sid").combine_chunks(), null_placement="at_start"))] = np.arange(held.num_rows)
+        if held.num_rows:
+            query, which, d = nearest_k(x[source], y[source], rank, x[~source], y[~source], k, radius)
+        else:
+            query, which, d = np.empty(0, int), np.empty(0, int), np.empty(0)
+        if pairs:
+            out = asked.take(pa.array(query)).append_column("d", pa.array(d))
+            for name in ["sid", *values]:
+                out = out.append_column(name, held.column(name).take(pa.array(which)))
+            return out
+        number = np.bincount(query, minlength=asked.num_rows)
+        last = np.zeros(asked.num_rows)
+        np.maximum.at(last, query, d)
+        reach = np.where(number < k, radius, last)
+        # A source on the border may win a tie by its id.
+        whole = reach < asked.column("edge").to_numpy()
+        out = asked.append_column("reach", pa.array(reach)).append_column("whole", pa.array(whole))
+        for name in values:
+            column = held.column(name).combine_chunks()
+            known = ~np.asarray(column.is_null())
+            amount = np.where(known, column.to_numpy(zero_copy_only=False), 0.0)
+            n = np.bincount(query, known[which].astype(float), asked.num_rows)
+            total = np.bincount(query, amount[which], asked.num_rows)
+            out = out.append_column(name, pa.array(total / np.where(n > 0, n, 1.0), mask=n == 0))
+        return out.append_column("have", pa.array(number))
+    return run
+
+
 def _at_most(cuts: str, value: str) -> str:
     """Number of entries of a sorted array that are no larger than a value."""
     steps = f"transform(sequence(length(bin(size({cuts}))) - 1, 0, -1), i -> shiftleft(1, i))"
     return f"aggregate({steps}, 0, (at, s) -> IF({value} >= get({cuts}, at + s - 1), at + s, at))"
 
 
-def _nearest_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
-    """Distance ``__d`` of every query (by, qx, qy) to the nearest source (by, sx, sy, ...); queries without one are absent.
+def _known(by: list[str], x: str, y: str) -> str:
+    return " AND ".join([f"{c} IS NOT NULL" for c in [*by, x, y]] + [f"NOT isnan({c})" for c in (x, y)])
+
+
+class _Tiles:
+    """Strips in x cut in y, with the sources (by, sx, sy, ...) of every tile.
 
     Cuts come from sources drawn by hash; they balance the work and never change a result.
     """
-    q = [*by, "qx", "qy"]
-    known = " AND ".join(f"{c} IS NOT NULL" for c in by) or "true"
-    queries = cut_lineage(queries.where(f"{known} AND qx IS NOT NULL AND qy IS NOT NULL AND NOT isnan(qx) AND NOT isnan(qy)"))
-    sources = cut_lineage(sources.where(f"{known} AND sx IS NOT NULL AND sy IS NOT NULL AND NOT isnan(sx) AND NOT isnan(sy)"))
-    spans = sources.groupBy(*by).agg((F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 0")
-    drawn = sources.where(F.pmod(F.xxhash64("sx", "sy"), F.lit(TILE // DRAWN)) == 0)
-    found = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("sx")).alias("xs"))
-    strips = spans.join(found, by, "left") if by else spans.crossJoin(found)
-    tiles = f"coalesce(size(xs), 0) / {DRAWN}"
-    strips = strips.selectExpr("*", f"CAST(ceil(size(xs) / greatest(1, least({tiles}, IF(h > 0, sqrt({tiles} * w / h), {tiles})))) AS INT) AS step")
-    strips = cut_lineage(strips.selectExpr(*by, "coalesce(array_distinct(filter(xs, (x, i) -> i > 0 AND i % step = 0)), array()) AS xs"))
-    number = strips.count()
-
-    def in_strips(df: DataFrame, x: str) -> DataFrame:
-        table = broadcast_if(strips, number)
-        joined = df.join(table, by) if by else df.crossJoin(F.broadcast(strips))
-        return joined.selectExpr(*df.columns, f"{_at_most('xs', x)} AS strip", "xs")
-
-    placed = in_strips(drawn, "sx").drop("xs")
-    rows = placed.groupBy(*by, "strip").agg(F.array_sort(F.collect_list("sy")).alias("ys"))
-    rows = cut_lineage(rows.selectExpr(*by, "strip", f"filter(ys, (y, i) -> i > 0 AND i % {DRAWN} = 0) AS ys"))
-    strip_rows = rows.count()
-
-    def in_tiles(df: DataFrame, y: str) -> DataFrame:
-        joined = df.join(broadcast_if(rows, strip_rows), [*by, "strip"], "left").withColumn("ys", F.expr("coalesce(ys, array())"))
-        return joined.selectExpr(*df.columns, f"{_at_most('ys', y)} AS tile", "ys")
-
-    def gap(cuts: str, at: str, value: str) -> str:
-        # get() is NULL beyond the first and last cut, where a tile has no border.
-        return f"least(coalesce({value} - get({cuts}, {at} - 1), double('infinity')), coalesce(get({cuts}, {at}) - {value}, double('infinity')))"
-
-    tile = [*by, "strip", "tile"]
-    mine = in_strips(queries, "qx").selectExpr(*q, "strip", f"{gap('xs', 'strip', 'qx')} AS edge")
-    mine = in_tiles(mine, "qy").selectExpr(*q, "strip", "tile", f"least(edge, {gap('ys', 'tile', 'qy')}) AS edge")
-    mine = cut_lineage(mine)
-    held = cut_lineage(in_tiles(in_strips(sources, "sx").select(*by, "sx", "sy", "strip"), "sy").select(*tile, "sx", "sy"))
-    fields = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in by] + ["x double", "y double", "edge double", "d double"])
-
-    def measured(asked: DataFrame) -> DataFrame:
+
+    def __init__(self, sources: DataFrame, by: list[str]) -> None:
+        self.by, self.q, self.tile = by, [*by, "qx", "qy"], [*by, "strip", "tile"]
+        self.sources = sources = cut_lineage(sources.where(_known(by, "sx", "sy")))
+        self.extra = [f for f in sources.schema.fields if f.name not in (*by, "sx", "sy")]
+        self.fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema.fields if f.name in by)
+        spans = sources.groupBy(*by).agg((F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 0")
+        drawn = sources.where(F.pmod(F.xxhash64("sx", "sy"), F.lit(TILE // DRAWN)) == 0).select(*by, "sx", "sy")
+        found = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("sx")).alias("xs"))
+        strips = spans.join(found, by, "left") if by else spans.crossJoin(found)
+        tiles = f"coalesce(size(xs), 0) / {DRAWN}"
+        strips = strips.selectExpr("*", f"CAST(ceil(size(xs) / greatest(1, least({tiles}, IF(h > 0, sqrt({tiles} * w / h), {tiles})))) AS INT) AS step")
+        self.strips = cut_lineage(strips.selectExpr(*by, "coalesce(array_distinct(filter(xs, (x, i) -> i > 0 AND i % step = 0)), array()) AS xs"))
+        self.number = self.strips.count()
+        placed = self.with_strips(drawn).selectExpr(*by, "sy", f"{_at_most('xs', 'sx')} AS strip")
+        rows = placed.groupBy(*by, "strip").agg(F.array_sort(F.collect_list("sy")).alias("ys"))
+        self.rows = cut_lineage(rows.selectExpr(*by, "strip", f"filter(ys, (y, i) -> i > 0 AND i % {DRAWN} = 0) AS ys"))
+        self.row_number = self.rows.count()
+        kept = [f.name for f in self.extra]
+        held = self.with_strips(sources).selectExpr(*by, "sx", "sy", *kept, f"{_at_most('xs', 'sx')} AS strip")
+        self.held = cut_lineage(self.with_rows(held).selectExpr(*by, "sx", "sy", *kept, "strip", f"{_at_most('ys', 'sy')} AS tile"))
+
+    def with_strips(self, df: DataFrame) -> DataFrame:
+        return df.join(broadcast_if(self.strips, self.number), self.by) if self.by else df.crossJoin(F.broadcast(self.strips))
+
+    def with_rows(self, df: DataFrame) -> DataFrame:
+        joined = df.join(broadcast_if(self.rows, self.row_number), [*self.by, "strip"], "left")
+        return joined.withColumn("ys", F.expr("coalesce(ys, array())"))
+
+    def own(self, queries: DataFrame) -> DataFrame:
+        """Tile of every query and ``edge``, its distance to the border of the tile."""
+        def gap(cuts: str, at: str, value: str) -> str:
+            # get() is NULL beyond the first and last cut, where a tile has no border.
+            return f"least(coalesce({value} - get({cuts}, {at} - 1), double('infinity')), coalesce(get({cuts}, {at}) - {value}, double('infinity')))"
+
+        mine = self.with_strips(queries.where(_known(self.by, "qx", "qy"))).selectExpr(*self.q, "xs", f"{_at_most('xs', 'qx')} AS strip")
+        mine = self.with_rows(mine.selectExpr(*self.q, "strip", f"{gap('xs', 'strip', 'qx')} AS edge"))
+        mine = mine.selectExpr(*self.q, "strip", "edge", "ys", f"{_at_most('ys', 'qy')} AS tile")
+        return cut_lineage(mine.selectExpr(*self.q, "strip", "tile", f"least(edge, {gap('ys', 'tile', 'qy')}) AS edge"))
+
+    def met(self, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Tiles met by the circle of radius ``reach`` around each query, and the queries that meet too many or know no radius."""
+        q, reach = self.q, "reach * (1D + 1e-9D)"
+        wide = self.with_strips(rest).selectExpr(*q, "reach", f"{_at_most('xs', f'qx - {reach}')} AS s0", f"{_at_most('xs', f'qx + {reach}')} AS s1")
+        wide = cut_lineage(wide)
+        near = wide.where(f"reach IS NOT NULL AND s1 - s0 < {MEETS}").selectExpr(*q, "reach", "explode(sequence(s0, s1)) AS strip")
+        near = cut_lineage(self.with_rows(near).selectExpr(
+            *q, "reach", "strip", f"{_at_most('ys', f'qy - {reach}')} AS t0", f"{_at_most('ys', f'qy + {reach}')} AS t1"
+        ))
+        few = cut_lineage(near.groupBy(*q).agg(F.sum(F.expr("t1 - t0 + 1")).alias("__t")).where(f"__t <= {MEETS * MEETS}").drop("__t"))
+        again = near.join(few, q, "left_semi").selectExpr(*q, "strip", "explode(sequence(t0, t1)) AS tile", "reach AS edge")
+        return cut_lineage(again), cut_lineage(wide.select(*q).join(few, q, "left_anti"))
+
+    def measured(self, asked: DataFrame, function: Callable[[pa.Table], pa.Table], columns: str) -> DataFrame:
         """Units of a tile share its sources, so a tile with very many queries is spread over tasks."""
+        tile = self.tile
         units = asked.groupBy(*tile).agg(F.expr(f"CAST((count(1) + {UNIT - 1}) DIV {UNIT} AS INT)").alias("units"))
         units = cut_lineage(units)
         table = broadcast_if(units, units.count())
-        split = asked.join(table, tile).selectExpr(*tile, "CAST(pmod(xxhash64(qx, qy), units) AS INT) AS unit", "qx AS x", "qy AS y", "edge", "false AS source")
-        copies = held.join(table, tile).selectExpr(*tile, "explode(sequence(0, units - 1)) AS unit", "sx AS x", "sy AS y", "CAST(NULL AS DOUBLE) AS edge", "true AS source")
-        got = split.unionByName(copies).groupBy(*tile, "unit").applyInArrow(_unit_distances(by), schema)
-        return got.withColumnsRenamed({"x": "qx", "y": "qy", "d": "__d"})
-
-    first = cut_lineage(measured(mine))
-    done = first.where("__d <= edge").select(*q, "__d")
-    rest = first.where("__d IS NULL OR __d > edge").select(*q, "__d")
-    # Tiles met by the circle of the distance found so far.
-    reach = "__d * (1D + 1e-9D)"
-    table = broadcast_if(strips, number)
-    wide = (rest.join(table, by) if by else rest.crossJoin(F.broadcast(strips))).selectExpr(
-        *q, "__d", f"{_at_most('xs', f'qx - {reach}')} AS s0", f"{_at_most('xs', f'qx + {reach}')} AS s1"
-    )
-    wide = cut_lineage(wide)
-    near = wide.where(f"__d IS NOT NULL AND s1 - s0 < {MEETS}").selectExpr(*q, "__d", "explode(sequence(s0, s1)) AS strip")
-    near = near.join(broadcast_if(rows, strip_rows), [*by, "strip"], "left").withColumn("ys", F.expr("coalesce(ys, array())")).selectExpr(
-        *q, "__d", "strip", f"{_at_most('ys', f'qy - {reach}')} AS t0", f"{_at_most('ys', f'qy + {reach}')} AS t1"
-    )
-    near = cut_lineage(near)
-    few = near.groupBy(*q).agg(F.sum(F.expr("t1 - t0 + 1")).alias("__t")).where(f"__t <= {MEETS * MEETS}").drop("__t")
-    few = cut_lineage(few)
-    again = near.join(few, q, "left_semi").selectExpr(*q, "strip", "explode(sequence(t0, t1)) AS tile", "__d AS edge")
-    second = measured(again).groupBy(*q).agg(F.min("__d").alias("__d"))
-    left = cut_lineage(wide.select(*q).join(few, q, "left_anti"))
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.extra]
+        split = asked.join(table, tile).select(*tile, F.expr("CAST(pmod(xxhash64(qx, qy), units) AS INT)").alias("unit"), F.col("qx").alias("x"), F.col("qy").alias("y"), "edge", F.lit(False).alias("source"), *none)
+        copies = self.held.join(table, tile).selectExpr(
+            *tile, "explode(sequence(0, units - 1)) AS unit", "sx AS x", "sy AS y", "CAST(NULL AS DOUBLE) AS edge", "true AS source", *[f.name for f in self.extra]
+        )
+        schema = ", ".join([*([self.fields] if self.fields else []), "x double", "y double", "edge double", columns])
+        got = split.unionByName(copies).groupBy(*tile, "unit").applyInArrow(function, schema)
+        return got.withColumnsRenamed({"x": "qx", "y": "qy"})
+
+
+def _nearest_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
+    """Distance ``__d`` of every query (by, qx, qy) to the nearest source (by, sx, sy, ...); queries without one are absent."""
+    queries, tiles = cut_lineage(queries), _Tiles(sources.select(*by, "sx", "sy"), by)
+    q = tiles.q
+    first = cut_lineage(tiles.measured(tiles.own(queries), _unit_distances(by), "d double"))
+    done = first.where("d <= edge").select(*q, F.col("d").alias("__d"))
+    again, left = tiles.met(first.where("d IS NULL OR d > edge").select(*q, F.col("d").alias("reach")))
+    second = tiles.measured(again, _unit_distances(by), "d double").groupBy(*q).agg(F.min("d").alias("__d"))
     result = done.unionByName(second)
     if left.isEmpty():
         return result
-    far = _pyramid_pairs(left, sources, by, _Extent(sources, by), 1, None).groupBy(*q).agg(F.min("d").alias("__d"))
+    extent = _Extent(tiles.sources, by)
+    far = _pyramid_pairs(left, tiles.sources.withColumn("w", F.lit(1)), by, extent, 1, None).groupBy(*q).agg(F.min("d").alias("__d"))
     return result.unionByName(far)
 
 
+def _means_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], values: list[str], k: int, radius: float, finish: Finish) -> DataFrame:
+    """Means of ``values`` over the k nearest sources within ``radius``; ``finish`` does the same for pairs in Spark."""
+    queries, tiles = cut_lineage(queries), _Tiles(sources, by)
+    q, means = tiles.q, ", ".join(f"{v} double" for v in values)
+    first = tiles.measured(tiles.own(queries), _unit_nearest_k(by, values, k, radius, False), f"reach double, whole boolean, {means}, have long")
+    first = cut_lineage(first)
+    done = first.where("whole AND have > 0").select(*q, *values)
+    again, left = tiles.met(first.where("NOT whole").select(*q, "reach"))
+    sid = next(f.dataType.simpleString() for f in tiles.extra if f.name == "sid")
+    pairs = tiles.measured(again, _unit_nearest_k(by, values, k, radius, True), f"d double, sid {sid}, {means}").drop("edge")
+    result = done.unionByName(finish(pairs.withColumn("complete", F.lit(True))).select(*q, *values))
+    if left.isEmpty():
+        return result
+    far = _pyramid_pairs(left, tiles.sources, by, _Extent(tiles.sources, by), k, radius)
+    return result.unionByName(finish(far).select(*q, *values))
+
+
 def _keys(by: Sequence[str]) -> list[str]:
     """Internal names of the group columns, so that callers may use any column names."""
     return [f"__b{i}" for i in range(len(by))]
@@ -414,14 +516,14 @@ def knn_local_mean(
     cell_id: str = "cell_id", x: str = "x", y: str = "y", suffix: str = "_local",
 ) -> DataFrame:
     """Mean of ``values`` over the k nearest rows (itself included) within ``radius``; ties by id."""
-    q = [*_keys(by), "qx", "qy"]
+    q, columns = [*_keys(by), "qx", "qy"], [f"__v{i}" for i in range(len(values))]
     cells = materialised(cells)
     at_point = Window.partitionBy(*_keys(by), "sx", "sy").orderBy("sid")
     # Rows beyond the k lowest ids of one coordinate can never be among the k nearest of any point.
     sources = (
         cells.select(
             *_renamed(by), F.col(x).cast("double").alias("sx"), F.col(y).cast("double").alias("sy"),
-            F.col(cell_id).alias("sid"), *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)],
+            F.col(cell_id).alias("sid"), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)],
         )
         .withColumn("__rn", F.row_number().over(at_point))
         .where(F.col("__rn") <= k)
@@ -433,9 +535,10 @@ def knn_local_mean(
         order = Window.partitionBy(*q).orderBy("d", "sid")
         best = pairs.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= k)
         return best.groupBy(*q).agg(
-            *[F.avg(f"__v{i}").alias(v + suffix) for i, v in enumerate(values)],
+            *[F.avg(v).alias(v) for v in columns],
             F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete"),
         )
 
-    found = neighbours(_query_points(cells, by, x, y), sources, _keys(by), k, radius, finish)
+    found = _means_in_tiles(_query_points(cells, by, x, y), sources, _keys(by), columns, k, radius, finish)
+    found = found.withColumnsRenamed({c: v + suffix for c, v in zip(columns, values)})
     return _join_back(cells, found, by, x, y, [v + suffix for v in values])

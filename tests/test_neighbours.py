@@ -107,3 +107,18 @@ def test_nearest_asks_each_query_once(spark, monkeypatch):
     squares = nb.nearest_squares(frame.x.values, frame.y.values, frame.x.values + 0.3, frame.y.values, 4)
     moved = frame.assign(x=frame.x + 0.3)
     np.testing.assert_allclose(np.sqrt(squares), distances(moved, frame).min(axis=1))
+
+
+@pytest.mark.parametrize("kind,meets", [*[(k, 16) for k in KINDS], ("uniform", 0), ("one coordinate", 0)])
+def test_knn_mean_over_small_tiles_equals_brute_force(spark, kind, meets, monkeypatch):
+    for name, value in {"TILE": 32, "UNIT": 8, "MEETS": meets}.items():
+        monkeypatch.setattr(nb, name, value)
+    frame = cloud(kind, 400).round({"x": 0, "y": 0}) if kind == "uniform" else cloud(kind, 400)
+    frame["name"] = "c" + frame.cell_id.astype(str)
+    got = nb.knn_local_mean(spark.createDataFrame(frame), ["s", "fov"], 10, 8.0, cell_id="name").toPandas().set_index("cell_id")[["s_local", "fov_local"]].sort_index()
+    d = distances(frame, frame)
+    want = []
+    for i in range(len(frame)):
+        best = [j for j in sorted(range(len(frame)), key=lambda j: (d[i, j], frame["name"][j])) if d[i, j] <= 8.0][:10]
+        want.append([np.mean(frame.s[best]), np.mean(frame.fov[best])])
+    np.testing.assert_allclose(got.values, want, atol=1e-9)
