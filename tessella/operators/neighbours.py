@@ -321,6 +321,20 @@ def _unit_nearest_k(by: list[str], values: list[str], k: int, radius: float, pai
     return run
 
 
+def _unit_weights(by: list[str], k: int, radius: float) -> Callable[[pa.Table], pa.Table]:
+    """Queries of one unit with the weight of the sources of its tile within ``radius``; from ``k`` on it may be too small, never below ``k``."""
+    def run(rows: pa.Table) -> pa.Table:
+        source = rows.column("source").to_numpy()
+        x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+        held, asked = rows.filter(pa.array(source)), rows.filter(pa.array(~source)).select([*by, "x", "y", "edge"])
+        have = np.zeros(asked.num_rows)
+        if held.num_rows and len(have):
+            query, which, _ = nearest_k(x[source], y[source], np.arange(held.num_rows), x[~source], y[~source], k, radius)
+            have = np.bincount(query, held.column("w").to_numpy()[which], len(have))
+        return asked.append_column("have", pa.array(have.astype(np.int64)))
+    return run
+
+
 def _at_most(cuts: str, value: str) -> str:
     """Number of entries of a sorted array that are no larger than a value."""
     steps = f"transform(sequence(length(bin(size({cuts}))) - 1, 0, -1), i -> shiftleft(1, i))"
@@ -438,6 +452,21 @@ def _means_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], value
     return result.unionByName(finish(far).select(*q, *values))
 
 
+def _weights_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], k: int, radius: float) -> DataFrame:
+    """Weight ``have`` of the sources (by, sx, sy, w) within ``radius`` of every query, exact below ``k``; some queries without any are absent."""
+    queries, tiles = cut_lineage(queries), _Tiles(sources, by)
+    q, count = tiles.q, _unit_weights(by, k, radius)
+    first = cut_lineage(tiles.measured(tiles.own(queries), count, "have long"))
+    settled = f"have >= {k} OR edge > {float(radius)!r}D"
+    done = first.where(settled).select(*q, "have")
+    again, left = tiles.met(first.where(f"NOT ({settled})").select(*q, F.lit(float(radius)).alias("reach")))
+    result = done.unionByName(tiles.measured(again, count, "have long").groupBy(*q).agg(F.sum("have").alias("have")))
+    if left.isEmpty():
+        return result
+    far = _pyramid_pairs(left, tiles.sources, by, _Extent(tiles.sources, by), k, radius)
+    return result.unionByName(far.groupBy(*q).agg(F.sum("w").alias("have")))
+
+
 def _keys(by: Sequence[str]) -> list[str]:
     """Internal names of the group columns, so that callers may use any column names."""
     return [f"__b{i}" for i in range(len(by))]
@@ -490,13 +519,10 @@ def radius_density(
     x: str = "x", y: str = "y", out: str = "density",
 ) -> DataFrame:
     """Share of the ``k = min(limit, number of sources)`` nearest sources that lie within ``radius``."""
-    q = [*_keys(by), "qx", "qy"]
     cells, sources = materialised(cells), materialised(sources)
     totals = sources.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
-    found = neighbours(
-        _query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), _keys(by), limit, radius,
-        lambda pairs: pairs.groupBy(*q).agg(F.sum("w").alias("have"), F.bool_or("complete").alias("complete")),
-    ).withColumnRenamed("have", "__have")
+    found = _weights_in_tiles(_query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), _keys(by), limit, radius)
+    found = found.withColumnRenamed("have", "__have")
     joined = _join_back(cells, found, by, x, y, ["__have"])
     if by:
         keyed = totals.select(*[F.col(b).alias("__t_" + b) for b in by], "__k")

@@ -122,3 +122,23 @@ def test_knn_mean_over_small_tiles_equals_brute_force(spark, kind, meets, monkey
         best = [j for j in sorted(range(len(frame)), key=lambda j: (d[i, j], frame["name"][j])) if d[i, j] <= 8.0][:10]
         want.append([np.mean(frame.s[best]), np.mean(frame.fov[best])])
     np.testing.assert_allclose(got.values, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("kind,meets", [*[(k, 16) for k in KINDS], ("uniform", 0), ("outlier", 0)])
+def test_density_over_small_tiles_equals_brute_force(spark, kind, meets, monkeypatch):
+    """Counts come from tiles; the pairs of nine cells a query, joined before anything is counted, are gone."""
+    asked = []
+    kept = nb._unit_weights
+    monkeypatch.setattr(nb, "_unit_weights", lambda *args: asked.append(args) or kept(*args))
+    for name, value in {"TILE": 32, "UNIT": 8, "MEETS": meets}.items():
+        monkeypatch.setattr(nb, name, value)
+    frame = cloud(kind, 800)
+    cells = spark.createDataFrame(frame)
+    got = nb.radius_density(cells, cells.where("src AND fov < 2"), 5.0, 12, by=["fov"]).toPandas().set_index("cell_id")["density"].sort_index()
+    for fov in (0, 1):
+        part = frame[frame.fov == fov]
+        number = min(12, int(part.src.sum()))
+        within = (distances(part, part[part.src]) <= 5.0).sum(axis=1)
+        np.testing.assert_allclose(got[part.cell_id].values, np.minimum(within, number) / number)
+    assert (got[frame.cell_id[frame.fov == 2]] == 0.0).all()
+    assert asked
