@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import uniform
 from tessella.operators.distance import grid_nearest
 from tessella.operators.order import summarise
-from tessella.session import attach, cut_lineage
+from tessella.session import attach, cut_lineage, deal, materialised
 
 RUN = 4096
 #: Cells that a polygon's edges take, for each edge.
@@ -306,6 +306,7 @@ def label_grid(grid: DataFrame, vertices: DataFrame, feature: str, by_id: Sequen
 
 def jitter_resample(cells: DataFrame, grid: DataFrame, value: str, threshold: float, size: int, cell_id: str, by: Sequence[str] = (), draws: int = 25, seed: int = 17) -> DataFrame:
     """Spread of the share at or above ``threshold`` when every cell moves by -1, 0 or 1 per axis."""
+    cells = deal(materialised(cells.select(*by, "row", "col", cell_id)), draws)
     drawn = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
     def moved(axis: str) -> Column:

@@ -194,3 +194,19 @@ def test_later_feature_wins_and_hole_clears(spark):
 def test_small_grid_is_rejected(spark):
     with pytest.raises(ValueError):
         ge.rasterise_cells(spark.createDataFrame([(0.0, 0.0)], "x double, y double"), 4)
+
+
+def test_jitter_draws_are_made_by_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessella import session
+
+    cells = spark.range(0, 300, 1, 1).selectExpr("id AS cell_id", "CAST(id % 16 AS INT) AS row", "CAST(id * 7 % 16 AS INT) AS col")
+    grid = spark.range(256).selectExpr("CAST(id DIV 16 AS INT) AS row", "CAST(id % 16 AS INT) AS col", "id / 256 AS target")
+    one = [tuple(r) for r in ge.jitter_resample(cells, grid, "target", 0.45, 16, "cell_id").collect()]
+    dealt = []
+    kept = ge.deal
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    monkeypatch.setattr(ge, "deal", lambda df, copies: dealt.append(kept(df, copies)) or dealt[-1])
+    assert [tuple(r) for r in ge.jitter_resample(cells, grid, "target", 0.45, 16, "cell_id").collect()] == one
+    assert dealt[0].withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
