@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import effective_diffusion, failed_conditions, joined, row_status, uniform
 from tessella.operators.order import summarise, value_positions
 from tessella.operators.scaling import minmax_scale
-from tessella.session import BROADCAST_ROWS_DEFAULT, attach, materialised
+from tessella.session import BROADCAST_ROWS_DEFAULT, attach, deal, materialised
 from tessella.sources.quality import DataQualityError
 
 COMPONENTS = ("coverage", "proximity", "near_source")
@@ -142,8 +142,10 @@ def sobol_design(samples: DataFrame, ranges: DataFrame, seed: int, sample: str =
 
     Matrix ``AB:p`` takes parameter p from B and everything else from A.
     """
+    ranges = materialised(ranges)
     names = check_ranges(ranges).groupBy().agg(F.array_sort(F.collect_list(F.struct("name", "low", "high", "distribution"))).alias("__p"))
-    spread = attach(samples.select(sample), names)
+    number = ranges.count()
+    spread = attach(deal(materialised(samples.select(sample)), number * (number + 2)), names)
     matrices = F.concat(F.array(F.lit("A"), F.lit("B")), F.transform("__p", lambda p: F.concat(F.lit("AB:"), p["name"])))
     rows = spread.select(sample, F.explode(matrices).alias("matrix"), "__p").select(sample, "matrix", F.inline("__p"))
     from_b = (F.col("matrix") == "B") | (F.col("matrix") == F.concat(F.lit("AB:"), F.col("name")))

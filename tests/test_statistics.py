@@ -228,3 +228,18 @@ def test_barrier_penalties_by_hand(spark):
     assert got[1]["vascular_distance"] == pytest.approx(1600 / 200) and got[1]["matrix_fibroblast"] == 0 and got[1]["binding_site"] == pytest.approx(0.08 * 1600 / 16)
     assert got[2]["vascular_distance"] == pytest.approx(64.0) and got[2]["binding_site"] == 0
     assert un.barrier_attribution(un.barrier_penalties(cells, draws, ["g"], 5.0), ["g"]).count() == 1
+
+
+def test_design_is_made_by_several_tasks(spark, monkeypatch):
+    """One split of samples was one task for all rows of the design, and one hash table for its sums."""
+    from tessella import session
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000, raising=False)
+    ranges = spark.createDataFrame([(n, 0.0, 1.0, "uniform") for n in "abc"], "name string, low double, high double, distribution string")
+    samples = spark.range(0, 400, 1, 1).withColumnRenamed("id", "sample")
+    design = un.sobol_design(samples, ranges, 17)
+    assert design.count() == 400 * 5 * 3
+    assert design.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 6
+    monkeypatch.setattr(session, "ROWS_A_TASK", 10**9)
+    whole = un.sobol_design(samples, ranges, 17)
+    assert design.exceptAll(whole).isEmpty() and whole.exceptAll(design).isEmpty()
