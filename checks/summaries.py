@@ -164,12 +164,18 @@ rks AS (SELECT sample_left, sample_right, """ + avg_rank("l", "sample_left, samp
 stab AS (SELECT sample_left, sample_right, count(*) AS targets_compared, CASE WHEN count(*) >= 3 AND stddev_pop(rl) > 0 AND stddev_pop(rr) > 0 THEN corr(rl, rr) END AS rho FROM rks GROUP BY ALL)"""
 
 
-def geometry(spark, folder):
-    cells = table(spark, folder, "events").selectExpr(
+def field_cells(spark, folder):
+    return table(spark, folder, "events").selectExpr(
         "event_type AS sample", "user_id % 10 AS fov", "CAST(user_id AS DOUBLE) AS x", "value AS y", "CAST(value > 60 AS INT) AS m1", "CAST(user_id % 5 = 0 AS INT) AS m2",
         "CAST(user_id % 7 = 0 AS INT) AS m3", "CAST(value > 90 AS INT) AS m4", "value - 60 AS ta", "user_id % 4 AS tb", "5 - user_id % 8 AS tc",
     )
-    return su.relative_geometry(cells, ["m1", "m2", "m3", "m4"], {"inclusive": 2, "balanced": 3, "strict": 4}, ["ta", "tb", "tc"])
+
+
+MARKERS, REQUIRED = ["m1", "m2", "m3", "m4"], {"inclusive": 2, "balanced": 3, "strict": 4}
+
+
+def geometry(spark, folder):
+    return su.relative_geometry(field_cells(spark, folder), MARKERS, REQUIRED, ["ta", "tb", "tc"])
 
 
 @register("relative_geometry", f"WITH {FIELD} SELECT sample, definition, target, cells, positive_cells, positive_with_distance, " + ", ".join(f"round({m}, 6) AS {m}" for m in ("positive_fraction", "within_25px", "within_100px", "median_distance_px", "q90_distance_px")) + " FROM geo")
@@ -179,7 +185,7 @@ def relative_geometry(spark, folder):
 
 @register("relative_geometry_definitions", f"WITH {FIELD} SELECT sample, definition, CAST(required AS INT) AS required, count(*) FILTER (WHERE proxy) AS proxy_cells, round(avg(CAST(proxy AS INT)), 6) AS proxy_fraction, count(DISTINCT CASE WHEN proxy THEN fov END) AS fovs_with_proxy FROM fd GROUP BY ALL")
 def geometry_definitions(spark, folder):
-    return rounded(geometry(spark, folder)[1], "proxy_fraction")
+    return rounded(su.definition_table(sc.marker_count_call(field_cells(spark, folder), MARKERS, REQUIRED)), "proxy_fraction")
 
 
 @register("definition_ratio", f"WITH {FIELD} SELECT sample, target, " + ", ".join(f"round({m}, 6) AS {m}" for m in ("minimum_median", "maximum_median", "minimum_near", "maximum_near", "definition_distance_ratio")) + " FROM ratio")

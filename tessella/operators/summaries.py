@@ -144,10 +144,6 @@ def relative_geometry(
     called = materialised(marker_count_call(cells, markers, definitions))
     keys = [sample, "definition"]
     measured = cut_lineage(nearest_distance(called, called.where("proxy"), [sample, "definition", fov], x, y, "__d"))
-    table = measured.groupBy(*keys, "required").agg(
-        F.count_if("proxy").alias("proxy_cells"), share(F.col("proxy")).alias("proxy_fraction"),
-        F.count_distinct(F.when(F.col("proxy"), F.col(fov))).alias("fovs_with_proxy"),
-    )
     signals = F.array(*[F.struct(F.lit(t).alias("target"), (F.col(t) > 0).alias("hit")) for t in targets])
     rows = measured.select(*keys, "__d", F.inline(signals))
     d = F.when(F.col("hit"), F.col("__d"))
@@ -155,7 +151,15 @@ def relative_geometry(
         F.count(F.lit(1)).alias("cells"), F.count_if("hit").alias("positive_cells"), share(F.col("hit")).alias("positive_fraction"),
         F.count(d).alias("positive_with_distance"), share(d <= 25).alias("within_25px"), share(d <= 100).alias("within_100px"),
     ], {"median_distance_px": (d, 0.5), "q90_distance_px": (d, 0.9)})
-    return geometry, table
+    return geometry, definition_table(called, sample, fov)
+
+
+def definition_table(called: DataFrame, sample: str = "sample", fov: str = "fov") -> DataFrame:
+    """Proxy cells of every definition per sample, from the rows of ``marker_count_call``; needs no distances."""
+    return called.groupBy(sample, "definition", "required").agg(
+        F.count_if("proxy").alias("proxy_cells"), share(F.col("proxy")).alias("proxy_fraction"),
+        F.count_distinct(F.when(F.col("proxy"), F.col(fov))).alias("fovs_with_proxy"),
+    )
 
 
 def definition_ratio(geometry: DataFrame, by: Sequence[str] = ("sample", "target"), median: str = "median_distance_px", near: str = "within_100px") -> DataFrame:
