@@ -12,7 +12,7 @@ from tessella.operators.neighbours import nearest_distance
 from tessella.operators.order import spearman, summarise
 from tessella.operators.pixels import image_mode, mask_distance, structural_mask
 from tessella.operators.scaling import calibrate_threshold, marker_count_call, reference_positive
-from tessella.session import attach, cut_lineage, materialised
+from tessella.session import attach, cut_lineage, deal, materialised
 
 
 def share(condition: Column) -> Column:
@@ -141,7 +141,7 @@ def relative_geometry(
     sample: str = "sample", fov: str = "fov", x: str = "x", y: str = "y",
 ) -> tuple[DataFrame, DataFrame]:
     """Target geometry and definition tables per sample, distances within each field of view."""
-    called = materialised(marker_count_call(cells, markers, definitions))
+    called = materialised(marker_count_call(deal(materialised(cells), len(definitions)), markers, definitions))
     keys = [sample, "definition"]
     measured = cut_lineage(nearest_distance(called, called.where("proxy"), [sample, "definition", fov], x, y, "__d"))
     signals = F.array(*[F.struct(F.lit(t).alias("target"), (F.col(t) > 0).alias("hit")) for t in targets])
