@@ -250,6 +250,7 @@ def image_definition_sensitivity(
     """
     named = F.array(*[F.struct(F.lit(n).alias("definition"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()])
     cells = materialised(cells.withColumn("__neg", negative).withColumn("__tumour", F.coalesce(tumour, F.lit(False))))
+    cells = cut_lineage(deal(cells, len(quantiles)))
     level = summarise(cells, [], [], {n: (F.when(F.col("__neg"), F.col(sample)), q) for n, q in quantiles.items()})
     levels = level.select(F.inline(F.array(*[F.struct(F.lit(n).alias("definition"), F.col(n).alias("threshold")) for n in quantiles])))
     every = attach(pixels.select("row", "col", value, (F.lit(True) if valid is None else valid).alias("__ok"), F.inline(named)).drop("q"), levels, ["definition"])

@@ -36,3 +36,9 @@ def test_field_cells_are_dealt_before_the_definitions(spark, monkeypatch):
     dealt = spied(monkeypatch)
     su.relative_geometry(queries.field_cells(spark, SMALL), queries.MARKERS, queries.REQUIRED, ["ta"])
     assert tasks(dealt[0]) >= 8
+
+
+def test_image_cells_are_dealt_before_the_definitions(spark, monkeypatch):
+    dealt = spied(monkeypatch)
+    assert queries.image_sensitivity(spark, SMALL).count() == 6
+    assert tasks(dealt[0]) >= 8
