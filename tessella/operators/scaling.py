@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import clip
 from tessella.operators.order import summarise
-from tessella.session import attach, materialised
+from tessella.session import attach, attach_few, materialised
 
 
 def robust_scale(df: DataFrame, values: Mapping[str, str], by: Sequence[str] = (), lower: float = 0.05, upper: float = 0.99) -> DataFrame:
@@ -95,7 +95,7 @@ def with_threshold(df: DataFrame, value: str, low: float, high: float, out: str,
     """Add the Otsu threshold of ``value``, clipped to [low, high], as a column."""
     df = materialised(df)
     found = otsu_threshold(df, value, by, out="__t")
-    return attach(df, found.select(*by, clip(F.col("__t"), low, high).alias(out)), by)
+    return attach_few(df, found.select(*by, clip(F.col("__t"), low, high).alias(out)), by)
 
 
 def vessel_call(
@@ -196,7 +196,7 @@ def reference_positive(df: DataFrame, value: str, by: Sequence[str] = (), out: s
     """Robust scale, unclipped Otsu, positive at or above it."""
     scaled = materialised(robust_scale(df, {value: "__scaled"}, by))
     found = otsu_threshold(scaled, "__scaled", by, out="reference_threshold")
-    called = attach(scaled, found, by)
+    called = attach_few(scaled, found, by)
     return called.withColumn(out, F.col("__scaled") >= F.col("reference_threshold")).drop("__scaled")
 
 

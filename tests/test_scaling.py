@@ -68,3 +68,16 @@ def test_vessel_call_falls_back_when_nearly_empty(spark):
 def test_few_markers_are_rejected(spark):
     with pytest.raises(ValueError):
         sc.marker_count_call(spark.range(1), ["a", "b", "c"], {"x": 1})
+
+
+def test_target_call_keeps_a_target_spread_over_tasks(spark):
+    """The threshold of a target was joined by a shuffle that sent all its cells to one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 4000, 1, 8).selectExpr("id AS cell_id", "IF(id % 10 = 0, 'b', 'a') AS target", "id / 4000 AS raw")
+        called = sc.target_call(rows).withColumn("task", F.spark_partition_id())
+        assert called.where("target = 'a'").select("task").distinct().count() >= 4
+        assert called.where("raw_threshold IS NULL").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
