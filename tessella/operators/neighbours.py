@@ -35,6 +35,8 @@ TILE = 8192
 DRAWN = 16
 UNIT = 65_536
 MEETS = 16
+#: Numbers of one array of a search within a tile: few, so that arrays stay in the cache and memory is used again.
+HELD = 60_000
 Finish = Callable[[DataFrame], DataFrame]
 DISTANCE = "sqrt((qx - sx) * (qx - sx) + (qy - sy) * (qy - sy)) AS d"
 
@@ -217,7 +219,8 @@ def _packed(sx: np.ndarray, sy: np.ndarray, leaf: int) -> tuple[np.ndarray, np.n
     width, height = np.ptp(sx), np.ptp(sy)
     strips = int(min(max(np.sqrt(leaves * width / height) if height > 0 else leaves, 1), leaves))
     by_x = np.argsort(sx, kind="stable")
-    order = by_x[np.lexsort((sy[by_x], np.arange(len(sx)) * strips // len(sx)))]
+    # Strips of whole leaves: a leaf that held the end of one strip and the start of the next would be as high as both.
+    order = by_x[np.lexsort((sy[by_x], np.arange(len(sx)) // (-(-leaves // strips) * leaf)))]
     return order, np.arange(leaves) * leaf
 
 
@@ -228,7 +231,7 @@ def nearest_squares(sx: np.ndarray, sy: np.ndarray, qx: np.ndarray, qy: np.ndarr
     order = np.append(order, np.repeat(order[-1:], leaves * leaf - len(order)))
     px, py = sx[order].reshape(leaves, leaf), sy[order].reshape(leaves, leaf)
     x0, x1, y0, y1 = px.min(1), px.max(1), py.min(1), py.max(1)
-    out, step = np.empty(len(qx)), max(1, 1_000_000 // leaves)
+    out, step = np.empty(len(qx)), max(1, HELD // leaves)
     for at in range(0, len(qx), step):
         x, y = qx[at : at + step, None], qy[at : at + step, None]
         dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
@@ -266,7 +269,7 @@ def nearest_k(
     leaves, (ox, oy) = len(starts), (sx[order], sy[order])
     px, py = (np.append(o, np.full(leaves * leaf - len(o), np.inf)).reshape(leaves, leaf) for o in (ox, oy))
     x0, x1, y0, y1 = (f.reduceat(o, starts) for o in (ox, oy) for f in (np.minimum, np.maximum))
-    found, step = [], max(1, 250_000 // leaves)
+    found, step = [], max(1, HELD // leaves)
     for at in range(0, len(qx), step):
         x, y = qx[at : at + step, None], qy[at : at + step, None]
         dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
@@ -419,9 +422,9 @@ class _Tiles:
         return got.withColumnsRenamed({"x": "qx", "y": "qy"})
 
 
-def _nearest_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str]) -> DataFrame:
+def _nearest_in_tiles(queries: DataFrame, sources: DataFrame | _Tiles, by: list[str]) -> DataFrame:
     """Distance ``__d`` of every query (by, qx, qy) to the nearest source (by, sx, sy, ...); queries without one are absent."""
-    queries, tiles = cut_lineage(queries), _Tiles(sources.select(*by, "sx", "sy"), by)
+    queries, tiles = materialised(queries), sources if isinstance(sources, _Tiles) else _Tiles(sources.select(*by, "sx", "sy"), by)
     q = tiles.q
     first = cut_lineage(tiles.measured(tiles.own(queries), _unit_distances(by), "d double"))
     done = first.where("d <= edge").select(*q, F.col("d").alias("__d"))
@@ -437,7 +440,7 @@ def _nearest_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str]) ->
 
 def _means_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], values: list[str], k: int, radius: float, finish: Finish) -> DataFrame:
     """Means of ``values`` over the k nearest sources within ``radius``; ``finish`` does the same for pairs in Spark."""
-    queries, tiles = cut_lineage(queries), _Tiles(sources, by)
+    queries, tiles = materialised(queries), _Tiles(sources, by)
     q, means = tiles.q, ", ".join(f"{v} double" for v in values)
     first = tiles.measured(tiles.own(queries), _unit_nearest_k(by, values, k, radius, False), f"reach double, whole boolean, {means}, have long")
     first = cut_lineage(first)
@@ -452,9 +455,9 @@ def _means_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], value
     return result.unionByName(finish(far).select(*q, *values))
 
 
-def _weights_in_tiles(queries: DataFrame, sources: DataFrame, by: list[str], k: int, radius: float) -> DataFrame:
+def _weights_in_tiles(queries: DataFrame, sources: DataFrame | _Tiles, by: list[str], k: int, radius: float) -> DataFrame:
     """Weight ``have`` of the sources (by, sx, sy, w) within ``radius`` of every query, exact below ``k``; some queries without any are absent."""
-    queries, tiles = cut_lineage(queries), _Tiles(sources, by)
+    queries, tiles = materialised(queries), sources if isinstance(sources, _Tiles) else _Tiles(sources, by)
     q, count = tiles.q, _unit_weights(by, k, radius)
     first = cut_lineage(tiles.measured(tiles.own(queries), count, "have long"))
     settled = f"have >= {k} OR edge > {float(radius)!r}D"
@@ -523,7 +526,11 @@ def radius_density(
     totals = sources.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
     found = _weights_in_tiles(_query_points(cells, by, x, y), _source_points(sources, by, x, y, limit), _keys(by), limit, radius)
     found = found.withColumnRenamed("have", "__have")
-    joined = _join_back(cells, found, by, x, y, ["__have"])
+    return _share_of(_join_back(cells, found, by, x, y, ["__have"]), totals, by, out)
+
+
+def _share_of(joined: DataFrame, totals: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    """Share of ``__have`` in ``__k``, of which ``totals`` has one for each group."""
     if by:
         keyed = totals.select(*[F.col(b).alias("__t_" + b) for b in by], "__k")
         condition = F.lit(True)
@@ -537,13 +544,11 @@ def radius_density(
     return joined.withColumn(out, value).drop("__have", "__k")
 
 
-def knn_local_mean(
-    cells: DataFrame, values: Sequence[str], k: int = 24, radius: float = 100.0, by: Sequence[str] = (),
-    cell_id: str = "cell_id", x: str = "x", y: str = "y", suffix: str = "_local",
+def _local_means(
+    cells: DataFrame, queries: DataFrame, values: Sequence[str], k: int, radius: float, by: Sequence[str], cell_id: str, x: str, y: str, suffix: str
 ) -> DataFrame:
-    """Mean of ``values`` over the k nearest rows (itself included) within ``radius``; ties by id."""
+    """Means of ``knn_local_mean`` at every query; ``cells`` is read several times."""
     q, columns = [*_keys(by), "qx", "qy"], [f"__v{i}" for i in range(len(values))]
-    cells = materialised(cells)
     at_point = Window.partitionBy(*_keys(by), "sx", "sy").orderBy("sid")
     # Rows beyond the k lowest ids of one coordinate can never be among the k nearest of any point.
     sources = (
@@ -565,6 +570,44 @@ def knn_local_mean(
             F.count(F.lit(1)).alias("have"), F.bool_or("complete").alias("complete"),
         )
 
-    found = _means_in_tiles(_query_points(cells, by, x, y), sources, _keys(by), columns, k, radius, finish)
-    found = found.withColumnsRenamed({c: v + suffix for c, v in zip(columns, values)})
+    found = _means_in_tiles(queries, sources, _keys(by), columns, k, radius, finish)
+    return found.withColumnsRenamed({c: v + suffix for c, v in zip(columns, values)})
+
+
+def knn_local_mean(
+    cells: DataFrame, values: Sequence[str], k: int = 24, radius: float = 100.0, by: Sequence[str] = (),
+    cell_id: str = "cell_id", x: str = "x", y: str = "y", suffix: str = "_local",
+) -> DataFrame:
+    """Mean of ``values`` over the k nearest rows (itself included) within ``radius``; ties by id."""
+    cells = materialised(cells)
+    found = _local_means(cells, _query_points(cells, by, x, y), values, k, radius, by, cell_id, x, y, suffix)
     return _join_back(cells, found, by, x, y, [v + suffix for v in values])
+
+
+def surroundings(
+    cells: DataFrame, sources: DataFrame, others: DataFrame, values: Sequence[str], k: int, radius: float, limit: int,
+    cell_id: str, x: str, y: str, names: tuple[str, str, str], suffix: str,
+) -> DataFrame:
+    """``knn_local_mean``, ``nearest_distance`` and ``radius_density`` to ``sources``, ``nearest_distance`` to ``others``, in one.
+
+    The four are found for the same places and joined back once, where one after the other they would send every
+    whole row four times. ``names`` are the columns for the distance, the density and the other distance.
+    """
+    cells, sources, others = materialised(cells), materialised(sources), materialised(others)
+    near, density, other = names
+    means = [v + suffix for v in values]
+    queries = cut_lineage(_query_points(cells, (), x, y))
+    tiles = _Tiles(_source_points(sources, (), x, y, limit), [])
+    found = [
+        _local_means(cells, queries, values, k, radius, (), cell_id, x, y, suffix),
+        _nearest_in_tiles(queries, tiles, []).withColumnRenamed("__d", near),
+        _weights_in_tiles(queries, tiles, [], limit, radius).withColumnRenamed("have", "__have"),
+        _nearest_in_tiles(queries, _source_points(others, (), x, y, 1), []).withColumnRenamed("__d", other),
+    ]
+    columns = [*means, near, "__have", other]
+    rows = found[0]
+    for table in found[1:]:
+        rows = rows.unionByName(table, allowMissingColumns=True)
+    at = rows.groupBy("qx", "qy").agg(*[F.max(c).alias(c) for c in columns])
+    totals = sources.agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("__k"))
+    return _share_of(_join_back(cells, at, (), x, y, columns), totals, (), density)

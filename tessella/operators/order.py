@@ -3,6 +3,9 @@
 Values are first reduced to (value, count).  Every group is cut into buckets at some of its own
 distinct values, one in ``SPLIT_EVERY`` of them by hash, so the number of buckets follows the number
 of distinct values; the cut points only balance the work, every result is exact.
+
+Quantiles of few groups look only at the values between two approximate quantiles that hold the exact one
+(``_bracketed_quantiles``); exact counts show that they do, and without that all values are ordered.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import attach, cut_lineage, null_safe
+from tessella.session import attach, attach_few, cut_lineage, materialised, null_safe
 
 #: Distinct values of a bucket, on average.
 SPLIT_EVERY = 100_000
+#: Approximate quantiles that bracket an exact one err by a share of 1 / ``BRACKET`` of the rows at most.
+BRACKET = 1000
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -53,15 +58,72 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: str
     )
 
 
+def _picked(wanted: Mapping[str, tuple[Column, float]]) -> tuple[dict[str, str], dict[str, Column]]:
+    """Short names of the different expressions, and the expressions by short name."""
+    columns: dict[str, str] = {}
+    for column, _p in wanted.values():
+        columns.setdefault(str(column), f"m{len(columns)}")
+    return columns, {columns[str(column)]: column.cast("double") for column, _p in wanted.values()}
+
+
+def _bracketed_quantiles(df: DataFrame, keys: list[str], wanted: Mapping[str, tuple[Column, float]]) -> DataFrame | None:
+    """Exact quantiles of few groups from three scans, without ordering all values; None if a bracket misses its quantile."""
+    columns, picked = _picked(wanted)
+    base = materialised(df.select(*keys, *[c.alias(m) for m, c in picked.items()]))
+    items = [(i, columns[str(column)], float(p)) for i, (column, p) in enumerate(wanted.values())]
+    slack = 2.0 / BRACKET
+    points = {m: sorted({q for _, n, p in items if n == m for q in (p - slack, p + slack) if 0.0 < q < 1.0}) for m in picked}
+    found = base.groupBy(*keys).agg(*[c for m in picked for c in (
+        F.min(m).alias(f"__min_{m}"), F.max(m).alias(f"__max_{m}"), F.count(m).alias(f"__n_{m}"),
+        F.percentile_approx(m, points[m] or [0.5], BRACKET).alias(f"__q_{m}"),
+    )])
+
+    def end(m: str, q: float) -> Column:
+        return F.get(f"__q_{m}", F.lit(points[m].index(q))) if q in points[m] else F.col(f"__min_{m}" if q <= 0.0 else f"__max_{m}")
+
+    ends = [c for i, m, p in items for c in (end(m, p - slack).alias(f"__a_{i}"), end(m, p + slack).alias(f"__b_{i}"))]
+    limits = cut_lineage(found.select(*keys, *[f"__n_{m}" for m in picked], *ends))
+    near = attach_few(base, limits, keys)
+    sizes = near.groupBy(*keys).agg(*[c for i, m, _ in items for c in (
+        F.count_if(F.col(m) < F.col(f"__a_{i}")).alias(f"__below_{i}"), F.max(F.when(F.col(m) < F.col(f"__a_{i}"), F.col(m))).alias(f"__prev_{i}"),
+        F.count_if((F.col(m) >= F.col(f"__a_{i}")) & (F.col(m) <= F.col(f"__b_{i}"))).alias(f"__in_{i}"),
+        F.min(F.when(F.col(m) > F.col(f"__b_{i}"), F.col(m))).alias(f"__next_{i}"),
+    )])
+    sizes = cut_lineage(attach(sizes, limits, keys))
+    missed = F.lit(False)
+    for i, m, p in items:
+        at, below = F.lit(p) * (F.col(f"__n_{m}") - 1), F.col(f"__below_{i}")
+        missed = missed | ((F.col(f"__n_{m}") > 0) & ~F.coalesce((F.floor(at) >= below - 1) & (F.ceil(at) <= below + F.col(f"__in_{i}")), F.lit(False)))
+    if not sizes.where(missed).isEmpty():
+        return None
+    inside = {i: (F.col(m) >= F.col(f"__a_{i}")) & (F.col(m) <= F.col(f"__b_{i}")) for i, m, _ in items}
+    some = F.lit(False)
+    for test in inside.values():
+        some = some | test
+    parts = F.array(*[F.when(inside[i], F.struct(F.lit(i).alias("__i"), F.col(m).alias("__v"))) for i, m, _ in items])
+    rows = near.where(some).select(*keys, F.explode(parts).alias("__e")).where("__e IS NOT NULL").select(*keys, "__e.__i", "__e.__v")
+    placed = value_positions(rows, [*keys, "__i"], "__v").drop("total")
+    placed = attach_few(placed, sizes, keys)
+    results = []
+    for name, (i, m, p) in zip(wanted, items):
+        position, below = F.lit(p) * (F.col(f"__n_{m}") - 1), F.col(f"__below_{i}")
+
+        def at(index: Column, i: int = i, below: Column = below) -> Column:
+            first = below + F.col("before")
+            value = F.when((first <= index) & (index < first + F.col("count")), F.col("value"))
+            value = F.coalesce(value, F.when(index < below, F.col(f"__prev_{i}")), F.when(index >= below + F.col(f"__in_{i}"), F.col(f"__next_{i}")))
+            return F.max(F.when(F.col("__i") == i, value))
+
+        low, high = F.floor(position), F.ceil(position)
+        part = F.max(F.when(F.col("__i") == i, position - F.floor(position)))
+        results.append((at(low) + (at(high) - at(low)) * part).alias(name))
+    return cut_lineage(placed.groupBy(*keys).agg(*results))
+
+
 def _distributed_quantiles(
     df: DataFrame, keys: list[str], wanted: Mapping[str, tuple[Column, float]]
 ) -> DataFrame:
-    columns: dict[str, str] = {}
-    for _, (column, _p) in wanted.items():
-        columns.setdefault(str(column), f"m{len(columns)}")
-    picked: dict[str, Column] = {}
-    for column, _p in wanted.values():
-        picked[columns[str(column)]] = column.cast("double")
+    columns, picked = _picked(wanted)
     base = df.select(*keys, *[c.alias(m) for m, c in picked.items()])
     long = base.select(
         *keys,
@@ -91,15 +153,19 @@ def summarise(
     keys: Sequence[str],
     aggregates: Sequence[Column] = (),
     quantiles: Mapping[str, tuple[Column, float]] | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggregates)`` plus exact linear-interpolated quantiles.
 
-    ``quantiles`` maps an output name to (expression, probability); NULLs are ignored.
+    ``quantiles`` maps an output name to (expression, probability); NULLs are ignored. ``few`` says that
+    groups are few and large; it never changes a result.
     """
     keys, quantiles = list(keys), dict(quantiles or {})
     if not quantiles:
         return df.groupBy(*keys).agg(*aggregates)
-    spread = _distributed_quantiles(df, keys, quantiles)
+    spread = _bracketed_quantiles(df, keys, quantiles) if few or not keys else None
+    if spread is None:
+        spread = _distributed_quantiles(df, keys, quantiles)
     base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
     if not keys:
         return attach(base, spread) if aggregates else spread

@@ -91,10 +91,13 @@ def group_score(df: DataFrame, groups: Mapping[str, Sequence[str]], by: Sequence
     return scaled.withColumns(outputs).drop(*[f"__s_{c}" for c in columns])
 
 
-def with_threshold(df: DataFrame, value: str, low: float, high: float, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the Otsu threshold of ``value``, clipped to [low, high], as a column."""
-    df = materialised(df)
-    found = otsu_threshold(df, value, by, out="__t")
+def with_threshold(df: DataFrame, value: str, low: float, high: float, out: str, by: Sequence[str] = (), seen: DataFrame | None = None) -> DataFrame:
+    """Add the Otsu threshold of ``value``, clipped to [low, high], as a column.
+
+    ``seen``, if given, holds the same values in a table that is cheaper to read; then ``df`` is not written out.
+    """
+    df = materialised(df) if seen is None else df
+    found = otsu_threshold(df if seen is None else seen, value, by, out="__t")
     return attach_few(df, found.select(*by, clip(F.col("__t"), low, high).alias(out)), by)
 
 
@@ -122,9 +125,9 @@ def vessel_call(
     }).drop("__otsu", "__share", "__q99")
 
 
-def malignant_proxy(df: DataFrame, score: str, by: Sequence[str] = (), out: str = "cell_is_malignant_proxy") -> DataFrame:
-    """Positive where the score reaches its Otsu threshold clipped to [0.20, 0.85]."""
-    called = with_threshold(df, score, 0.20, 0.85, "malignant_threshold", by)
+def malignant_proxy(df: DataFrame, score: str, by: Sequence[str] = (), out: str = "cell_is_malignant_proxy", seen: DataFrame | None = None) -> DataFrame:
+    """Positive where the score reaches its Otsu threshold clipped to [0.20, 0.85]; ``seen`` as in ``with_threshold``."""
+    called = with_threshold(df, score, 0.20, 0.85, "malignant_threshold", by, seen)
     return called.withColumn(out, F.col(score) >= F.col("malignant_threshold"))
 
 

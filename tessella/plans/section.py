@@ -11,7 +11,7 @@ from tessella.operators import scaling as sc
 from tessella.operators import summaries as su
 from tessella.operators.catalogue import feature_summary, features_wide, resolve_features, selected_features, unresolved_aliases
 from tessella.operators.geometry import affine_transform, alignment_accept, alignment_candidates, alignment_transforms, point_in_polygon, polygon_metrics
-from tessella.operators.neighbours import knn_local_mean, nearest_distance, radius_density, within_distance
+from tessella.operators.neighbours import surroundings
 from tessella.session import cut_lineage
 from tessella.sources.quality import assert_same_keys
 from tessella.sources.tables import build_target_tables, stable_sample
@@ -25,23 +25,20 @@ def score_cells(
 ) -> DataFrame:
     """Group scores, source call, nearest-source geometry, local scores and malignant neighbourhood.
 
-    The scored table is written out between the stages that read it more than once.
+    The scored table is written out between the stages that read it more than once; what surrounds a cell is joined to it once.
     """
     features = [c for c in wide.columns if c != cell_id]
     merged = cut_lineage(cells.join(wide, cell_id, "left").fillna(0.0, features))
     named = {f"{g}_score": list(groups.get(g, ())) for g in SCORE_GROUPS}
     scored = cut_lineage(sc.group_score(merged, named))
-    scored = sc.vessel_call(scored, "endothelial_score", "pericyte_score").drop("vessel_raw")
-    scored = cut_lineage(sc.malignant_proxy(scored, "malignant_score"))
-    local = knn_local_mean(scored, ["caf_score", "ecm_score"], k, radius, (), cell_id, x, y)
-    local = local.withColumnsRenamed({"caf_score_local": "local_caf_score", "ecm_score_local": "local_ecm_score"})
-    local = cut_lineage(local)
-    sources = scored.where("vessel_positive")
-    near = cut_lineage(nearest_distance(local, sources, (), x, y, "distance_to_vessel_um"))
-    dense = cut_lineage(radius_density(near, sources, radius, 32, (), x, y, "local_vessel_density"))
-    return within_distance(
-        dense, scored.where("cell_is_malignant_proxy"), neighbourhood, (), x, y, "distance_to_malignant_proxy_um", "in_molecular_tumour_neighbourhood"
-    )
+    called = sc.vessel_call(scored, "endothelial_score", "pericyte_score").drop("vessel_raw")
+    scored = cut_lineage(sc.malignant_proxy(called, "malignant_score", seen=scored))
+    found = surroundings(
+        scored, scored.where("vessel_positive"), scored.where("cell_is_malignant_proxy"), ["caf_score", "ecm_score"], k, radius, 32, cell_id, x, y,
+        ("distance_to_vessel_um", "local_vessel_density", "distance_to_malignant_proxy_um"), "_local",
+    ).withColumnsRenamed({"caf_score_local": "local_caf_score", "ecm_score_local": "local_ecm_score"})
+    inside = F.col("distance_to_malignant_proxy_um") <= F.lit(neighbourhood)
+    return found.withColumn("in_molecular_tumour_neighbourhood", F.coalesce(inside, F.lit(False)))
 
 
 def call_targets(scored: DataFrame, resolved: DataFrame, columns: Sequence[str], keep: Sequence[str], cell_id: str = "cell_id") -> DataFrame:
