@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import r6, register, rounded, table
 from checks.sqlkit import aligned, clip, logq, otsu, scale
 from tessella.operators import scaling as sc
+from tessella.session import cut_lineage
 
 
 def signals(spark, folder):
@@ -21,8 +22,8 @@ SCALED = "sc AS (SELECT cell_id, " + ", ".join(f"{scale(c, 'lo_' + c, 'hi_' + c)
 SCORES = f"{SIG}, {QS}, {SCALED}, scores AS (SELECT cell_id, (q + p) / 2 AS endothelial, d AS pericyte, t AS malignant, (q + t) / 2 AS caf FROM sc)"
 
 
-def scores(spark, folder):
-    found = sc.group_score(signals(spark, folder), {"endothelial": ["q", "p"], "pericyte": ["d"], "malignant": ["t"], "caf": ["q", "t"]})
+def scores(spark, folder, cells=None):
+    found = sc.group_score(signals(spark, folder) if cells is None else cells, {"endothelial": ["q", "p"], "pericyte": ["d"], "malignant": ["t"], "caf": ["q", "t"]})
     return found.select("cell_id", "endothelial", "pericyte", "malignant", "caf")
 
 
@@ -111,7 +112,8 @@ SELECT definition, count(*) FILTER (WHERE x) AS source_cells, round(avg(CAST(x A
 SELECT 'inclusive_endothelial_or_pericyte' AS definition, a AS x FROM m UNION ALL SELECT 'endothelial_score_otsu', b FROM m UNION ALL SELECT 'cd31_otsu', c FROM m
 UNION ALL SELECT 'cd31_high_robust_0_5', d FROM m UNION ALL SELECT 'cd31_plus_any_endothelial_rna', c AND n >= 1 FROM m UNION ALL SELECT 'cd31_plus_two_endothelial_rna', c AND n >= 2 FROM m) GROUP BY 1""")
 def masks(spark, folder):
-    cells = sc.vessel_call(scores(spark, folder), "endothelial", "pericyte").join(signals(spark, folder), "cell_id")
+    held = cut_lineage(signals(spark, folder))
+    cells = sc.vessel_call(scores(spark, folder, held), "endothelial", "pericyte").join(held, "cell_id")
     cells = cells.selectExpr("*", "greatest(d - 0.3, 0) AS rd", "greatest(t - 0.2, 0) AS rt", "greatest(q - 100, 0) AS rq")
     rows = sc.definition_masks(cells, "p", "endothelial", "vessel_positive", ["rd", "rt", "rq"])
     return rows.groupBy("definition").agg(F.count_if("source").alias("source_cells"), r6(F.avg(F.col("source").cast("double"))).alias("source_fraction"))
