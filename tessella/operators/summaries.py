@@ -127,13 +127,17 @@ def segmentation_by_sample(cells: DataFrame, metrics: DataFrame, on: Sequence[st
     area_error = F.abs(F.col("area") - F.col(stated_area)) / F.greatest(F.col(stated_area), F.lit(1.0))
     dx, dy = F.col("centroid_x") - F.col(cx), F.col("centroid_y") - F.col(cy)
     centroid_error = F.when(F.col("area").isNotNull(), F.sqrt(dx * dx + dy * dy))
-    return summarise(joined, by, [
-        F.count(F.lit(1)).alias("cells"), share(F.col("area").isNotNull()).alias("matched_fraction"),
+    matched = F.col("area").isNotNull().alias("__matched")
+    # The errors are written once: the polygons and the join are not made again for every scan of them.
+    errors = materialised(joined.select(*by, matched, area_error.alias("__area"), centroid_error.alias("__centroid")))
+    area_error, centroid_error = F.col("__area"), F.col("__centroid")
+    return summarise(errors, by, [
+        F.count(F.lit(1)).alias("cells"), share(F.col("__matched")).alias("matched_fraction"),
         share(area_error <= 0.10).alias("area_within_10pct"), share(centroid_error <= 2).alias("centroid_within_2px"),
     ], {
         "median_area_error": (area_error, 0.5), "q95_area_error": (area_error, 0.95),
         "median_centroid_error": (centroid_error, 0.5), "q95_centroid_error": (centroid_error, 0.95),
-    })
+    }, few=True)
 
 
 def relative_geometry(
