@@ -15,6 +15,7 @@ import sys
 import unicodedata
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import public_tokenizers
 
@@ -23,16 +24,17 @@ SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Letters that end in a mark once a normalizer has taken them apart: such a word is not cut off.
 MARKED = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
 CHUNK = re.compile(rf"{SPACE}*[^\W\d_]++(?<![{MARKED}])(?![^\s!-/:-@\[-`{{-~]|[\x1c-\x1f])|{SPACE}*{OTHER}+|{SPACE}+")
-#: The same for texts without these four characters, and faster.
-PLAIN = re.compile(rf"\s*+[^\W\d_]++(?<![{MARKED}])(?![^\s!-/:-@\[-`{{-~])|\s*+\S++|\s++")
-CONTROL = "\x1c\x1d\x1e\x1f"
 #: Letters that normalizers leave one by one, and a word of them.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256)]))
 WORD = re.compile(rf" ?[{LETTERS}]+")
+#: ``CHUNK`` for texts without these four characters; the first alternative is there for speed alone.
+PLAIN = re.compile(rf" ?[{LETTERS}]++(?![^\s!-/:-@\[-`{{-~])|\s*+[^\W\d_]++(?<![{MARKED}])(?![^\s!-/:-@\[-`{{-~])|\s*+\S++|\s++")
+CONTROL = "\x1c\x1d\x1e\x1f"
 #: Distinct chunks in one generation of the cache; a worker keeps two generations.
 CACHE_CHUNKS = 250_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
+ID = attrgetter("id")
 
 
 def tokenizer_path(name: str) -> str:
@@ -84,9 +86,11 @@ class Encoder:
         return spaced[0].removesuffix(word[0]), single
 
     def encode_chunk(self, chunk: str) -> bytes:
-        if self.letters and len(chunk) <= LONGEST_KEPT and WORD.fullmatch(chunk):
+        # The test of ASCII words is the match once more, and faster.
+        plain = self.letters and len(chunk) <= LONGEST_KEPT and (chunk.isascii() and chunk.removeprefix(" ").isalpha() or WORD.fullmatch(chunk))
+        if plain:
             word = chunk.translate(self.letters)
-            ids = [token.id for token in self.model.tokenize(self.space + word[1:] if word[0] == " " else word)]
+            ids = map(ID, self.model.tokenize(self.space + word[1:] if word[0] == " " else word))
         else:
             ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
         return array(self.code, ids).tobytes()

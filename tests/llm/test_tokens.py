@@ -41,3 +41,11 @@ def test_small_cache_and_mixed_letters(name, dtype, monkeypatch):
     for at in range(0, len(texts), 20):
         part = texts[at : at + 20]
         assert tool.encode(part) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, dtype).tobytes() for t in part]
+
+
+def test_chunks_of_words_with_and_without_the_fast_alternative():
+    slow, draw = tokens.re.compile(tokens.PLAIN.pattern.split("|", 1)[1]), random.Random(4)
+    assert tokens.PLAIN.pattern.startswith(f" ?[{tokens.LETTERS}]++")
+    for _ in range(3000):
+        text = "".join(draw.choices("azAZéßſİ中. ,<'\n\t\x85\u3000  09_", k=draw.randint(0, 40)))
+        assert tokens.PLAIN.findall(text) == slow.findall(text), repr(text)
