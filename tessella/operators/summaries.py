@@ -257,8 +257,8 @@ def image_definition_sensitivity(
     cells = cut_lineage(deal(cells, len(quantiles)))
     level = summarise(cells, [], [], {n: (F.when(F.col("__neg"), F.col(sample)), q) for n, q in quantiles.items()})
     levels = level.select(F.inline(F.array(*[F.struct(F.lit(n).alias("definition"), F.col(n).alias("threshold")) for n in quantiles])))
-    every = attach(pixels.select("row", "col", value, (F.lit(True) if valid is None else valid).alias("__ok"), F.inline(named)).drop("q"), levels, ["definition"])
-    every = cut_lineage(every)
+    dealt = deal(pixels.select("row", "col", value, (F.lit(True) if valid is None else valid).alias("__ok")), len(quantiles))
+    every = cut_lineage(attach(dealt.select("*", F.inline(named)).drop("q"), levels, ["definition"]))
     by = ["definition"]
     mask, diagnostics = structural_mask(every, (F.col(value) > F.col("threshold")) & F.col("__ok"), pixel_um, minimum_area_um2, pixel_um, by)
     distances = cut_lineage(mask_distance(every.select("definition", "row", "col", value), mask, pixel_um, by))

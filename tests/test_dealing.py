@@ -42,3 +42,9 @@ def test_image_cells_are_dealt_before_the_definitions(spark, monkeypatch):
     dealt = spied(monkeypatch)
     assert queries.image_sensitivity(spark, SMALL).count() == 6
     assert tasks(dealt[0]) >= 8
+
+
+def test_pixels_are_dealt_before_the_definitions(spark, monkeypatch):
+    dealt = spied(monkeypatch)
+    assert queries.image_sensitivity(spark, SMALL).count() == 6
+    assert len(dealt) == 2 and "__ok" in dealt[1].columns and tasks(dealt[1]) >= 8
